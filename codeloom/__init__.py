@@ -1,0 +1 @@
+"""Source-code dependency and risk analysis on Spark."""
