@@ -69,7 +69,7 @@ class Grammar:
                     if (ok := known.get(form := m.group())) is None:
                         if len(known) > MEMO_LIMIT:
                             known.clear()
-                        ok = known[form] = rule.fullmatch(form) is not None
+                        ok = known[form] = bool(rule.fullmatch(form) or form[-1:] == "\n" and rule.fullmatch(form[:-1]))
                     if ok:
                         break
             else:

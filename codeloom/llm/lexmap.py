@@ -123,14 +123,22 @@ _NUMBER = re.compile(r"(?<![\w$])(?:0[xX][0-9a-fA-F_']+|0[bB][01_']+|\d[\d_']*(?
 _SPACE = re.compile(r"(?<![\w\x00]) +| +(?![\w\x00])")
 
 
+def _by_letter(words: list[str]) -> str:
+    """One alternative per first letter, so that most words are told from keywords by their first character."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in heads.items())
+
+
 class Lexer:
     def __init__(self, ext: str):
         self.ext, self.scan, self.take = ext, SCAN[ext], _taker(ext)
-        words = "" if ext in (".py", ".json") else "|".join(grammar(ext).keywords)
+        words = "" if ext in (".py", ".json") else _by_letter(grammar(ext).keywords)
         dollar = "$" if ext in (".js", ".ts") else ""
         keep = rf"(?!(?:{words})(?![\w{dollar}]))" if words else ""
         # after a dot, keywords are member names
-        self.word = re.compile(rf"(?<![\w{dollar}])(?:(?<=\.)|(?<=->)|{keep})[^\W\d][\w{dollar}]*" + (r"|\$[\w$]*" if dollar else ""), re.I if ext == ".php" else 0)
+        self.word = re.compile(rf"(?<![\w{dollar}])(?:(?<=\.)|(?<=->)|{keep})[^\W\d][\w{dollar}]*" + (r"|\$[\w$]*" if dollar else ""))
         self.var = re.compile(r"\$+[^\W\d]\w*") if ext == ".php" else None
         self.lines = ext in (".js", ".ts", ".go")
 
@@ -263,7 +271,7 @@ def whole(ext: str, total: tuple[str, str]) -> bool:
 
 # ---------------------------------------------------------------- Python: logical lines decided one by one
 
-_PY_WORD = re.compile(r"(?<![\w])(?!(?:False|None|True|and|as|assert|async|await|break|class|continue|def|del|elif|else|except|finally|for|from|global|if|import|in|is|lambda|nonlocal|not|or|pass|raise|return|try|while|with|yield|match|case|_)\b)[^\W\d]\w*")
+_PY_WORD = re.compile(rf"(?<![\w])(?!(?:{_by_letter('False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case _'.split())})\b)[^\W\d]\w*")
 _PY_PREFIX = re.compile(r"(?<!\w)(?:[rRuUbBfFtT]|[rR][bBfFtT]|[bBfFtT][rR])" + TEXT)
 _PY_STATEMENT: dict[str, str] = {}
 _PY_NUM = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*|0[oO][0-7]+|0[bB][01]+|(?:0|[1-9]\d*(?:_\d+)*)(?![\d.eEjJ_])|(?:\d+(?:_\d+)*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[jJ]?)(?![\w.])")
