@@ -19,14 +19,16 @@ def line_count(c: Column) -> Column:
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(lines(c)))
 
 
-def numbered(c: Column, start: Column) -> Column:
-    """The text with right-justified line numbers and ': ' before each line."""
-    ls = lines(c)
-    width = F.length((start + F.size(ls) - 1).cast("string"))
+def numbered(ls: Column, start: Column, width: Column) -> Column:
+    """Lines with right-justified numbers and ': ' before each; ls and width must be columns, as the lambda runs per line."""
     pieces = F.transform(ls, lambda line, k: F.concat(F.lpad((k + start).cast("string"), width, " "), F.lit(": "), line))
     return F.when(F.size(ls) == 0, F.lit("")).otherwise(F.array_join(pieces, "\n"))
 
 
+def number_width(ls: Column, start: Column) -> Column:
+    return F.length((start + F.size(ls) - 1).cast("string"))
+
+
 def line_slice(c: Column, start: Column, end: Column, base: Column) -> Column:
     """Lines start..end of a text whose first line has the number base; '' where the range is not inside the text."""
     ls = lines(c)

@@ -33,6 +33,13 @@ def file_lines(files: DataFrame, key: str = "file_id") -> DataFrame:
     return files.select(key, F.posexplode(text.lines(F.col("source_code"))).alias("p", "line")).select(key, (F.col("p") + 1).alias("line_no"), "line")
 
 
+def listings(files: DataFrame) -> DataFrame:
+    """(file_id, listing): code with its true line numbers."""
+    rows = files.where(F.col("source_code").isNotNull()).select("file_id", text.lines(F.col("source_code")).alias("ls"), F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("first"))
+    rows = rows.select("file_id", "ls", "first", text.number_width(F.col("ls"), F.col("first")).alias("width"))
+    return rows.select("file_id", text.numbered(F.col("ls"), F.col("first"), F.col("width")).alias("listing"))
+
+
 def is_boundary(line, ext):
     out = F.lit(False)
     for e, rules in BOUNDARIES.items():

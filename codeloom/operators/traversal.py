@@ -8,12 +8,14 @@ the work that enumeration of all shortest paths would make exponential, with the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPSTREAM, DOWNSTREAM, THROUGH = "upstream", "downstream", "through"
 COUNTS = ("input_count", "sink_count", "validation_count", "safety_count")
@@ -28,16 +30,14 @@ class FileGraph:
     succ: dict[str, list[str]] = field(default_factory=dict)
     pred: dict[str, list[str]] = field(default_factory=dict)
 
-    @classmethod
-    def of(cls, nodes: pd.DataFrame, edges: pd.DataFrame) -> FileGraph:
-        g = cls(dict(zip(nodes["id"], nodes["priority"].astype(int))), dict(zip(nodes["id"], zip(*(nodes[c].astype(int) for c in COUNTS)))))
-        for a, b in zip(edges["src"], edges["dst"]):
-            g.succ.setdefault(a, []).append(b)
-            g.pred.setdefault(b, []).append(a)
-        for side in (g.succ, g.pred):
+    def link(self, edges: list[tuple[str, str]]) -> FileGraph:
+        for a, b in edges:
+            self.succ.setdefault(a, []).append(b)
+            self.pred.setdefault(b, []).append(a)
+        for side in (self.succ, self.pred):
             for ns in side.values():
-                ns.sort(key=g.order)
-        return g
+                ns.sort(key=self.order)
+        return self
 
     def order(self, n: str) -> tuple[int, str]:
         return -self.priority[n], n
@@ -149,56 +149,85 @@ class FileGraph:
         return sum(self.priority[n] for n in tree["nodes"])
 
 
-def per_file(nodes: DataFrame, edges: DataFrame, walk: Callable[[FileGraph, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """walk(graph, nodes) for each file's graph; nodes are rows of ``graph.prioritised``."""
+ROW = "path string, kind int, id string, dst string, priority long, input_count int, sink_count int, validation_count int, safety_count int, node_ord long, has_source boolean"
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return walk(FileGraph.of(left, right), left.sort_values(["node_ord", "id"]))
 
-    return nodes.groupBy("path").cogroup(edges.select("path", "src", "dst").groupBy("path")).applyInPandas(run, schema)
+def per_file(nodes: DataFrame, edges: DataFrame, walk: Callable[[FileGraph, list[str], list[str]], list[tuple]], schema: str, columns: list[str]) -> DataFrame:
+    """walk(graph, ids, ids with source) for each file's graph; nodes are rows of ``graph.prioritised``.
+
+    Nodes and edges of a path are brought together once and walked as a sorted stream: one Python call per batch, not per file.
+    """
+    fields = [x.split(" ")[0] for x in ROW.split(", ")]
+    left = nodes.select("path", F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("dst"), F.col("priority").cast("long").alias("priority"), *[F.col(c).cast("int").alias(c) for c in COUNTS], "node_ord", "has_source")
+    right = edges.select("path", F.lit(1).alias("kind"), F.col("src").alias("id"), "dst", F.lit(None).cast("long").alias("priority"), *[F.lit(None).cast("int").alias(c) for c in COUNTS], F.lit(None).cast("long").alias("node_ord"), F.lit(None).cast("boolean").alias("has_source"))
+    rows = left.unionByName(right).select(*fields).repartition("path").sortWithinPartitions("path", "kind", "node_ord", "id")
+
+    def solve(held: list[tuple]) -> list[tuple]:
+        own = [r for r in held if r[1] == 0]
+        g = FileGraph({r[2]: r[4] for r in own}, {r[2]: r[5:9] for r in own}).link([(r[2], r[3]) for r in held if r[1] == 1])
+        return walk(g, [r[2] for r in own], [r[2] for r in own if r[10]])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        for batch in it:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][0] != r[0]:
+                    out += solve(held)
+                    held = []
+                    if len(out) > 20_000:
+                        yield from pack(out)
+                        out = []
+                held.append(r)
+        yield from pack(out + (solve(held) if held else []))
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def pack(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        cols = list(zip(*out)) if out else [()] * len(columns)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def directed_paths(nodes: DataFrame, edges: DataFrame, depth: int = 2, reverse: bool = False) -> DataFrame:
     """(root, target, n_nodes, chain, input_count, sink_count, validation_count, safety_count, priority) for every root."""
 
-    def walk(g: FileGraph, own: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r, p[0] if reverse else p[-1], len(p), " -> ".join(p), *g.summary(p), g.path_priority(p)) for r in own["id"] for p in g.directed(r, depth, reverse)]
-        return pd.DataFrame(rows, columns=["root", "target", "n_nodes", "chain", *COUNTS, "priority"])
+    def walk(g: FileGraph, ids: list[str], own: list[str]) -> list[tuple]:
+        return [(r, p[0] if reverse else p[-1], len(p), " -> ".join(p), *g.summary(p), g.path_priority(p)) for r in ids for p in g.directed(r, depth, reverse)]
 
-    return per_file(nodes, edges, walk, "root string, target string, n_nodes int, chain string, input_count int, sink_count int, validation_count int, safety_count int, priority long")
+    return per_file(nodes, edges, walk, "root string, target string, n_nodes int, chain string, input_count int, sink_count int, validation_count int, safety_count int, priority long", ["root", "target", "n_nodes", "chain", *COUNTS, "priority"])
 
 
 def ranked_paths(nodes: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 6) -> DataFrame:
     """(root, rank, kind, chain, priority): the best chains of every node with source."""
 
-    def walk(g: FileGraph, own: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r, k + 1, kind, " -> ".join(p), g.path_priority(p)) for r in own.loc[own.has_source, "id"] for k, (kind, p) in enumerate(g.ranked(r, depth, limit))]
-        return pd.DataFrame(rows, columns=["root", "rank", "kind", "chain", "priority"])
+    def walk(g: FileGraph, ids: list[str], own: list[str]) -> list[tuple]:
+        return [(r, k + 1, kind, " -> ".join(p), g.path_priority(p)) for r in own for k, (kind, p) in enumerate(g.ranked(r, depth, limit))]
 
-    return per_file(nodes, edges, walk, "root string, rank int, kind string, chain string, priority long")
+    return per_file(nodes, edges, walk, "root string, rank int, kind string, chain string, priority long", ["root", "rank", "kind", "chain", "priority"])
 
 
 def local_nodes(nodes: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 12, focus: int = 6) -> DataFrame:
     """(root, ord, id) of every node with source."""
 
-    def walk(g: FileGraph, own: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r, k, n) for r in own.loc[own.has_source, "id"] for k, n in enumerate(g.local(r, depth, max_nodes, focus))]
-        return pd.DataFrame(rows, columns=["root", "ord", "id"])
+    def walk(g: FileGraph, ids: list[str], own: list[str]) -> list[tuple]:
+        return [(r, k, n) for r in own for k, n in enumerate(g.local(r, depth, max_nodes, focus))]
 
-    return per_file(nodes, edges, walk, "root string, ord int, id string")
+    return per_file(nodes, edges, walk, "root string, ord int, id string", ["root", "ord", "id"])
 
 
 def trees(nodes: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 12, width: int = 3) -> DataFrame:
     """(root, nodes, n_edges, branches, upstream, downstream, tree_priority) of every node with source."""
 
-    def walk(g: FileGraph, own: pd.DataFrame) -> pd.DataFrame:
+    def walk(g: FileGraph, ids: list[str], own: list[str]) -> list[tuple]:
         rows = []
-        for r in own.loc[own.has_source, "id"]:
+        for r in own:
             t = g.tree(r, depth, max_nodes, width)
             rows.append((r, t["nodes"], len(t["edges"]), [{"direction": d, "path": p} for d, p in t["branches"]], t["upstream"], t["downstream"], g.tree_priority(t)))
-        return pd.DataFrame(rows, columns=["root", "nodes", "n_edges", "branches", "upstream", "downstream", "tree_priority"])
+        return rows
 
-    return per_file(nodes, edges, walk, "root string, nodes array<string>, n_edges int, branches array<struct<direction:string,path:array<string>>>, upstream int, downstream int, tree_priority long")
+    return per_file(nodes, edges, walk, "root string, nodes array<string>, n_edges int, branches array<struct<direction:string,path:array<string>>>, upstream int, downstream int, tree_priority long", ["root", "nodes", "n_edges", "branches", "upstream", "downstream", "tree_priority"])
 
 
 def local_summary(local: DataFrame, profile: DataFrame) -> DataFrame:

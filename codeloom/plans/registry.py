@@ -264,8 +264,7 @@ def doc_lines(s, d):
 
 @query(S.LINES + "select file_id, case when len(ls) = 0 then '' else array_to_string(list_transform(range(1, len(ls) + 1), lambda k : lpad(cast(k + first - 1 as varchar), cast(length(cast(first + len(ls) - 1 as varchar)) as int), ' ') || ': ' || ls[k]), chr(10)) end as listing from f")
 def numbered_lines(s, d):
-    first = F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1))
-    return _files(s, d).where("source_code is not null").select("file_id", text.numbered(F.col("source_code"), first).alias("listing"))
+    return chunks.listings(_files(s, d))
 
 
 @query(S.LINES + "select file_id, case when first + 2 - first + 1 >= 1 and 6 <= len(ls) then array_to_string(ls[3:6], chr(10)) else '' end as slice from f")
