@@ -58,14 +58,14 @@ def is_incomplete(c: Column) -> Column:
 def structured(sections: DataFrame) -> DataFrame:
     """sections' columns with file_path, finding_no (from 1), type, location, feature, vector, impact, fix; one row per finding."""
     keep = [c for c in sections.columns if c != "section"]
-    files = sections.where(F.col("section").contains("<审计报告>")).select(*keep, F.posexplode(F.regexp_extract_all("section", F.lit(r"(?s)<文件>\s*(.*?)\s*</文件>"), F.lit(1))).alias("file_no", "f"))
-    path = line_value(F.col("f"), "路径")
-    files = files.withColumn("file_path", F.when(path == "", UNKNOWN_FILE).otherwise(path)).withColumn("verdict", line_value(F.col("f"), "结论"))
-    found = files.select(*keep, "file_no", "file_path", "verdict", F.posexplode_outer(F.regexp_extract_all("f", F.lit(r"(?s)<漏洞>\s*(.*?)\s*</漏洞>"), F.lit(1))).alias("k", "v"))
-    found = found.where(F.col("v").isNotNull() | is_pass(F.col("verdict")))
-    v, empty = F.col("v"), F.col("v").isNull()
+    files = sections.where(F.col("section").contains("<审计报告>")).select(*keep, F.posexplode(F.regexp_extract_all("section", F.lit(r"(?s)<文件>\s*(.*?)\s*</文件>"), F.lit(1))).alias("_n", "_f"))
+    path = line_value(F.col("_f"), "路径")
+    files = files.withColumn("_path", F.when(path == "", UNKNOWN_FILE).otherwise(path)).withColumn("_verdict", line_value(F.col("_f"), "结论"))
+    found = files.select(*keep, "_n", "_path", "_verdict", F.posexplode_outer(F.regexp_extract_all("_f", F.lit(r"(?s)<漏洞>\s*(.*?)\s*</漏洞>"), F.lit(1))).alias("_k", "_v"))
+    found = found.where(F.col("_v").isNotNull() | is_pass(F.col("_verdict")))
+    v, empty = F.col("_v"), F.col("_v").isNull()
     location = line_value(v, "位置")
-    return found.select(*keep, (F.col("file_no") + 1).alias("file_no"), "file_path", (F.coalesce("k", F.lit(0)) + 1).alias("finding_no"), F.when(empty, PASS[0]).otherwise(title(line_value(v, "类型"), line_value(v, "判定"), line_value(v, "等级"))).alias("type"), F.when(empty | (location == ""), "-").otherwise(location).alias("location"), *[F.when(empty, F.lit("")).otherwise(tag(v, t)).alias(c) for c, t in TAGS.items()])
+    return found.select(*keep, (F.col("_n") + 1).alias("file_no"), F.col("_path").alias("file_path"), (F.coalesce("_k", F.lit(0)) + 1).alias("finding_no"), F.when(empty, PASS[0]).otherwise(title(line_value(v, "类型"), line_value(v, "判定"), line_value(v, "等级"))).alias("type"), F.when(empty | (location == ""), "-").otherwise(location).alias("location"), *[F.when(empty, F.lit("")).otherwise(tag(v, t)).alias(c) for c, t in TAGS.items()])
 
 
 def legacy(sections: DataFrame, key: str) -> DataFrame:
