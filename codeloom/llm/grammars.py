@@ -51,12 +51,12 @@ class Grammar:
     def __init__(self, rules: Rules, keywords: str, blocks: dict[str, str], groups: dict[str, dict[str, str]], newlines: bool = False):
         self.keywords, self.newlines = keywords.split(), newlines
         #: kind -> (expression of one item, expression of what may stand before the closing bracket without terminator)
-        head = "(?(DEFINE)" + "".join(f"(?<{k}>{v})" for k, v in (_RULES | rules).items()) + ")"
+        head = "(?(DEFINE)" + "".join(f"(?<{k}>{rx(v)})" for k, v in (_RULES | rules).items()) + ")"
         build = lambda x: regex.compile(head + f"(?:{rx(x)})", regex.V1 | regex.S)
         self.blocks = {k: build(item) for k, item in blocks.items()}
         self.groups = {b: {k: build(x) for k, x in kinds.items()} for b, kinds in groups.items()}
         #: statements that end where they seem to end are looked up by their form; others are matched in place
-        self.piece = [re.compile(x) for x in ([r"[^;\n]*(?:[;\n]|\Z)"] if newlines else [r"[^;\ue400-\ue7ff]*(?:;|[\ue400-\ue7ff](?=[\w@~]|\Z))", r"[^;]*;"])]
+        self.piece = [re.compile(x) for x in ([r"[^;\n]*(?:[;\n]|\Z)"] if newlines else [r"[^;\ue400-\ue7ff]*(?:;|[\ue400-\ue7ff](?=(?!catch|finally|while)[\w@~]|\Z))", r"[^;]*;"])]
         self.pieces: dict[str, dict[str, bool]] = {k: {} for k in blocks}
         self.memo: dict[str, str] = {}
 
@@ -117,6 +117,9 @@ class Grammar:
 GROUP = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
 LEFT = re.compile(r"[()\[\]{}]")
 
+# Between a type and a name; no space is left behind a sign.
+_GAP = r"(?: |(?<=[>.?*\]\ue800-\uefff]))"
+
 # Operators shared by most of the languages.
 _ASSIGN = r"(?:[-+*/%&|^.]|\*\*|<<|>>>?|&&|\|\||\?\?)?="
 _BINARY = r"(?:===?|!==?|<=>|<=|>=|&&|\|\||\?\?|<<|>>>?|[-+*/%&|^<>])"
@@ -126,9 +129,9 @@ def _java() -> Grammar:
     rule = Rules()
     gen = rule("gen", r"(?:<[i,.?<>&\[\] ]*(?:(?:extends|super) [i,.?<>&]*)*>)?")
     typ = rule("typ", rx(rf"i{gen}(?:\.i{gen})*(?:«D»)*(?:\.\.\.)?"))
-    one_ann = rule("one_ann", r"@i(?:\.i)*«A»?")
+    one_ann = rule("one_ann", r"@i(?:\.i)*«A»? ?")
     ann = rule("ann", rf"{one_ann}*")
-    mod = rf"(?:(?:public|private|protected|static|final|abstract|synchronized|native|transient|volatile|default|strictfp|sealed|non-sealed) |{one_ann})*"
+    mod = rf"(?:(?:public|private|protected|static|final|abstract|synchronized|native|transient|volatile|default|strictfp|sealed|non-sealed)(?: |(?=[<@]))|{one_ann})*"
     un = rule("un", rx(r"(?:\+\+|--|[-+!~]|(?:i|«P»)->|«E»(?=[i0s\ue000-\uefff!~(]|new|switch))*", E="«E»"))
     atom = rule("atom", rx(rf"(?:new {typ}(?:«A»«K»?|«I»+|«O»)|i{gen}|[0s]|«E»|«O»|switch«E»«S»|i(?:«D»)*(?:\.class)|class)"))
     post = rule("post", rx(r"(?:\.(?:new )?(?:<[i,.]*>)?(?:i|class)|«A»|«I»|\+\+|--|::(?:i|new))*"))
@@ -136,17 +139,17 @@ def _java() -> Grammar:
     low = rule("low", rf"{one}(?:(?:{_BINARY}|{_ASSIGN}| instanceof (?:final )?){one}(?:(?<=i) i)?)*")
     ex = rule("ex", rf"{low}(?:\?{low}:{low})*")
     do = rule("do", rx(rf"(?:(?:{un}{atom}{post}){_ASSIGN}{ex}|(?:\+\+|--){one}|{one}(?:(?<=[\ue000-\ue3ff])|(?<=\+\+)|(?<=--)))"))
-    decl = rule("decl", rf"{typ} i(?:{_SETS['«D»']})*(?:={ex})?(?:,i(?:={ex})?)*")
-    kinds = rule("kinds", rf"{mod}(?:(?:class|interface|enum|record|@interface) i{gen}{_SETS['«P»']}?(?: extends {typ}(?:,{typ})*)?(?: implements {typ}(?:,{typ})*)?(?: permits {typ}(?:,{typ})*)?)")
+    decl = rule("decl", rf"{typ}{_GAP}i(?:{_SETS['«D»']})*(?:={ex})?(?:,i(?:={ex})?)*")
+    kinds = rule("kinds", rf"{mod}(?:(?:class|interface|enum|record|@interface) i{gen}{_SETS['«P»']}?(?:(?: |(?<=[>\ue000-\ue3ff]))extends {typ}(?:,{typ})*)?(?:(?: |(?<=[>\ue000-\ue3ff]))implements {typ}(?:,{typ})*)?(?:(?: |(?<=[>\ue000-\ue3ff]))permits {typ}(?:,{typ})*)?)")
     case = rf"(?:case {ex}(?:,{ex})*|default)(?::|->)"
     stmt = rule("stmt", rx(rf"(?:if«E»|while«E»|for«F»|else ?|do ?|i:)*(?:;|«B»|(?:final |{one_ann})*{decl};|{do};|return(?: ?{ex})?;|throw ?{ex};|(?:break|continue|yield)(?: i)?;|yield ?{ex};|do«B»while«E»;|while«E»;|switch«E»«S»|try«A»?«B»(?:catch«P»«B»)*(?:finally«B»)?|synchronized«E»«B»|assert ?{ex}(?::{ex})?;|{kinds}(?:«K»|«U»))"))
-    member = rule("member", rx(rf"(?:;|(?:static)?«B»|{mod}(?:<[i,.?<>&]*(?: extends [i<>.&]*)?> ?)?(?:{typ} )?i«P»(?:«D»)*(?:throws i(?:\.i)*(?:,i(?:\.i)*)*)?(?:default ?{ex})?(?:«B»|;)|{mod}{decl};|{kinds}(?:«K»|«U»))"))
+    member = rule("member", rx(rf"(?:;|(?:static)?«B»|{mod}(?:<[i,.?<>&]*(?:(?: |(?<=[>\ue000-\ue3ff]))extends [i<>.&]*)?> ?)?(?:{typ}{_GAP})?i«P»(?:«D»)*(?:throws i(?:\.i)*(?:,i(?:\.i)*)*)?(?:default ?{ex})?(?:«B»|;)|{mod}i«B»|{mod}{decl};|{kinds}(?:«K»|«U»))"))
     top = rx(rf"(?:;|{ann}package i(?:\.i)*;|import (?:static )?i(?:\.i)*(?:\.\*)?;|{kinds}(?:«K»|«U»))")
-    param = rule("param", rf"(?:(?:final |{one_ann})*{typ} (?:i|this)(?:{_SETS['«D»']})*|i(?:\|i)*(?: i)?)")
+    param = rule("param", rf"(?:(?:final |{one_ann})*{typ}{_GAP}(?:i|this)(?:{_SETS['«D»']})*|i(?:\|i)*(?: i)?)")
     return Grammar(rule, 
         r"public private protected static final abstract synchronized native transient volatile default strictfp sealed(?=\s+\w) non-sealed class interface enum record(?=\s+\w+\s*[(<]) extends implements permits(?=\s+\w) new return if else while for do switch case break continue try catch finally throw throws import package instanceof assert super",
         {"B": stmt, "K": member, "S": rf"(?:{case}|{stmt}|{ex};)", "U": rx(rf"(?:{ann}i«A»?«K»?(?:,|;|\Z)|{member})"), "T": top},
-        {"(": {"A": rf"(?:{ex}(?:,{ex})*)?|(?:(?:final )?{typ} i={ex};?)+", "E": rf"{ex}|{typ}(?:&{typ})*", "P": rf"(?:{param}(?:,{param})*)?", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex})?;(?:{ex}(?:,{ex})*)?|(?:final )?{typ} i:{ex}"},
+        {"(": {"A": rf"(?:{ex}(?:,{ex})*)?|(?:(?:final )?{typ}{_GAP}i={ex};?)+", "E": rf"{ex}|{typ}(?:&{typ})*", "P": rf"(?:{param}(?:,{param})*)?", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex})?;(?:{ex}(?:,{ex})*)?|(?:final )?{typ}{_GAP}i:{ex}"},
          "{": {"O": rx(rf"(?:(?:«O»|{ex})(?:,(?:«O»|{ex}))*,?)?")}, "[": {"I": ex, "D": ""}})
 
 
@@ -161,28 +164,28 @@ def _cs() -> Grammar:
     post = rule("post", rx(rf"(?:(?:\?|!)?(?:\.|->)i{gen}|\??«I»|«A»|\+\+|--|!(?!=)|switch«O»|(?<=i) with«O»)*"))
     one = rule("one", rf"{un}(?:{atom}{post}|(?<==>){_SETS['«B»']})")
     low = rule("low", rf"{one}(?:(?:{_BINARY}|{_ASSIGN}| is (?:not )?| as | and | or ){one}(?:(?<=[i\]?]) i)?)*")
-    query = rule("query", rf"from (?:{typ} )?i in {low}(?: i(?: i=| i in)? ?{low})+")
+    query = rule("query", rf"i (?:{typ}{_GAP})?i in {low}(?: i(?: i=| i in)? ?{low})+")
     ex = rule("ex", rf"(?:{low}(?:\?{low}:{low})*|{query})")
     do = rule("do", rx(rf"(?:(?:{un}{atom}{post}){_ASSIGN}{ex}|(?:\+\+|--){one}|{one}(?:(?<=[\ue000-\ue3ff])|(?<=\+\+)|(?<=--)|(?<=!)))"))
-    decl = rule("decl", rf"{typ} i(?:={ex})?(?:,i(?:={ex})?)*")
-    where = rule("where", rf"(?:where i:(?:{typ}|new«A»|class|struct|notnull)(?:,(?:{typ}|new«A»|class|struct))*)*")
-    kinds = rule("kinds", rx(rf"{mod}(?:(?:class|interface|struct|record(?: struct| class)?) i{gen}«P»?(?::{typ}«A»?(?:,{typ})*)?{where}(?:«K»;?|;)|enum i(?::i)?«U»;?|delegate {typ} i{gen}«P»;)"))
-    stmt = rule("stmt", rx(rf"(?:if«E»|while«E»|for«F»|foreach«F»|await foreach«F»|else ?|do ?|using«A»|lock«E»|fixed«A»|i:)*(?:;|«B»|(?:const |using |await using |ref )?{decl};|{ex};|return ?(?:{ex})?;|throw ?(?:{ex})?;|(?:break|continue);|goto [i0s];|yield (?:return {ex}|break);|do«B»while«E»;|while«E»;|switch«E»«S»|try«B»(?:catch«P»?(?:when«E»)?«B»)*(?:finally«B»)?|(?:checked|unchecked|unsafe)«B»|(?:static |async )*{typ} i{gen}«P»(?:«B»|=>{ex};))"))
-    member = rule("member", rx(rf"(?:;|{mod}(?:event )?{decl};|{mod}(?:{typ} )?~?i(?:\.i)*{gen}«P»(?::(?:this|base)«A»|:i«A»)?{where}(?:«B»|;|=>{ex};)|{mod}{typ} (?:i(?:\.i)*|this«D»|this«I»|i«Z»)(?:«K»(?:={ex};)?|«B»(?:={ex};)?|=>{ex};)|{mod}(?:get|set|init|add|remove)(?:«B»|;|=>{ex};)|{mod}(?:{typ} )?operator ?(?:[-+*/%&|^<>!~=]+|i|true|false)«P»(?:«B»|;|=>{ex};)|{mod}(?:implicit|explicit) operator {typ}«P»(?:«B»|=>{ex};)|{kinds})"))
+    decl = rule("decl", rf"{typ}{_GAP}i(?:={ex})?(?:,i(?:={ex})?)*")
+    where = rule("where", rf"(?: ?where i:(?:{typ}|new«A»|class|struct|notnull)(?:,(?:{typ}|new«A»|class|struct))*)*")
+    kinds = rule("kinds", rx(rf"{mod}(?:(?:class|interface|struct|record(?: struct| class)?) i{gen}«P»?(?::{typ}«A»?(?:,{typ})*)?{where}(?:«K»;?|;)|enum i(?::i)?«U»;?|delegate {typ}{_GAP}i{gen}«P»;)"))
+    stmt = rule("stmt", rx(rf"(?:if«E»|while«E»|for«F»|foreach«F»|await foreach«F»|else ?|do ?|using«A»|lock«E»|fixed«A»|i:)*(?:;|«B»|(?:const |using |await using |ref )?{decl};|{ex};|return ?(?:{ex})?;|throw ?(?:{ex})?;|(?:break|continue);|goto [i0s];|yield (?:return {ex}|break);|do«B»while«E»;|while«E»;|switch«E»«S»|try«B»(?:catch«P»?(?:when«E»)?«B»)*(?:finally«B»)?|(?:checked|unchecked|unsafe)«B»|(?:static |async )*{typ}{_GAP}i{gen}«P»(?:«B»|=>{ex};))"))
+    member = rule("member", rx(rf"(?:;|{mod}(?:event )?{decl};|{mod}(?:{typ}{_GAP})?~?i(?:\.i)*{gen}«P»(?::(?:this|base)«A»|:i«A»)?{where}(?:«B»|;|=>{ex};)|{mod}{typ}{_GAP}(?:i(?:\.i)*|this«D»|this«I»|i«Z»)(?:«K»(?:={ex};)?|«B»(?:={ex};)?|=>{ex};)|{mod}(?:get|set|init|add|remove)(?:«B»|;|=>{ex};)|{mod}(?:{typ}{_GAP})?operator ?(?:[-+*/%&|^<>!~=]+|i|true|false)«P»(?:«B»|;|=>{ex};)|{mod}(?:implicit|explicit) operator {typ}«P»(?:«B»|=>{ex};)|{kinds})"))
     top = rule("top", rx(rf"(?:;|(?:global )?using (?:static )?(?:i=)?{typ};|extern i i;|namespace i(?:\.i)*(?:«X»;?|;)|«I»|«Z»|{kinds})"))
     prog = rx(rf"(?:{top}|{stmt})")
-    param = rule("param", rf"{att}(?:(?:ref|out|in|this|params|scoped) )*{typ}(?: i)?(?:={ex})?")
+    param = rule("param", rf"{att}(?:(?:ref|out|in|this|params|scoped) )*{typ}(?:{_GAP}i)?(?:={ex})?")
     return Grammar(rule, 
         r"public private protected internal static readonly const sealed abstract virtual override async(?=\s+\w|\s*\() partial(?=\s+\w) unsafe extern new required(?=\s+\w) volatile ref out in is as class interface struct record(?=\s+(?:struct|class|\w+\s*[(<{:;])) enum delegate event operator implicit explicit return if else while for foreach do switch case default break continue goto try catch finally throw using namespace lock fixed yield(?=\s+(?:return|break)) await(?=\s+[\w(]) typeof sizeof nameof(?=\s*\() checked unchecked stackalloc get(?=\s*(?:[;{]|=>)) set(?=\s*(?:[;{]|=>)) init(?=\s*(?:[;{]|=>)) add(?=\s*\{) remove(?=\s*\{) params(?=\s+\w) base where(?=\s+\w+\s*:) when(?=\s*\() with(?=\s*\{)",
         {"B": stmt, "K": member, "X": top, "S": rf"(?:(?:case {ex}(?:when {ex})?|default):|{stmt})", "T": prog},
-        {"(": {"A": rf"(?:(?:i:)?(?:(?:ref|out|in) )?(?:{typ} i(?:={ex})?|{ex})(?:,(?:i:)?(?:(?:ref|out|in) )?(?:{typ} i|{ex}))*)?", "E": rf"{ex}|{typ}", "P": rf"(?:{param}(?:,{param})*)?|i(?:,i)*", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex})?;(?:{ex}(?:,{ex})*)?|(?:{typ}|var) (?:i|{_SETS['«A»']}) ?in ?{ex}", "T": rf"{typ}(?: i)?(?:,{typ}(?: i)?)+"},
+        {"(": {"A": rf"(?:(?:i:)?(?:(?:ref|out|in) )?(?:{typ}{_GAP}i(?:={ex})?|{ex})(?:,(?:i:)?(?:(?:ref|out|in) )?(?:{typ}{_GAP}i|{ex}))*)?", "E": rf"{ex}|{typ}", "P": rf"(?:{param}(?:,{param})*)?|i(?:,i)*", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex})?;(?:{ex}(?:,{ex})*)?|(?:{typ}|var){_GAP}(?:i|{_SETS['«A»']}) ?in ?{ex}", "T": rf"{typ}(?:{_GAP}i)?(?:,{typ}(?:{_GAP}i)?)+"},
          "{": {"O": rx(rf"(?:(?:«O»|(?:i|«I»)=«O»|{ex}(?:=>{ex})?)(?:,(?:«O»|(?:i|«I»)=«O»|{ex}(?:=>{ex})?))*,?)?"), "U": rx(rf"(?:{att}i(?:={ex})?(?:,{att}i(?:={ex})?)*,?)?")},
          "[": {"I": rf"(?:{ex}(?:\.\.(?:{ex})?)?|\.\.(?:{ex})?)(?:,{ex})*,?", "D": r",*", "Z": rf"(?:i:)?.*|{param}"}})
 
 
 def _c(cpp: bool) -> Grammar:
     rule = Rules()
-    gen = r"(?:<[i,.:0*&<>\[\] \ue000-\uefff]*(?:const[i,.:0*&<> ]*)*>)?" if cpp else ""
+    gen = rule("gen", r"(?:<(?:[i0s,.:*&<>=\[\] \ue000-\uefff]|const|unsigned|signed|long|short|int|char|float|double|void|bool|auto|typename|struct|class)*>)?") if cpp else ""
     name = rf"(?:::)?i{gen}(?:::~?i{gen})*" if cpp else "i"
     cv = r"(?:(?:const|volatile|static|inline|extern|register|restrict|constexpr|mutable|virtual|explicit|friend|thread_local|typename|_Atomic|consteval|constinit) ?)*" if cpp else r"(?:(?:const|volatile|static|inline|extern|register|restrict|_Noreturn|_Atomic|_Thread_local) ?)*"
     word = r"(?:(?:unsigned|signed|long|short|int|char|float|double|void|bool|auto)(?: (?:unsigned|signed|long|short|int|char|float|double))*|(?:struct|union|enum|class) i" if cpp else r"(?:(?:unsigned|signed|long|short|int|char|float|double|void|_Bool)(?: (?:unsigned|signed|long|short|int|char|float|double))*|(?:struct|union|enum) i"
@@ -196,7 +199,7 @@ def _c(cpp: bool) -> Grammar:
     low = rule("low", rf"{one}(?:(?:{_BINARY}|{_ASSIGN}){one})*")
     ex = rule("ex", rf"{low}(?:\?{low}?:{low})*")
     init = rule("init", rx(rf"(?:={ex}" + (r"|«A»|«O»" if cpp else "") + ")?"))
-    dtor = rule("dtor", rx(rf"{ptr}{sp}(?:{name}|«E»(?=[\ue000-\ue3ff])«P»" + (r"|«I»" if cpp else "") + rf")(?:«I»|«D»)*(?::{ex})?{init}"))
+    dtor = rule("dtor", rx(rf"{ptr}{sp}(?:{name}|«E»(?=[\ue000-\ue3ff])«P»" + (r"|«I»|«Z»" if cpp else "") + rf")(?:«I»|«D»)*(?::{ex})?{init}"))
     att = rule("att", rx(r"(?:__attribute__«A»|«Z»)*" if cpp else r"(?:__attribute__«A»)*"))
     decl = rule("decl", rf"{att}{typ}{sp}{dtor}(?:,{dtor})*{att}")
     agg = rule("agg", rx(rf"(?:struct|union" + ("|class" if cpp else "") + rf")(?: i{gen}(?: final)?(?::(?:(?:public|private|protected|virtual) ?)*{name}(?:,(?:(?:public|private|protected|virtual) ?)*{name})*)?)?" .replace("{gen}", gen) + r"«K»"))
@@ -221,27 +224,27 @@ def _c(cpp: bool) -> Grammar:
     field = rule("field", rf"(?:\.i(?:{_SETS['«I»']})*=|{_SETS['«I»']}=)?(?:{_SETS['«O»']}|{ex})")
     return Grammar(rule, 
         key, {"B": stmt, "K": items, "X": items, "T": items},
-        {"(": {"A": rf"(?:(?:{ex}|{typ}{ptr})(?:,(?:{ex}|{typ}{ptr}))*)?", "E": rf"{ex}(?:,{ex})*|{decl}|{typ}{ptr}|\*+(?:const )?i?|[*&]i(?:{_SETS['«I»']})*" + (r"|\.\.\." if cpp else ""), "P": rf"(?:{param}(?:,{param})*)?|void", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?" + (rf"|{typ}{ptr} ?(?:i|{_SETS['«I»']}):{ex}|{decl};{ex}" if cpp else "")},
+        {"(": {"A": rf"(?:(?:{ex}|{typ}{ptr})(?:,(?:{ex}|{typ}{ptr}))*)?", "E": rf"{ex}(?:,{ex})*|{decl}|{typ}{ptr}|\*+(?:const )?i?|[*&]i(?:{_SETS['«I»']})*" + (r"|\.\.\." if cpp else ""), "P": rf"(?:{param}(?:,{param})*)?|void", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?" + (rf"|{typ}{ptr} ?(?:i|{_SETS['«I»']}|{_SETS['«Z»']}):{ex}|{decl};{ex}" if cpp else "")},
          "{": {"O": rf"(?:{field}(?:,{field})*,?)?", "U": rf"(?:i(?:={ex})?(?:,i(?:={ex})?)*,?)?"},
          "[": {"I": rf"(?:static )?{ex}", "D": "", **({"Z": r"(?:[=&*i,.]|this|\ue800)*" + chr(0) + "?"} if cpp else {})}})
 
 
 def _js(ts: bool) -> Grammar:
     rule = Rules()
-    gen = r"(?:<[i,.|&?=<>\[\]s0 \ue000-\uefff]*(?:(?:extends|keyof|typeof) [i,.|&?=<>s ]*)*>)?" if ts else ""
+    gen = r"(?:<[i,.|&?=<>\[\]s0 \ue000-\uefff]*(?:(?:extends|keyof|typeof|void|null|this|readonly|in) ?[i,.|&?=<>s\[\] \ue000-\uefff]*)*>)?" if ts else ""
     gen = rule("gen", gen) if ts else ""
     prim = rx(rf"(?:(?:readonly |keyof |typeof |unique |infer |asserts )*(?:i{gen}(?:\.i{gen})*|[0s]|-0|void|null|«O»|«N»|«K»|«B»|«I»|«D»|«Q»(?!=>)|this)(?:«I»|«D»)*|(?:new ?)?{gen}«P»=>(?:i is )?)") if ts else ""
     prim = rule("prim", prim) if ts else ""
-    typ = rx(rf"(?:[|&]?{prim})+(?: is {prim})?(?: extends {prim}\?{prim}:{prim})?") if ts else ""
+    typ = rx(rf"(?:[|&]?{prim})+(?: is {prim})?(?:(?: |(?<=[>\ue000-\ue3ff]))extends {prim}\?{prim}:{prim})?") if ts else ""
     typ = rule("typ", typ) if ts else ""
     ann = rf"(?:[?!]?:{typ})?" if ts else ""
     ann = rule("ann", ann) if ts else ""
     un = rule("un", rx(rf"(?:\+\+|--|[-+!~]|typeof ?|void ?|delete ?|await ?|yield\*? ?|\.\.\.|(?:async ?)?(?:i|{gen}«P»{ann})=>|new (?=new))*"))
     fn = rule("fn", rx(rf"(?:async )?function\*?(?: ?i)?{gen}«P»{ann}«B»"))
-    cls = rx(rf"class(?: i{gen})?(?: extends (?:i(?:\.i)*{gen}|«A»|i(?:\.i)*«A»))?" + (rf"(?: implements {typ}(?:,{typ})*)?" if ts else "") + "«K»")
+    cls = rx(rf"class(?: i{gen})?(?:(?: |(?<=[>\ue000-\ue3ff]))extends (?:i(?:\.i)*{gen}|«A»|i(?:\.i)*«A»))?" + (rf"(?:(?: |(?<=[>\ue000-\ue3ff]))implements {typ}(?:,{typ})*)?" if ts else "") + "«K»")
     cls = rule("cls", cls)
-    target = rule("target", r"(?:new (?:i(?:\.i)*|«E»|this)" if not ts else rf"(?:new (?:i(?:\.i)*{gen}|«E»|this)")
-    atom = rx(rf"{target}«A»?|i{gen if ts else ''}|[0s]|this|super|null|«E»|«I»|«D»|«O»|{fn}|{cls}|import«A»|import\.i|new\.i)")
+    target = rule("target", rx(rf"new (?:i(?:\.i)*{gen}|«E»|this)"))
+    atom = rx(rf"(?:{target}«A»?|i{gen if ts else ''}|[0s]|this|super|null|«E»|«I»|«D»|«O»|{fn}|{cls}|import«A»|import\.i|new\.i)")
     atom = rule("atom", atom)
     post = rx(rf"(?:\??\.#?(?:i|«I»|«A»)|{gen}«A»|«I»|\+\+|--|s" + ("|!(?!=)" if ts else "") + ")*")
     post = rule("post", post)
@@ -255,13 +258,13 @@ def _js(ts: bool) -> Grammar:
     end = r"(?:;|\n+|\Z)"
     names = rule("names", rx(r"(?:i|\*(?: ?(?:as|i) i)?|«N»)"))
     head = rule("head", rx(r"\n*(?:(?:if«E»|while«E»|for(?: await)?«F»|else(?: |\b)?|do ?|i:|with«E»)\n*)*"))
-    decls = rf"interface i{gen}(?: extends {typ}(?:,{typ})*)?(?:«K»|«O»)|type i{gen}={typ}{end}|(?:const )?enum i«U»|(?:declare )?(?:namespace|module) (?:i(?:\.i)*|s)«B»|abstract {cls}|declare (?:{var}{end}|{cls}|function i{gen}«P»{ann}{end})|function\*? ?i{gen}«P»{ann}{end}" if ts else ""
+    decls = rf"interface i{gen}(?:(?: |(?<=[>\ue000-\ue3ff]))extends {typ}(?:,{typ})*)?(?:«K»|«O»)|type i{gen}={typ}{end}|(?:const )?enum i«U»|(?:declare )?(?:namespace|module) (?:i(?:\.i)*|s)«B»|abstract {cls}|declare (?:{var}{end}|{cls}|function i{gen}«P»{ann}{end})|function\*? ?i{gen}«P»{ann}{end}" if ts else ""
     decls = rule("decls", decls)
-    core = rx(rf"(?:;|«B»|(?:@i(?:\.i)*«A»?\n*)*{cls}|{fn}|{var}{end}|return ?(?:{comma})?{end}|throw ?{comma}{end}|(?:break|continue)(?: i)?{end}|debugger{end}|do«B»\n*while«E»{end}|switch«E»«S»|try«B»\n*(?:catch(?:«E»|«P»)?«B»\n*)?(?:finally«B»)?|import ?(?:type )?(?:i,)?{names} ?i ?s{end}|import ?(?:i|s){end}|export (?:type )?{names}(?: ?i ?s)?{end}|export ?\*(?: ?(?:as|i) i)? ?i ?s{end}|export default (?:async )?(?:{fn}|{cls}|{comma}{end})|export ?«N»(?: ?i ?s)?{end}|export (?:async )?(?:{var}{end}|{fn}|{cls}" + (f"|{decls}" if ts else "") + rf")|{comma}{end}" + (f"|{decls}|import i=(?:{comma}){end}" if ts else "") + ")")
+    core = rx(rf"(?:;|«B»|(?:@i(?:\.i)*«A»?\n*)*{cls}|{fn}|{var}{end}|return ?(?:{comma})?{end}|throw ?{comma}{end}|(?:break|continue)(?: i)?{end}|debugger{end}|do«B»\n*while«E»{end}|switch«E»«S»|try«B»\n*(?:catch(?:«E»|«P»)?«B»\n*)?(?:finally«B»)?|import ?(?:type ?)?(?:i,)?{names} ?i ?s{end}|import ?(?:i|s){end}|export (?:type ?)?{names}(?: ?i ?s)?{end}|export ?\*(?: ?(?:as|i) i)? ?i ?s{end}|export default (?:async )?(?:{fn}|{cls}|{comma}{end})|export ?«N»(?: ?i ?s)?{end}|export (?:async )?(?:{var}{end}|{fn}|{cls}" + (f"|{decls}" if ts else "") + rf")|{comma}{end}" + (f"|{decls}|import i=(?:{comma}){end}" if ts else "") + ")")
     core = rule("core", core)
     stmt = rf"{head}{core}|\n+"
     # two statements on one line without a separator must not pass: after the expression comes an end, checked inside core
-    mods = r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override|declare|accessor) )*\*?" if ts else r"(?:(?:static|async|get|set) )*\*?"
+    mods = r"(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override|declare|accessor) ?)*\*?" if ts else r"(?:(?:static|async|get|set) ?)*\*?"
     key = rule("key", rx(r"(?:#?i|s|0|«I»|get|set|static|async|constructor)"))
     member = rx(rf"(?:;|\n+|(?:@i(?:\.i)*«A»?\n*)+|static«B»|{mods}{key}{'[?!]?' if ts else ''}{gen}«P»{ann}\n*«B»|{mods}{key}{ann}(?:={ex}){end}|{mods}{key}{ann}{end}" + (rf"|{mods}(?:{key}[?]?)?{gen}«P»{ann}(?:;|,|\n+|\Z)|{mods}«Z»(?:[?]?:{typ})(?:;|,|\n+|\Z)|{mods}{key}[?!]?:{typ}(?:;|,|\n+|\Z)" if ts else "") + ")")
     member = rule("member", member)
@@ -281,9 +284,9 @@ def _js(ts: bool) -> Grammar:
 def _php() -> Grammar:
     rule = Rules()
     name = rule("name", r"(?:\\)?i(?:\\i)*")
-    typ = rule("typ", rf"\??{name}(?:[|&]{name})*")
+    typ = rule("typ", rf"\??(?:{name}|array|static)(?:[|&](?:{name}|array|static))*")
     un = rule("un", r"(?:\+\+|--|[-+!~@&]|new ?(?=class)|clone ?|print ?|(?:include|require)(?:_once)? ?|yield(?: from)? ?|throw ?|fn«P»(?::" + typ + r")?=>|\.\.\.|«E»(?=[iv0s\ue000-\uefff!~@-]|new))*")
-    atom = rule("atom", rx(rf"(?:new (?:{name}|static|v(?:(?:->|::)v?i?)*)(?:«A»)?|new ?class«A»?(?: extends {name})?(?: implements {name}(?:,{name})*)?«K»|{name}|static|v|[0s]|«E»|«I»|array«A»|list«A»|(?:isset|empty|exit|die|unset|eval)«A»|exit|die|(?:static )?function&?«P»(?:use«A»)?(?::{typ})?«B»|match«E»«O»|\$«B»)"))
+    atom = rule("atom", rx(rf"(?:new (?:{name}|static|v(?:(?:->|::)v?i?)*)(?:«A»)?|new ?class«A»?(?:(?: |(?<=[>\ue000-\ue3ff]))extends {name})?(?:(?: |(?<=[>\ue000-\ue3ff]))implements {name}(?:,{name})*)?«K»|{name}|static|v|[0s]|«E»|«I»|array«A»|list«A»|(?:isset|empty|exit|die|unset|eval)«A»|exit|die|(?:static )?function&?«P»(?:use«A»)?(?::{typ})?«B»|match«E»«O»|\$«B»)"))
     post = rule("post", rx(r"(?:\??->(?:i|v|«B»|«O»|list|array|print|default|class|use|for|new)|::(?:i|v|class)|«A»|«I»|«B»(?=\ue7ff)|\+\+|--)*"))
     one = rule("one", rf"{un}{atom}{post}")
     low = rule("low", rf"{one}(?:(?:{_BINARY}|\*\*|\.(?!\.)|{_ASSIGN}&?|<>| (?:and|or|xor|instanceof) ?){one})*")
@@ -291,8 +294,8 @@ def _php() -> Grammar:
     args = rule("args", rf"(?:(?:i:)?{ex}(?:,(?:i:)?{ex})*,?|\.\.\.)?")
     kv = rule("kv", rf"(?:{ex}=>)?&?{ex}")
     att = rule("att", rx(r"(?:#«I»)*"))
-    mod = rule("mod", rf"{att}(?:(?:public|private|protected|static|final|abstract|readonly|var) )*")
-    cls = rule("cls", rx(rf"{att}(?:(?:final|abstract|readonly) )*(?:class|interface|trait|enum) i(?::i)?(?: extends {name}(?:,{name})*)?(?: implements {name}(?:,{name})*)?«K»"))
+    mod = rule("mod", rf"{att}(?:(?:public|private|protected|static|final|abstract|readonly|var)(?: |(?=\?)))*")
+    cls = rule("cls", rx(rf"{att}(?:(?:final|abstract|readonly) )*(?:class|interface|trait|enum) i(?::i)?(?:(?: |(?<=[>\ue000-\ue3ff]))extends {name}(?:,{name})*)?(?:(?: |(?<=[>\ue000-\ue3ff]))implements {name}(?:,{name})*)?«K»"))
     fn = rule("fn", rx(rf"{att}function ?&?i«P»(?::{typ})?(?:«B»)"))
     stmt = rule("stmt", rx(rf"(?:if«E»:?|elseif«E»:?|while«E»:?|for«F»:?|foreach«F»:?|else:?(?: |\b)?|do ?|declare«A»(?=;|«B»)|i:(?!:))*(?:;|«B»|{ex};|return ?(?:{ex})?;|echo ?{ex}(?:,{ex})*;|(?:break|continue)(?: ?0)?;|do«B»while«E»;|while«E»;|switch«E»«S»|try«B»(?:catch«P»«B»)*(?:finally«B»)?|throw ?{ex};|global v(?:,v)*;|static v(?:={ex})?(?:,v(?:={ex})?)*;|unset«A»;|(?:endif|endwhile|endfor|endforeach|endswitch);|namespace ?{name}(?:;|«B»)|use ?(?:function |const )?{name}(?: as i)?(?:,{name}(?: as i)?)*;|use ?{name}\\«N»;|const (?:i )?i={ex}(?:,i={ex})*;|{cls}|{fn}|goto i;|h)"))
     member = rule("member", rx(rf"(?:;|{mod}(?:{typ} )?v(?:={ex})?(?:,v(?:={ex})?)*;|{mod}const (?:{typ} )?i={ex}(?:,i={ex})*;|{mod}function ?&?(?:i|list|print|echo|default|class|use|for|new)«P»(?::(?:static|{typ}))?(?:«B»|;)|use {name}(?:,{name})*(?:;|«B»|«K»)|case i(?:={ex})?;)"))
@@ -333,7 +336,7 @@ def _go() -> Grammar:
     item = rule("item", rf"(?:{ex}:)?(?:{_SETS['«O»']}|{ex})")
     return Grammar(rule, 
         "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
-        {"B": stmt, "K": rx(rf"\n*(?:\n+|;|i(?:,i)* ?{typ}(?:s)?{end}|\*?i(?:\.i)?(?:s)?{end}|i«P»{res}{end}|~?{typ}(?:\|~?{typ})*{end})"), "S": rf"\n*(?:(?:case ?(?:{simple}|{lst}|{typ}(?:,{typ})*)|default):|{stmt})", "T": top},
+        {"B": stmt, "K": rx(rf"\n*(?:\n+|;|i(?:,i)* ?{typ}(?: ?s)?{end}|\*?i(?:\.i)?(?: ?s)?{end}|i«P»{res}{end}|~?{typ}(?:\|~?{typ})*{end})"), "S": rf"\n*(?:(?:case ?(?:{simple}|{lst}|{typ}(?:,{typ})*)|default):|{stmt})", "T": top},
         {"(": {"A": rf"(?:(?:{lst}|{typ}(?:,{lst})?)(?:\.\.\.)?,?)?", "E": rf"{ex}|type|{typ}", "P": rf"(?:{param}(?:,{param})*,?)?", "Q": rf"(?:;?(?:(?:i |\.)?s|{spec}|{tspec}|i))*;?"},
          "{": {"O": rf"(?:{item}(?:,{item})*,?)?"},
          "[": {"I": rf"(?:{ex})?(?::(?:{ex})?){{0,2}}|{typ}(?:,{typ})*|\.\.\.", "D": "", "Z": r"i(?:,i)* ?[i|~.,* ]*"}}, newlines=True)

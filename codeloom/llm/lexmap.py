@@ -35,12 +35,13 @@ def _tokens(*parts: str) -> re.Pattern:
 
 # What is taken out of the code before words are looked at, by language; the order of alternatives is the lexer's order.
 _REGEX_JS = r"(?:(?<=[=(,:!&|?;{}\[\n])|(?<=return)|(?<==>)) ?/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`'\"]|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|\{[^{}]*\})*\})*`"
 SCAN = {
     ".java": _tokens(_LINE, _BLOCK, r'"""[\s\S]*?(?:"""|\Z)', _DQ, r"'(?:[^'\\\n]|\\u*[0-9a-fA-F]+|\\.)'", _CONFLICT, r"[\"'`#\\]"),
     ".cs": _tokens(_LINE, _BLOCK, r'\$?"""[\s\S]*?(?:"""|\Z)', r'(?:\$@|@\$|@)"(?:[^"]|"")*(?:"|\Z)', r"\$?" + _DQ, r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'", _CONFLICT, r"^[ \t]*#[^\n]*", r"[\"'`#\\]"),
     ".c": _tokens(_LINE, _BLOCK, r"^[ \t]*#(?:[^\n\\/]|\\[\s\S]|/(?![*/]))*", r"(?:L|u8?|U)?" + _DQ, r"(?:L|u8?|U)?'(?:[^'\\\n]|\\[^\n])+'", _CONFLICT, r"[\"'`#\\@$]"),
     ".cpp": _tokens(_LINE, _BLOCK, r"^[ \t]*#(?:[^\n\\/]|\\[\s\S]|/(?![*/]))*", r'R"([^(\s]{0,16})\([\s\S]*?(?:\)\1"|\Z)', r"(?:L|u8?|U)?" + _DQ, r"(?<![0-9a-fA-F])(?:L|u8?|U)?'(?:[^'\\\n]|\\[^\n])+'", _CONFLICT, r"[\"`#\\@$]|(?<![0-9a-fA-F])'"),
-    ".js": _tokens(_LINE, _BLOCK, _DQ, _SQ, r"`(?:[^`\\]|\\[\s\S])*(?:`|\Z)", _CONFLICT, _REGEX_JS, r"\A#![^\n]*", r"[\"'`\\]"),
+    ".js": _tokens(_LINE, _BLOCK, _DQ, _SQ, _TEMPLATE, r"`(?:[^`\\]|\\[\s\S])*(?:`|\Z)", _CONFLICT, _REGEX_JS, r"\A#![^\n]*", r"[\"'`\\]"),
     ".go": _tokens(_LINE, _BLOCK, _DQ.replace(r"[\s\S]", "."), r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'", r"`[^`]*(?:`|\Z)", _CONFLICT, r"[\"'`\\#@$?]"),
     ".php": _tokens(r"//(?:[^\n?]|\?(?!>))*|\#(?!\[)(?:[^\n?]|\?(?!>))*", _BLOCK, r'"(?:[^"\\]|\\[\s\S])*(?:"|\Z)', r"'(?:[^'\\]|\\[\s\S])*(?:'|\Z)", r"<<<[ \t]*([\"']?)(\w+)\1\r?\n(?:[\s\S]*?\n)?[ \t]*\2\b|<<<[ \t]*[\"']?[A-Za-z]\w*[\s\S]*", r"\?>[\s\S]*?(?:<\?(?:php\b|=)|\Z)", _CONFLICT, r"`[^`]*`", r"[\"'`]"),
     ".py": _tokens(r"#[^\n]*", r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*(?:"""|\Z)', r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*(?:'''|\Z)", _DQ, _SQ, _CONFLICT, r"[\"'`?$!](?!=)"),
@@ -120,7 +121,12 @@ def _taker(ext: str) -> Callable[[re.Match], str]:
 
 
 _NUMBER = re.compile(r"(?<![\w$])(?:0[xX][0-9a-fA-F_']+|0[bB][01_']+|\d[\d_']*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)[a-zA-Z]{0,3}(?![\w.])")
-_SPACE = re.compile(r"(?<![\w\x00]) +| +(?![\w\x00])")
+_SPACE = re.compile(r"(?<![\w\x00]) ++| ++(?![\w\x00])")
+
+
+# Line ends that end no statement.
+_GO_JOINT = re.compile(r"(?<=[,({\[=+\-*/%&|<>:.!^;])(?<!\+\+)(?<!--)\n")
+_JS_JOINT = re.compile(r"\n(?=(?:catch|finally)\b)|(?<=[,(\[=*/%&|<>:?.!^{;])\n|(?<![+-])(?<=[+-])\n(?=.)|\n(?=[.?:=*/%&|<>^,)\]]|[+-](?![+-]))")
 
 
 def _by_letter(words: list[str]) -> str:
@@ -160,16 +166,13 @@ class Lexer:
         out = out.replace("\r", "").replace("\t", " ").replace("\f", " ").replace("\x00", BAD).replace("\ufeff", "")
         if self.lines:
             out = re.sub(r" *\n[ \n]*", "\n", out)
-            if self.ext == ".go":
-                out = re.sub(r"(?<=[,({\[=+\-*/%&|<>:.!^;])(?<!\+\+)(?<!--)\n", "", out)
-            else:
-                out = re.sub(r"(?<=[,(\[=*/%&|<>:?.!^{;])\n|(?<![+-])(?<=[+-])\n(?=.)|\n(?=[.?:=*/%&|<>^,)\]]|[+-](?![+-]))", "", out)
+            out = (_GO_JOINT if self.ext == ".go" else _JS_JOINT).sub("", out)
         else:
             out = out.replace("\n", " ")
         out = _SPACE.sub("", out)
         out = re.sub(r"  +", " ", out)
         if self.ext in (".c", ".cpp", ".h", ".java", ".cs", ".php", ".go", ".js", ".ts"):
-            out = re.sub(r"s(?:[ \n]?s)+", "s", out) if self.ext in (".c", ".cpp", ".h") else out
+            out = re.sub(r"\bs(?: s\b)+", "s", out) if self.ext in (".c", ".cpp", ".h") else out
         if "0,0," in out:  # tables of numbers
             out = re.sub(r"(?:-?0,){2,}", "0,", out)
         return state, out
@@ -191,6 +194,8 @@ def cut(text: str, size: int = CHUNK_CHARS) -> list[str]:
     out, pos = [], 0
     while pos < len(text):
         end = text.rfind("\n", pos, pos + size) + 1 or text.find("\n", pos) + 1 or len(text)
+        while text[max(0, end - 3):end].endswith(("\\\n", "\\\r\n")) and end < len(text):  # a continued line is one line
+            end = text.find("\n", end) + 1 or len(text)
         out.append(text[pos:end])
         pos = end
     return out
@@ -252,7 +257,10 @@ def combine(ext: str, a: dict[str, tuple[str, str]], b: dict[str, tuple[str, str
             out[s] = total if total[0] == ERROR else (end, total[1])
         else:
             (m, left), (n, right) = _marks(left), _marks(right)
-            code = grammar(ext).reduce(left + (" " if left[-1:].isalnum() and right[:1].isalnum() else "") + right)
+            code = left + (" " if left[-1:].isalnum() and right[:1].isalnum() else "") + right
+            if ext in (".js", ".ts", ".go"):
+                code = (_GO_JOINT if ext == ".go" else _JS_JOINT).sub("", code)
+            code = grammar(ext).reduce(code)
             out[s] = (ERROR, "") if code is None else (end, _cancel(m + n) + code)
     return out
 
@@ -276,6 +284,7 @@ _PY_PREFIX = re.compile(r"(?<!\w)(?:[rRuUbBfFtT]|[rR][bBfFtT]|[bBfFtT][rR])" + T
 _PY_STATEMENT: dict[str, str] = {}
 _PY_NUM = re.compile(r"(?<![\w.])(?:0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*|0[oO][0-7]+|0[bB][01]+|(?:0|[1-9]\d*(?:_\d+)*)(?![\d.eEjJ_])|(?:\d+(?:_\d+)*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[jJ]?)(?![\w.])")
 _PY_HEAD = re.compile(r"(?:async )?(if|elif|else|for|while|try|except|finally|with|def|class|match|case)\b")
+_PY_CLAUSES = frozenset("if elif else for while try except finally with def class".split())
 _PY_AFTER = {"elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "except"), "except": ("try", "except"), "finally": ("try", "except", "else")}
 
 
@@ -293,6 +302,8 @@ def _py_kind(form: str) -> str:
             body += "\nfinally: pass"
     elif word in ("elif", "else", "except", "finally") and ":" in form:
         body = {"elif": "if 0: pass\n", "else": "if 0: pass\n", "except": "try: pass\n", "finally": "try: pass\n"}[word] + body
+    elif word == "try":
+        body += "\nfinally: pass"
     elif form.startswith("@"):
         body += "\ndef i(): pass"
     wrapped = "async def i():\n for i in i:\n  " + body.replace("\n", "\n  ") + "\n"
@@ -302,7 +313,7 @@ def _py_kind(form: str) -> str:
             ast.parse(wrapped)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return ""
-    return f"h{word}" if word and form.endswith(":") else "d" if form.startswith("@") else f"o{word}" if word in _PY_AFTER else "s"
+    return f"h{word}" if word and form.endswith(":") else "d" if form.startswith("@") else f"o{word}" if word in _PY_CLAUSES else "s"
 
 
 def py_residue(text: str) -> tuple[str, str]:

@@ -40,6 +40,7 @@ _HIGH = re.compile(r"[^\x00-\x7f]")
 _SEGMENT = re.compile(r"[^\x00-\x7f](?:[^\n]*[^\x00-\x7f])?")
 _WORDS = re.compile(r"[^\s\x00-\x1f\"'()\[\]{}<>,;:/|=+*&%#@!?^~`$\\]*[^\x00-\x7f][^\s\x00-\x1f\"'()\[\]{}<>,;:/|=+*&%#@!?^~`$\\]*")
 _ESCAPED = re.compile(r"(?:\\u00[c-f][0-9a-f]\\u00[89ab][0-9a-f]|&[AC][a-z]+;&[a-z]+;|\\x[c-f][0-9a-f]\\x[89ab][0-9a-f]|&#(?:19[4-9]|2[0-4]\d);&#1[2-9]\d;|%[CDE][0-9A-F](?:%[89AB][0-9A-F])+)", re.I)
+_CYRILLIC = re.compile(r"[\u0400-\u052f_.\-]+")
 _RUN = re.compile(r"(.)\1{2,}", re.S)
 
 _C1252: dict[str, int] = {}
@@ -195,10 +196,14 @@ _EVERY = {chr(b) for b in range(128)}
 _SEEN: dict[str, tuple[str, bool] | None] = {}
 
 
+def _plain(s: str) -> str:
+    return re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|%([0-9A-F]{2})", lambda m: chr(int(m[1] or m[2] or m[3], 16)), s)
+
+
 def _next(s: str) -> Iterator[str]:
     if _ESCAPED.search(s):
         yield html.unescape(s)
-        yield re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|%([0-9A-F]{2})", lambda m: chr(int(m[1] or m[2] or m[3], 16)), s)
+        yield _plain(s)
     done: set[bytes] = set()
     for a in READ_AS:
         raw = _encode(s, a)
@@ -231,7 +236,7 @@ def _search(s: str) -> tuple[str, bool] | None:
     if "�" in s:
         return s, False
     sample = _RUN.sub(r"\1\1", s)
-    first = cost(sample) if not _ESCAPED.search(sample) else cost(html.unescape(sample)) + 6
+    first = cost(sample) if not _ESCAPED.search(sample) else max(cost(u) for u in (html.unescape(sample), _plain(sample))) + 6
     if first < MARGIN:
         return None
     heap, seen, nodes = [(first, 0, s)], {s}, 0
@@ -289,8 +294,13 @@ def field(text: str) -> tuple[str | None, bool] | None:
                 out.append(line[:a] + whole[0] + line[b:])
                 continue
 
+            swapped = len(seg) <= MAX_SEGMENT and not whole and len(_CYRILLIC.findall(seg)) > 1
+
             def word(w: re.Match) -> str:
                 nonlocal hit, lost
+                # one alphabet read as another of the same script shows in whole phrases, not in single words of one
+                if swapped and _CYRILLIC.fullmatch(w.group()):
+                    return w.group()
                 found = search(w.group()) if len(w.group()) <= MAX_SEGMENT else None
                 if found:
                     hit = True
