@@ -76,6 +76,7 @@ BY_EXTENSION: dict[str, dict[str, tuple[str, ...]]] = {
 SCORE = {"input": 4, "sink": 6, "validation": 2, "safety": 1}
 PRIORITY = {"input": 120, "sink": 160, "validation": 70, "safety": 50}
 FLAGS = "(?iudU)"  # case-insensitive with Unicode words; '.' stops at line feeds only
+ASCII_FLAGS = "(?id)"  # the same on ASCII text, and several times faster
 
 
 def patterns(ext: str, kind: str) -> tuple[str, ...]:
@@ -90,9 +91,12 @@ def corpus(*parts: str) -> Column:
 def hits(text: Column, ext: Column, kind: str) -> Column:
     """Distinct hits (their case counts) in the order of patterns, then of places."""
 
+    def all_of(e: str, flags: str) -> Column:
+        each = [F.regexp_extract_all(text, F.lit(flags + p), F.lit(0)) for p in patterns(e, kind)]
+        return F.concat(*each) if len(each) > 1 else each[0]
+
     def found(e: str) -> Column:
-        each = [F.regexp_extract_all(text, F.lit(FLAGS + p), F.lit(0)) for p in patterns(e, kind)]
-        every = F.concat(*each) if len(each) > 1 else each[0]
+        every = F.when(F.octet_length(text) == F.length(text), all_of(e, ASCII_FLAGS)).otherwise(all_of(e, FLAGS))
         return F.array_distinct(F.filter(F.transform(every, lambda c: F.trim(c)), lambda t: F.length(t) > 0))
 
     return reduce(lambda other, e: F.when(ext == e, found(e)).otherwise(other), reversed(BY_EXTENSION), found(""))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,12 +42,16 @@ def listings(files: DataFrame) -> DataFrame:
 
 
 def is_boundary(line, ext):
+    # a head with its parameter list cannot match a line without a bracket or one that ends a statement: most lines need no search
+    head = line.contains("(") & ~F.rtrim(line).endswith(";")
+
+    def any_of(rules: tuple[str, ...], flags: str):
+        return reduce(lambda a, b: a | b, [head & line.rlike(flags + r) if r"\([^;]*\)" in r else line.rlike(flags + r) for r in rules])
+
+    ascii_line = F.octet_length(line) == F.length(line)  # Unicode classes are needed only beyond ASCII, and slow
     out = F.lit(False)
     for e, rules in BOUNDARIES.items():
-        hit = F.lit(False)
-        for r in rules:
-            hit = hit | line.rlike("(?U)" + r)
-        out = F.when(ext == e, hit).otherwise(out)
+        out = F.when(ext == e, F.when(ascii_line, any_of(rules, "")).otherwise(any_of(rules, "(?U)"))).otherwise(out)
     return out
 
 

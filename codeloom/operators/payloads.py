@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hints, text
+from ..functions.storage import kept
 
 
 def signature(c: Column) -> Column:
@@ -64,6 +65,7 @@ def with_floor(df: DataFrame, n_source: Column | None = None) -> DataFrame:
 
     df: (id, score, is_candidate).  The floor is one number; rejected rows are ranked with a limit, not by one window over all.
     """
+    df = kept(df.select("id", "score", "is_candidate"))  # read three times
     counts = df.agg(F.count("*").alias("s"), F.count_if("is_candidate").alias("kept")).first()
     missing = min(counts["s"], max(10, counts["s"] // 3)) - counts["kept"]
     own = df.where("is_candidate").withColumn("relaxed", F.lit(False))

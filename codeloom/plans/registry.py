@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import NO_DEPENDENCY, Settings
 from ..functions import hints, text
+from ..functions.storage import kept
 from ..operators import chunks, graph, payloads, reports, reviewer, traversal, units
 from ..sources import files as sources
 from . import sql as S
@@ -141,8 +142,14 @@ def ranked_paths_topk(s, d):
     return traversal.ranked_paths(p, e, DEFAULTS.context_depth, DEFAULTS.max_focus_paths)
 
 
-def _local(s, d):
+def _kept(s, d):
+    """Priorities and edges that a query reads more than once: the hints are found once."""
     p, e = _prioritised(s, d)
+    return kept(p), e
+
+
+def _local(s, d):
+    p, e = _kept(s, d)
     return p, e, traversal.local_nodes(p, e, DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_focus_paths)
 
 
@@ -175,7 +182,7 @@ def dependency_trees(s, d):
 
 @query()
 def tree_score_topk(s, d):
-    p, e = _prioritised(s, d)
+    p, e = _kept(s, d)
     t = traversal.trees(p, e, DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_branches)
     top = traversal.global_trees(t, max(30, 3 * DEFAULTS.max_nodes))
     return traversal.tree_scores(top, p).orderBy(F.desc("tree_score"), "root")
