@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept, spread  # noqa: F401 - used by the operators
+
 LANGUAGE_NAMES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cs": "csharp", ".json": "json", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini"}
 
 
@@ -30,36 +32,6 @@ def language(ext: Column) -> Column:
     return F.coalesce(names[ext], F.nullif(ext, F.lit("")))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Rows over as many tasks as the cluster runs at once, where the input has fewer splits than that.
-
-    The kernels here cost far more than the read, so a scan of few row groups would leave cores idle.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *cols) if df.rdd.getNumPartitions() < cores else df
-
-
-def batches(it: Iterator, size: int = 2000) -> Iterator:
-    """Record batches of at most size rows, so that no Arrow buffer grows with the input's row groups."""
-    for b in it:
-        for k in range(0, b.num_rows, size):
-            yield b.slice(k, size)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, read more than once from there; an executor lost later loses nothing of it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder:  # only where nothing is named, as in tests
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
     """df with the running sum of value (itself included) within keys, in the given order; for groups of any size.
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 MEMO_LIMIT = 100_000
 MAX_STEPS, MAX_NODES, MAX_SEGMENT = 3, 60, 400
 #: A reachable text must cost at most this share of the text as it is, and less by so much.
@@ -334,4 +336,4 @@ def damaged(files: DataFrame) -> DataFrame:
     suspicious = lambda c: F.col(c).rlike(r"[^\x00-\x7f]|\\u00|&[ACac#]|\\x[c-fC-F]|%[CDE][0-9A-F]%")
     rows = files.select("file_id", F.when(suspicious("source_code"), F.col("source_code")).alias("source_code"), F.when(suspicious("path"), F.col("path")).alias("path"))
     rows = rows.where(F.col("file_id").isNotNull() & (F.col("source_code").isNotNull() | F.col("path").isNotNull()))
-    return rows.mapInArrow(_kernel, "file_id long, field_name string, original string, restored boolean")
+    return common.spread(rows).mapInArrow(_kernel, "file_id long, field_name string, original string, restored boolean")

@@ -237,4 +237,4 @@ def not_first_party(files: DataFrame, libraries: DataFrame) -> DataFrame:
         del known[h]
     if len(known) > MAX_SHINGLES:
         raise ValueError("the catalogue's shingles exceed the size that may be sent to workers")
-    return rows.mapInArrow(_kernel(known, sizes), "file_id long, kind string").groupBy("file_id").agg(F.min("kind").alias("kind"))
+    return common.spread(rows).mapInArrow(_kernel(known, sizes), "file_id long, kind string").groupBy("file_id").agg(F.min("kind").alias("kind"))

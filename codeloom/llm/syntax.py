@@ -68,7 +68,7 @@ def unparsable(files: DataFrame, chunk: int = lexmap.CHUNK_CHARS) -> DataFrame:
     """(file_id) of the files whose code breaks the grammar of their language."""
     rows = files.select("file_id", common.extension().alias("ext"), "source_code").where(F.col("ext").isin(*EXTENSIONS) & F.col("source_code").isNotNull() & F.col("source_code").rlike(r"\S") & F.col("file_id").isNotNull())
     large = F.length("source_code") > chunk
-    small = rows.where(~large).mapInArrow(_whole_files, "file_id long")
+    small = common.spread(rows.where(~large)).mapInArrow(_whole_files, "file_id long")
     parts = rows.where(large).mapInArrow(_chunks(chunk), "file_id long, ext string, k int, part string").repartition("file_id", "k")
     folded = parts.mapInArrow(_maps, "file_id long, ext string, k int, map string").groupBy("file_id").applyInPandas(_fold, "file_id long")
     return small.unionByName(folded).distinct()

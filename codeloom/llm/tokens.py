@@ -80,7 +80,7 @@ def counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, siz
     """(key, n_tokens) of every distinct key with a text; rows delivered twice count once."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     long_text = F.length("text") > size
-    short = rows.where(~long_text).mapInArrow(_counter(vocabulary), "id long, n_tokens long")
+    short = common.spread(rows.where(~long_text)).mapInArrow(_counter(vocabulary), "id long, n_tokens long")
     cut = rows.where(long_text).mapInArrow(_cutter(size), "id long, part int, piece string").dropDuplicates(["id", "part"]).repartition("id", "part")
     summed = cut.mapInArrow(_counter(vocabulary), "id long, part int, n_tokens long").groupBy("id").agg(F.sum("n_tokens").alias("n_tokens"))
     return short.unionByName(summed).groupBy("id").agg(F.max("n_tokens").alias("n_tokens")).withColumnRenamed("id", key)
@@ -106,7 +106,7 @@ def budget(files: DataFrame, documents: DataFrame, repos: DataFrame, vocabulary:
     rows = code.unionByName(text).where(F.col("id").isNotNull())
     long_text = F.coalesce(F.length("text") > CHUNK_CHARS, F.lit(False))
     fields = "kind string, id long, slice string, language string"
-    short = rows.where(~long_text).select("kind", "id", "slice", "language", "text").mapInArrow(_counter(vocabulary), f"{fields}, n_tokens long")
+    short = common.spread(rows.where(~long_text).select("kind", "id", "slice", "language", "text")).mapInArrow(_counter(vocabulary), f"{fields}, n_tokens long")
     large = rows.where(long_text).select("kind", "id", "slice", "language", "text")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
