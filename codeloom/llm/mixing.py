@@ -12,7 +12,7 @@ Texts are not cut, so a share may fall short of its target by less than the shor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -27,8 +27,9 @@ def plan(available: DataFrame, targets: DataFrame) -> DataFrame:
     goals = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).select(tokens.source_name().alias("source"), "target_share", F.greatest(F.col("max_repeats"), F.lit(0)).alias("max_repeats")).dropDuplicates(["source"])
     rows = goals.join(available, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     # sources that may be used at all decide the size of the whole
-    size = rows.where((F.col("available") > 0) & (F.col("max_repeats") > 0)).agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("size"))
-    rows = rows.join(F.broadcast(size))
+    usable = (F.col("available") > 0) & (F.col("max_repeats") > 0)
+    whole = Window.partitionBy(F.lit(0))  # the table of targets, a few rows
+    rows = rows.withColumn("size", F.min(F.when(usable, F.col("available") * F.col("max_repeats") / F.col("target_share"))).over(whole))
     budget = F.when((F.col("available") > 0) & (F.col("max_repeats") > 0), F.floor(F.col("target_share") * F.col("size") + 1e-6)).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("budget", F.least(budget, F.col("available") * F.col("max_repeats")))
     epochs = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(F.lit(0)).cast("int")
@@ -64,7 +65,7 @@ def mixture(documents: DataFrame, targets: DataFrame, weights: DataFrame, vocabu
 def shares(chosen: DataFrame, planned: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, available, texts, most_uses, tokens, actual_share): what each source really got."""
     got = chosen.groupBy("source").agg(F.count("*").alias("texts"), F.max("uses").alias("most_uses"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"))
-    total = got.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    return (planned.join(got, "source", "left").join(F.broadcast(total)).select(
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per target
+    return (planned.join(got, "source", "left").withColumn("total", total).select(
         "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)), 6).alias("actual_share")))

@@ -16,8 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 OPEN_BINS = 64
 BINS_A_SHARD = 4_000
+#: Profiles are a small table of settings; each item is packed once per profile.
+MAX_PROFILES = 1_000
 
 
 def pack(sizes: list[int], capacity: int, open_bins: int = OPEN_BINS) -> list[int]:
@@ -58,10 +62,14 @@ def containers(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", open_
     A container's number holds its shard in the upper digits; part counts the pieces of a split text from 0.
     """
     items = sizes.where(F.col("n_tokens").isNotNull()).groupBy(key).agg(F.max("n_tokens").alias("n_tokens"))
-    total = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
-    caps = profiles.where(F.col("capacity_tokens") > 0).groupBy("profile").agg(F.max("capacity_tokens").cast("long").alias("capacity")).join(F.broadcast(total))
-    caps = caps.withColumn("shards", F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.floor(F.col("total") / (F.col("capacity") * BINS_A_SHARD)).cast("long"))))
-    rows = items.join(F.broadcast(caps.drop("total")))  # one row per profile: a constant table
+    items = common.kept(items)  # ids and sizes; counted once for the shards, read once for the packing
+    total = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")).first().total
+    caps = profiles.where(F.col("capacity_tokens") > 0).groupBy("profile").agg(F.max("capacity_tokens").cast("long").alias("capacity")).orderBy("profile").limit(MAX_PROFILES + 1).collect()
+    if len(caps) > MAX_PROFILES:
+        raise ValueError(f"more than {MAX_PROFILES} container profiles")
+    shards = {c.profile: max(1, min(1 << 20, total // (c.capacity * BINS_A_SHARD))) for c in caps}
+    each = [F.struct(F.lit(c.profile).alias("profile"), F.lit(c.capacity).cast("long").alias("capacity"), F.lit(shards[c.profile]).cast("long").alias("shards")) for c in caps]
+    rows = items.select(key, "n_tokens", F.explode(F.array(*each) if each else F.array().cast("array<struct<profile:string,capacity:bigint,shards:bigint>>")).alias("c")).select(key, "n_tokens", "c.*")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(key), F.col("shards")))
     full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor((F.col("n_tokens") - 1) / F.col("capacity"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("full", full).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity"))

@@ -6,9 +6,8 @@ Four kinds of evidence, each decided per file where the file is read:
   (code that merely talks about generated or third-party things does not match the sentence rule);
 * path and name: vendored and generated directories, lockfiles, suffixes of generated and minified files;
 * the shape of the text: minified or bundled scripts, bulk data, numbered families of machine-written members;
-* the wording of known outside libraries: the catalogue's five-word shingles, hashed.  The catalogue is a constant table of a few
-  dozen files; its shingle set is fitted on the driver and sent to the workers only while it is below ``MAX_SHINGLES``,
-  above that the files' shingles are joined with it by hash instead.
+* the wording of known outside libraries: the catalogue's five-word shingles, hashed.  A catalogue of up to ``MAX_LIBRARIES`` files and
+  ``MAX_SHINGLES`` shingles is sent to the workers; for a larger one the files' shingles are joined with it by hash instead.
 
 Null code, path or name is no evidence.  Rows delivered twice count once; an empty table gives an empty result.
 """
@@ -56,7 +55,7 @@ _COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:\(c\)|©)\s*(?:\d{4}(?:\s*[-,]\s*\
 _COMMENT_LINE = re.compile(r"^\s*(?:$|//|#(?!include|define|if|pragma)|/\*|\*|--|;|<!--|<\?|\"\"\"|'''|[\[{]?\s*$|\"_?(?:note|comment|generated|about|warning|readme)\w*\"\s*:)", re.I)
 _IN_COMMENT = re.compile(r"^\s*(?://+|#+!?|/\*+|\*+/?|--|;+|<!--|\"\"\"|''')?\s*")
 HEADER_LINES_OF_CODE = 3
-SHINGLE, SIMILARITY, MAX_SHINGLES = 5, 0.5, 2_000_000
+SHINGLE, SIMILARITY, MAX_SHINGLES, MAX_LIBRARIES = 5, 0.5, 500_000, 2_000
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -217,12 +216,34 @@ def _kernel(known: dict[int, int], sizes: dict[int, int]):
     return run
 
 
-def not_first_party(files: DataFrame, libraries: DataFrame) -> DataFrame:
+def _exploded(key: str):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = sorted(shingles(code))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array([len(own)] * len(own), pa.int32()), pa.array(own, pa.int64())], names=[key, f"{key}_n", "h"])
+
+    return run
+
+
+def library_copies(files: DataFrame, libraries: DataFrame) -> DataFrame:
+    """(file_id, kind) of files that share at least SIMILARITY of the smaller shingle set with a library, by a join on shingles.
+
+    Shingles of several libraries decide nothing and are left out, so each shingle has one row on the side of the catalogue.
+    """
+    lib = libraries.select(F.col("lib_id").cast("long"), "source_code").where(F.col("source_code").isNotNull() & F.col("lib_id").isNotNull()).mapInArrow(_exploded("lib_id"), "lib_id long, lib_id_n int, h long")
+    lib = lib.groupBy("h").agg(F.count("*").alias("libs"), F.first("lib_id").alias("lib_id"), F.first("lib_id_n").alias("lib_id_n")).where("libs = 1").drop("libs")
+    own = files.select("file_id", "source_code").where(F.col("source_code").isNotNull() & F.col("file_id").isNotNull()).mapInArrow(_exploded("file_id"), "file_id long, file_id_n int, h long").distinct()
+    hits = own.join(lib, "h").groupBy("file_id", "lib_id").agg(F.count("*").alias("n"), F.first("file_id_n").alias("a"), F.first("lib_id_n").alias("b"))
+    return hits.where(F.col("n") >= F.least("a", "b") * SIMILARITY).select("file_id", F.lit("library").alias("kind")).distinct()
+
+
+def not_first_party(files: DataFrame, libraries: DataFrame, max_libraries: int = MAX_LIBRARIES) -> DataFrame:
     """(file_id, kind) of files that are generated, minified, vendored or bulk data; one row per file, the first kind of evidence."""
     rows = files.select("file_id", "repo", "path", "name", "source_code", common.extension().alias("ext")).where(F.col("file_id").isNotNull())
-    catalogue = libraries.select("lib_id", "source_code").where(F.col("source_code").isNotNull() & F.col("lib_id").isNotNull()).limit(10_001).collect()
-    if len(catalogue) > 10_000:
-        raise ValueError("the catalogue of outside libraries is larger than the 10,000 files this operator sends to its workers")
+    catalogue = libraries.select("lib_id", "source_code").where(F.col("source_code").isNotNull() & F.col("lib_id").isNotNull()).limit(max_libraries + 1).collect()
+    by_join = len(catalogue) > max_libraries or sum(len(r.source_code) for r in catalogue) > 8 * MAX_SHINGLES
+    catalogue = [] if by_join else catalogue
     known: dict[int, int] = {}
     sizes: dict[int, int] = {}
     common_words: set[int] = set()
@@ -235,6 +256,7 @@ def not_first_party(files: DataFrame, libraries: DataFrame) -> DataFrame:
     for h in common_words:
         sizes[known[h]] = max(1, sizes[known[h]] - 1)
         del known[h]
-    if len(known) > MAX_SHINGLES:
-        raise ValueError("the catalogue's shingles exceed the size that may be sent to workers")
-    return common.spread(rows).mapInArrow(_kernel(known, sizes), "file_id long, kind string").groupBy("file_id").agg(F.min("kind").alias("kind"))
+    found = common.spread(rows).mapInArrow(_kernel(known, sizes), "file_id long, kind string")
+    if by_join:
+        found = found.unionByName(library_copies(files, libraries))
+    return found.groupBy("file_id").agg(F.min("kind").alias("kind"))

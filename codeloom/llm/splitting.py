@@ -114,10 +114,11 @@ def _kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pieces(files: DataFrame, limits: DataFrame) -> DataFrame:
     """(file_id, piece_no, pieces, start_line, n_chars, overlap_chars, piece) of every file longer than its limit."""
     own = limits.where(F.col("extension").isNotNull()).groupBy("extension").agg(F.min("max_chars").alias("max_chars"), F.min_by("overlap_lines", "max_chars").alias("overlap_lines"))
-    rest = own.where(F.col("extension") == "*").select(F.col("max_chars").alias("other_chars"), F.col("overlap_lines").alias("other_lines"), F.lit(1).alias("one"))
+    star = own.where(F.col("extension") == "*").first()  # one row of a table of settings
+    other_chars, other_lines = F.lit(star.max_chars if star else None).cast("int"), F.lit(star.overlap_lines if star else None).cast("int")
     rows = files.select("file_id", common.extension().alias("ext"), "source_code", "start_line").where(F.col("source_code").isNotNull() & F.col("file_id").isNotNull())
-    joined = rows.join(own.where(F.col("extension") != "*"), rows["ext"] == own["extension"], "left").withColumn("one", F.lit(1)).join(rest, "one", "left")
-    limit, overlap = F.coalesce("max_chars", "other_chars"), F.coalesce("overlap_lines", "other_lines", F.lit(0))
+    joined = rows.join(own.where(F.col("extension") != "*"), rows["ext"] == own["extension"], "left")
+    limit, overlap = F.coalesce(F.col("max_chars"), other_chars), F.coalesce(F.col("overlap_lines"), other_lines, F.lit(0))
     large = joined.where(F.length("source_code") > limit).select("file_id", "ext", "source_code", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("first"), limit.alias("max_chars"), F.greatest(overlap, F.lit(0)).alias("overlap"))
     large = large.dropDuplicates(["file_id"])  # only oversized files move
     return large.mapInArrow(_kernel, "file_id long, piece_no int, pieces int, start_line int, n_chars int, overlap_chars int, piece string")

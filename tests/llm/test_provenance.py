@@ -46,5 +46,6 @@ def test_table(spark):
     df = spark.createDataFrame(rows, FILES)
     libs = spark.createDataFrame([(1, lib), (2, None), (None, "x")], "lib_id int, source_code string")
     assert {(r.file_id, r.kind) for r in P.not_first_party(df, libs).collect()} == {(1, "library"), (4, "vendored")}
+    assert {(r.file_id, r.kind) for r in P.not_first_party(df, libs, max_libraries=0).collect()} == {(1, "library"), (4, "vendored")}
     assert {r.file_id for r in P.not_first_party(df, libs.limit(0)).collect()} == {4}
     assert P.not_first_party(df.limit(0), libs).count() == 0
