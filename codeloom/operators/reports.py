@@ -97,12 +97,21 @@ def passes_only(c: Column) -> Column:
     return F.when(body == "", True).when(body.contains("<文件>") & body.contains("<漏洞>"), False).otherwise((body == "<审计通过>") | all_pass | body.isin(*PASS))
 
 
+def is_visible(c: Column, levels: list[str], show_passed: bool) -> Column:
+    return F.when(is_pass(c), F.lit(show_passed)).when(is_incomplete(c), True).otherwise(severity(c).isin(*levels))
+
+
+def counts(findings: DataFrame, levels: list[str], show_passed: bool = False, section: str = "section") -> DataFrame:
+    """(sections, visible, total): visible sections and findings, and all findings, in one aggregation."""
+    seen = is_visible(F.coalesce("type", F.lit("")), levels, show_passed)
+    return findings.agg(F.countDistinct(F.when(seen, F.col(section))).alias("sections"), F.count_if(seen).alias("visible"), F.count("*").alias("total"))
+
+
 def reviewed(findings: DataFrame, levels: list[str], show_passed: bool = False) -> DataFrame:
     """Visible findings (key columns section, type, ...) with their severity: passes only if shown, incomplete always."""
     t = F.coalesce("type", F.lit(""))
     rows = findings.withColumn("severity", severity(t)).withColumn("severity_rank", severity_rank(t))
-    visible = F.when(is_pass(t), F.lit(show_passed)).when(is_incomplete(t), True).otherwise(F.col("severity").isin(*levels))
-    return rows.where(visible)
+    return rows.where(is_visible(t, levels, show_passed))
 
 
 def section_order(visible: DataFrame, key: str) -> DataFrame:

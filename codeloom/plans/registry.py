@@ -80,8 +80,8 @@ def graph_degrees(s, d):
 
 @query(S.GRAPH + "select (select count(*) from nodes) as n_nodes, (select count(*) from edges) as n_edges, (select count(*) from nodes where source_code <> '') as n_source")
 def graph_counts(s, d):
-    n = _nodes(s, d).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("source_code") != "").alias("n_source"))
-    return n.crossJoin(_edges(s, d).agg(F.count("*").alias("n_edges"))).select("n_nodes", "n_edges", "n_source")  # one row each
+    rows = _nodes(s, d).select(F.lit(1).alias("n"), F.lit(0).alias("e"), (F.col("source_code") != "").cast("int").alias("c")).unionByName(_edges(s, d).select(F.lit(0).alias("n"), F.lit(1).alias("e"), F.lit(0).alias("c")))
+    return rows.agg(F.sum("n").alias("n_nodes"), F.sum("e").alias("n_edges"), F.sum("c").alias("n_source"))
 
 
 @query(S.HINTS + "select id, kind, len(hits) as n_hits, array_to_string(hits, ' | ') as hits from hit_list where len(hits) > 0")
@@ -469,9 +469,7 @@ def review_filter_sort(s, d):
 @query(S.FINDINGS + f"""select count(distinct section) as sections, count(*) as visible, (select count(*) from f) as total
   from (select *, coalesce(type, '') || '（' || {S.LEVEL} || '）' as t from f) x where {S.SEVERITY} in ('high', 'medium')""")
 def review_counts(s, d):
-    f = _leveled(s, d)
-    visible = reports.reviewed(f, ["high", "medium"]).agg(F.countDistinct("section").alias("sections"), F.count("*").alias("visible"))
-    return visible.crossJoin(f.agg(F.count("*").alias("total")))  # one row each
+    return reports.counts(_leveled(s, d), ["high", "medium"])
 
 
 @query(S.FINDINGS + "select section, count(*) as total, count(*) filter (where fix is null) as failed, round(count(*) filter (where fix is null) / count(*), 6) as rate, count(*) filter (where fix is null) > 0 and count(*) filter (where fix is null) / count(*) >= 0.05 as incomplete from f group by section")
