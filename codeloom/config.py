@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 # What is scanned and what is left out.
 SOURCE_EXTENSIONS = (".py", ".js", ".ts", ".java", ".go", ".php", ".c", ".h", ".cpp", ".cs")
@@ -66,5 +66,3 @@ def load(path: str) -> Settings:
     known = {f.name for f in fields(Settings)}
     return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
 
-
-_ = field

@@ -136,10 +136,10 @@ def inbound_paths_depth3(s, d):
     return traversal.directed_paths(p, e, 3, reverse=True)
 
 
-@query()
+@query(S.RANKED + "select root, rank, kind, array_to_string(nodes, ' -> ') as chain, value as priority from ranked")
 def ranked_paths_topk(s, d):
     p, e = _prioritised(s, d)
-    return traversal.ranked_paths(p, e, DEFAULTS.context_depth, DEFAULTS.max_focus_paths)
+    return traversal.ranked_paths(p, e, DEFAULTS.context_depth, DEFAULTS.max_focus_paths).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _kept(s, d):
@@ -153,12 +153,12 @@ def _local(s, d):
     return p, e, traversal.local_nodes(p, e, DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_focus_paths)
 
 
-@query()
+@query(S.LOCAL + "select root, ord, id from local")
 def local_nodes(s, d):
-    return _local(s, d)[2]
+    return _local(s, d)[2].withColumn("ord", F.col("ord").cast("long"))
 
 
-@query()
+@query(S.LOCAL + "select root, n_nodes, cast(input_nodes as bigint) as input_nodes, cast(sink_nodes as bigint) as sink_nodes, cast(validation_nodes as bigint) as validation_nodes, cast(safety_nodes as bigint) as safety_nodes, cast(combined_nodes as bigint) as combined_nodes from summary")
 def local_summary(s, d):
     p, _, local = _local(s, d)
     return traversal.local_summary(local, p)
@@ -169,9 +169,9 @@ def _prescreen(s, d):
     return p, traversal.prescreened(p, traversal.local_summary(local, p), DEFAULTS.candidate_threshold)
 
 
-@query()
+@query(S.LOCAL + "select id, cast(score as bigint) as prescreen_score, signal or score >= 8 as is_candidate, n_nodes as n_local from screened")
 def prescreen(s, d):
-    return _prescreen(s, d)[1]
+    return _prescreen(s, d)[1].withColumn("prescreen_score", F.col("prescreen_score").cast("long"))
 
 
 @query()
@@ -190,10 +190,10 @@ def tree_score_topk(s, d):
 
 # ---------------------------------------------------------------- payloads
 
-@query()
+@query(S.LOCAL + "select id, cast(5 * hint_score + in_degree + out_degree + 2 * n_nodes + n_lines + score as bigint) as payload_score from screened")
 def node_payload_score(s, d):
     p, pre = _prescreen(s, d)
-    return payloads.node_scores(p, pre)
+    return payloads.node_scores(p, pre).withColumn("payload_score", F.col("payload_score").cast("long"))
 
 
 @query()

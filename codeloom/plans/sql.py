@@ -126,3 +126,43 @@ def prompts(reviewer) -> str:
     rule = "case ext " + " ".join(f"when '{e}' then {_quote(r)}" for e, r in reviewer.LANGUAGE_RULES.items()) + " end"
     return f"""select ext, concat_ws(chr(10), {_quote(reviewer.EXTRACT_BASE)}, {rule}) as prompt, concat_ws(chr(10), {_quote(reviewer.AUDIT_BASE)}, coalesce({rule}, '')) as audit
 from (select distinct lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]*)$', 1)) as ext from source_files) t"""
+
+_VALUE = "80 * (ic > 0)::int + 100 * (sc > 0)::int + 180 * (ic > 0 and sc > 0)::int + 140 * (ic > 0 and sc > 0 and vc = 0 and fc = 0)::int + 40 * sc + 25 * ic + 8 * vc + 5 * fc + 10 * len(nodes) + pr"
+
+
+def _valued(name: str, rows: str) -> str:
+    """name: rows (kind, root, nodes, target, via) with the value of their nodes, every position counted."""
+    return f"""{name}_s as (select kind, root, nodes, target, via, unnest(nodes) as id from {rows}),
+  {name} as (select *, cast({_VALUE} as bigint) as value, '[''' || array_to_string(nodes, ''', ''') || ''']' as said from
+    (select kind, root, nodes, target, via, sum(input_count) as ic, sum(sink_count) as sc, sum(validation_count) as vc, sum(safety_count) as fc, sum(priority) as pr from {name}_s join prio using (id) group by 1, 2, 3, 4, 5) t)"""
+
+
+RANKED = HINTS + f""", steps2 as (
+    select 'downstream' as kind, src as root, [src, dst] as nodes, dst as target, cast(null as varchar) as via from edges where src <> dst
+    union all select 'upstream', dst, [src, dst], src, null from edges where src <> dst
+    union all select 'downstream', a.src, [a.src, a.dst, b.dst], b.dst, a.dst from edges a join edges b on b.src = a.dst where a.src <> a.dst and b.dst <> a.src and not exists (select 1 from edges c where c.src = a.src and c.dst = b.dst)
+    union all select 'upstream', b.dst, [a.src, a.dst, b.dst], a.src, a.dst from edges a join edges b on b.src = a.dst where a.dst <> b.dst and a.src <> b.dst and not exists (select 1 from edges c where c.src = a.src and c.dst = b.dst)),
+  {_valued('sides', 'steps2')},
+  chosen as (select * from (select x.*, row_number() over (partition by x.kind, x.root, x.target order by value desc, p.priority desc nulls last, encode(x.via) nulls last) as rn from sides x left join prio p on p.id = x.via) t where rn = 1),
+  ordered as (select *, row_number() over (partition by kind, root order by value desc, encode(said)) as rk from chosen),
+  spliced as (select 'through' as kind, a.root, list_concat(a.nodes, b.nodes[2:]) as nodes, a.target || '>' || b.target as target, cast(null as varchar) as via from ordered a join ordered b on a.root = b.root and a.kind = 'upstream' and b.kind = 'downstream' and a.rk <= 6 and b.rk <= 6),
+  {_valued('through', 'spliced')},
+  chains as (select kind, root, nodes, value, said from chosen union all select kind, root, nodes, value, said from through),
+  ranked as (select * from (select c.*, row_number() over (partition by c.root order by value desc, (kind <> 'through')::int, encode(said)) as rank from chains c join profile p on p.id = c.root and p.has_source) t where rank <= 6)
+"""
+
+LOCAL = RANKED + """, ranked_nodes as (select root, rank, generate_subscripts(nodes, 1) as pos, unnest(nodes) as id from ranked),
+  near as (select src as a, dst as b from edges union select dst, src from edges),
+  roots as (select id as root from profile where has_source),
+  taken as (select root, id, min(rank * 1000 + pos) as o from ranked_nodes group by 1, 2 union all select root, root, 900000 from roots where root not in (select root from ranked_nodes)),
+  ring1 as (select t.root, n.b as id, row_number() over (partition by t.root order by p.priority desc, encode(n.b)) as o1 from roots t join near n on n.a = t.root join prio p on p.id = n.b
+    where not exists (select 1 from taken x where x.root = t.root and x.id = n.b)),
+  ring2 as (select root, id, min(o2) as o2 from (select r.root, n.b as id, r.o1 * 100000 + row_number() over (partition by r.root, r.id order by p.priority desc, encode(n.b)) as o2 from ring1 r join near n on n.a = r.id join prio p on p.id = n.b
+    where not exists (select 1 from taken x where x.root = r.root and x.id = n.b) and not exists (select 1 from ring1 x where x.root = r.root and x.id = n.b)) t group by 1, 2),
+  all_local as (select root, id, o from taken union all select root, id, 1000000 + o1 from ring1 union all select root, id, 2000000 + o2 from ring2),
+  local as (select * from (select root, id, row_number() over (partition by root order by o) - 1 as ord from all_local) t where ord < 12),
+  summary as (select root, count(*) as n_nodes, sum((input_count > 0)::int) as input_nodes, sum((sink_count > 0)::int) as sink_nodes, sum((validation_count > 0)::int) as validation_nodes, sum((safety_count > 0)::int) as safety_nodes, sum((input_count > 0 and sink_count > 0)::int) as combined_nodes
+    from local join profile using (id) group by root),
+  screened as (select id, n_nodes, hint_score, in_degree, out_degree, n_lines, 8 * input_count + 10 * sink_count + 3 * validation_count + 2 * safety_count + 4 * input_nodes + 5 * sink_nodes + 12 * combined_nodes + least(6, in_degree + out_degree) as score,
+    input_count + sink_count + validation_count + safety_count > 0 or combined_nodes > 0 or (input_nodes > 0 and sink_nodes > 0) as signal from prio p join summary s on s.root = p.id)
+"""

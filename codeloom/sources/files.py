@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..config import Settings
-from ..functions import text
 
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "latin-1")
 
@@ -202,5 +201,3 @@ def project_hashes(files: DataFrame, key: str) -> DataFrame:
     row = files.select(key, F.size(F.split("path", "/")).alias("depth"), "path", F.sha2(F.concat_ws("\x00", F.coalesce("path", F.lit("")), F.coalesce("extension", F.lit("")), F.coalesce("source_code", F.lit(""))), 256).alias("digest")).distinct()
     return row.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("depth", "path", "digest"))).alias("f")).select(key, F.sha2(F.array_join("f.digest", ""), 256).alias("project_hash"))
 
-
-_ = text

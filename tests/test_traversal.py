@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from spec import Spec
 
 from codeloom.operators import graph, traversal
@@ -77,7 +78,7 @@ GOLDEN = [
 
 def test_golden_hints(spark):
     rows = [(k, p, p, c, 1, 1, s, t or "zz", "", "") for k, (p, s, t, c, _, _) in enumerate(GOLDEN)]
-    nodes = graph.nodes(spark.createDataFrame(rows, UNITS)).where("source_code <> ''").withColumn("target_name", __import__("pyspark.sql.functions", fromlist=["x"]).expr("nullif(target_name, 'zz')"))
+    nodes = graph.nodes(spark.createDataFrame(rows, UNITS)).where("source_code <> ''").withColumn("target_name", F.expr("nullif(target_name, 'zz')"))
     hits = {r.id: r for r in graph.hinted(nodes).collect()}
     scores = {r.id: r.hint_score for r in graph.profile(nodes).collect()}
     for p, s, _, _, want, score in GOLDEN:
