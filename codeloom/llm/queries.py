@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, mojibake, packing, prose, provenance, secrets, splitting, syntax, tokens
-from .common import extension, language, table
+from .common import LANGUAGE_NAMES, extension, language, table
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ _EXT = """coalesce(case when starts_with(lower(trim(extension)), '.') then lower
 
 
 def oracle_sql() -> dict[str, str]:
-    names = "case e " + " ".join(f"when '{k}' then '{v}'" for k, v in __import__("codeloom.llm.common", fromlist=["x"]).LANGUAGE_NAMES.items()) + " else nullif(e, '') end"
+    names = "case e " + " ".join(f"when '{k}' then '{v}'" for k, v in LANGUAGE_NAMES.items()) + " else nullif(e, '') end"
     return {
         "p5_found": f"""with f as (select distinct file_id, {_EXT} as e, source_code from source_files where source_code is not null and file_id is not null),
   l as (select extension, min(max_chars) as m from size_limits where extension <> '*' group by extension), o as (select min(max_chars) as m from size_limits where extension = '*')
