@@ -29,6 +29,11 @@ BOUNDARIES: dict[str, tuple[str, ...]] = {
 }
 
 
+def _lean(rule: str) -> str:
+    """The same rule without optional words and blanks in front of a class that takes them anyway; they only cost backtracking."""
+    return re.sub(r"^\^(?:\\s\*)?(?:\((?:public|private|protected|internal|\|)+\)\?\\s\*)?\(static\\s\+\)\?(?=\[\\w[^\]]*(?:\\\][^\]]*)*\\s\]\+)", "^", rule)
+
+
 def file_lines(files: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, line_no, line): every line of every text, numbered from 1."""
     return files.select(key, F.posexplode(text.lines(F.col("source_code"))).alias("p", "line")).select(key, (F.col("p") + 1).alias("line_no"), "line")
@@ -46,7 +51,7 @@ def is_boundary(line, ext):
     head = line.contains("(") & ~F.rtrim(line).endswith(";")
 
     def any_of(rules: tuple[str, ...], flags: str):
-        return reduce(lambda a, b: a | b, [head & line.rlike(flags + r) if r"\([^;]*\)" in r else line.rlike(flags + r) for r in rules])
+        return reduce(lambda a, b: a | b, [head & line.rlike(flags + _lean(r)) if r"\([^;]*\)" in r else line.rlike(flags + r) for r in rules])
 
     ascii_line = F.octet_length(line) == F.length(line)  # Unicode classes are needed only beyond ASCII, and slow
     out = F.lit(False)
@@ -61,14 +66,15 @@ def sections(files: DataFrame) -> DataFrame:
     The boundaries are found inside the array of lines, so no line leaves its row: no shuffle, no window.
     """
     ls = text.lines(F.col("source_code"))
-    rows = files.select("file_id", ls.alias("ls"), text.suffix(F.col("path")).alias("ext")).where(F.size("ls") > 0)
+    # the filter is on the text, and the outer form of explode adds none on the array: either would split and search the text again
+    rows = files.where(F.length("source_code") > 0).select("file_id", ls.alias("ls"), text.suffix(F.col("path")).alias("ext"))
     marks = F.filter(F.transform(F.col("ls"), lambda line, k: F.when((k == 0) | is_boundary(line, F.col("ext")), k + 1)), lambda k: k.isNotNull())
     rows = rows.select("file_id", marks.alias("m"), F.size("ls").alias("n"))
-    return rows.select("file_id", "m", "n", F.posexplode("m").alias("k", "start_line")).select("file_id", "start_line", F.when(F.col("k") + 1 < F.size("m"), F.get("m", F.col("k") + 1) - 1).otherwise(F.col("n")).alias("end_line"))
+    return rows.select("file_id", "m", "n", F.posexplode_outer("m").alias("k", "start_line")).select("file_id", "start_line", F.when(F.col("k") + 1 < F.size("m"), F.get("m", F.col("k") + 1) - 1).otherwise(F.col("n")).alias("end_line"))
 
 
 _BREAK = re.compile(text.LINE_BREAK)
-_COMPILED = {e: [re.compile(r) for r in rules] for e, rules in BOUNDARIES.items()}
+_COMPILED = {e: [re.compile(_lean(r)) for r in rules] for e, rules in BOUNDARIES.items()}
 
 
 def estimate(s: str) -> int:
