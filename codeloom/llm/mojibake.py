@@ -269,6 +269,28 @@ def _search(s: str) -> tuple[str, bool] | None:
     return (s, False) if sum(0x80 <= ord(c) < 0xA0 for c in s) >= 2 else None
 
 
+_RUN_OF_TEXT = re.compile(r"[^\s\"'`]*(?:\\[ux]|&|%)[^\s\"'`]*")
+
+
+def _long(s: str) -> tuple[str, bool] | None:
+    """search for a run of text of any length: by overlapping windows, whose edges may cut a character, then as a whole if one is damaged."""
+    step = MAX_SEGMENT - 100
+    for k in range(0, len(s), step):
+        window = s[k:k + MAX_SEGMENT]
+        # ordinary text costs about one a character beyond ASCII, damaged text several times that
+        if "�" not in window and not _ESCAPED.search(window) and cost(_RUN.sub(r"\1\1", window)) < 1.5 * len(_HIGH.findall(_RUN.sub(r"\1\1", window))) + MARGIN:
+            continue
+        for a in range(4):
+            for b in range(4):
+                if (cut := window[a:len(window) - b]) and (not cut.isascii() or _ESCAPED.search(cut)) and search(cut):
+                    return _search(s) or (s, False)
+                if window.isascii():
+                    break
+            if window.isascii():
+                break
+    return None
+
+
 def field(text: str) -> tuple[str | None, bool] | None:
     """(the restored field or null where something was lost, whether whole) if a field holds damaged text, else None."""
     if text.isascii() and not _ESCAPED.search(text):
@@ -289,8 +311,7 @@ def field(text: str) -> tuple[str | None, bool] | None:
             while b < len(line) and (line[b].isalnum() or line[b] == "_"):
                 b += 1
             seg = line[a:b]
-            if len(seg) <= MAX_SEGMENT:
-                whole = search(seg)
+            whole = search(seg) if len(seg) <= MAX_SEGMENT else _long(seg)
             if whole and whole[1]:
                 hit = True
                 out.append(line[:a] + whole[0] + line[b:])
@@ -303,7 +324,7 @@ def field(text: str) -> tuple[str | None, bool] | None:
                 # one alphabet read as another of the same script shows in whole phrases, not in single words of one
                 if swapped and _CYRILLIC.fullmatch(w.group()):
                     return w.group()
-                found = search(w.group()) if len(w.group()) <= MAX_SEGMENT else None
+                found = search(w.group()) if len(w.group()) <= MAX_SEGMENT else _long(w.group())
                 if found:
                     hit = True
                     lost |= not found[1]
@@ -313,9 +334,16 @@ def field(text: str) -> tuple[str | None, bool] | None:
             line = _WORDS.sub(word, line)
             if whole and not whole[1]:
                 hit = lost = True
-        elif (found := search(line[:MAX_SEGMENT])):
-            hit = True
-            line = found[0] + line[MAX_SEGMENT:]
+        else:
+
+            def escaped(w: re.Match) -> str:
+                nonlocal hit
+                s = w.group()
+                found = (search(s) if len(s) <= MAX_SEGMENT else _long(s)) if _ESCAPED.search(s) else None
+                hit |= bool(found)
+                return found[0] if found else s
+
+            line = _RUN_OF_TEXT.sub(escaped, line)
         out.append(line)
     return ((None, False) if lost else ("\n".join(out), True)) if hit else None
 

@@ -44,6 +44,15 @@ def test_read_twice_and_lost():
     assert M.field("caf\\u00c3\\u00a9") and M.field("caf\\u00e9") is None
 
 
+def test_long_runs_are_searched_whole():
+    long_text = "".join(TEXTS[6] for _ in range(80))
+    damaged = long_text.encode().decode("latin-1")
+    assert len(damaged) > 2 * M.MAX_SEGMENT and M.field("x " + damaged) == ("x " + long_text, True)
+    assert M.field(long_text) is None and M.field("é" * 3000) is None
+    assert M.field("a" * 3000 + TEXTS[0].replace(" ", "_").encode().decode("cp1252"))
+    assert M.field("a" * 3000 + "caf\\u00c3\\u00a9") and M.field("a=1&b=2 &amp; %20 " * 300) is None
+
+
 def test_table(spark):
     bad = TEXTS[0].encode().decode("cp1252")
     rows = [(1, bad, "/a.py", "clash"), (1, bad, "/a.py", "clash"), (2, None, "/" + bad, None), (3, TEXTS[0], None, None), (4, "", "", None), (None, bad, bad, None)]
