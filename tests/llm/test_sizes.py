@@ -177,6 +177,17 @@ def test_tails_equal_counting(spark):
     assert prose.not_prose(docs).count() > 0 and prose.not_prose(docs.limit(0)).count() == 0
 
 
+def test_common_texts_that_are_no_prose_are_found(spark):
+    # a third of the language is one list, between the prose in most statistics, so no tail holds it
+    words = "the store trusts folder before report is checked so partial can reach unpacker and this change moves quota out of client".split()
+    r = random.Random(11)
+    prose_texts = [" ".join(r.choice(words) for _ in range(r.randint(4, 60))).capitalize() + r.choice([".", "", " (1)", " - 27, 5!"]) for _ in range(200)]
+    copies = ["- the path and the cache\n- a key of the shell.\n- one of two"] * 100
+    rows = [(k, t, "en") for k, t in enumerate(prose_texts + copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in prose.not_prose(docs).collect()} >= set(range(200, 300))
+
+
 def test_running_sums_cross_partitions(spark):
     from codeloom.llm import common
 
