@@ -1,7 +1,7 @@
 """Problem 8: mixing sources to target weights.
 
-Equal texts count as one text.  The size of the mixture is the largest that gives every source present its share without using a text more
-often than allowed.  A source's budget is spent in complete epochs first; what remains is a weighted sample without replacement
+Equal texts count as one text, that of the first copy in a source with a target.  The size of the mixture is the largest that gives
+every source present its share without using a text more often than allowed.  A source's budget is spent in complete epochs first; what remains is a weighted sample without replacement
 (Efraimidis-Spirakis): each text gets the key -ln(u) / weight, u from a hash of its id and the seed, weight from its quality; texts are
 taken in order of their keys while their running token sum stays within the budget.  Order and running sum are one range-partitioned
 sort with partition offsets, so a source that holds a third of all rows is in no single task.
@@ -38,15 +38,16 @@ def plan(available: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mixture(documents: DataFrame, targets: DataFrame, weights: DataFrame, vocabulary: str = tokens.VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, n_tokens, uses), the plan).  weights: (doc_id, weight above 0), 1 where missing."""
+    goals = targets.where(F.col("target_share") > 0).groupBy(tokens.source_name().alias("source")).agg((F.coalesce(F.max("max_repeats"), F.lit(0)) <= 0).alias("closed"))
     texts = documents.where(F.col("text").rlike(r"\S") & F.col("doc_id").isNotNull())
-    once = (texts.select("doc_id", tokens.source_name().alias("source"), F.sha2("text", 256).alias("text_id"))
-            .groupBy("text_id").agg(F.min(F.struct("doc_id", "source")).alias("d")).select("d.doc_id", "d.source"))
+    # only a copy in a targeted source may stand for a text, one in a source that may be used before others
+    targeted = texts.select("doc_id", tokens.source_name().alias("source"), F.sha2("text", 256).alias("text_id")).join(F.broadcast(goals), "source")
+    once = targeted.groupBy("text_id").agg(F.min(F.struct("closed", "doc_id", "source")).alias("d")).select("d.doc_id", "d.source")
     sizes = tokens.counts(texts, "doc_id", "text", vocabulary).where(F.col("n_tokens") > 0)
-    rows = once.where(F.col("source").isNotNull()).join(sizes, "doc_id").join(weights.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
+    rows = once.join(sizes, "doc_id").join(weights.groupBy("doc_id").agg(F.max("weight").alias("weight")), "doc_id", "left")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     rows = rows.withColumn("key", -F.log(u) / F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1e-6)))
-    goals = targets.select(tokens.source_name().alias("source")).distinct()
-    rows = common.kept(rows.join(F.broadcast(goals), "source").select("doc_id", "source", "n_tokens", "key"))
+    rows = common.kept(rows.select("doc_id", "source", "n_tokens", "key"))
     planned = plan(rows.groupBy("source").agg(F.sum("n_tokens").alias("available")), targets)
     budgets = F.broadcast(planned.select("source", "epochs", "remainder"))
     ordered = common.running(rows, ["source"], ["key", "doc_id"], "n_tokens", "sum_tokens").join(budgets, "source")

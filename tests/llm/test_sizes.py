@@ -151,6 +151,14 @@ def test_mixture(spark):
     assert empty.count() == 0 and mixing.shares(empty, plan).count() == 3
 
 
+def test_copies_outside_the_targets_do_not_take_a_text_away(spark):
+    rows = [(1, "one text here", None), (2, "one text here", "small"), (3, "another text here", "untargeted"), (4, "another text here", "Small"), (5, "a third text", "closed"), (6, "a third text", "small"), (7, "no target at all", "untargeted")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("small", 1.0, 1), ("closed", 0.5, 0)], "source string, target_share double, max_repeats int")
+    chosen, _ = mixing.mixture(docs, targets, spark.createDataFrame([], "doc_id long, weight double"))
+    assert {(r.doc_id, r.source) for r in chosen.collect()} == {(2, "small"), (4, "small"), (6, "small")}
+
+
 # ---------------------------------------------------------------- prose
 
 PROSE = ["The store trusts the folder before the report is checked, so a partial folder can reach the unpacker.", "as noted last week, this change moves the quota out of the client and keeps the old name for one release", "Der Broker liest das Feld, bevor es geprüft wird, und gibt es an den Wrapper weiter.", "Si falla la petición, se queda en la cola y el sistema lo intenta de nuevo.", "如果请求失败，请求会留在队列里，过一会儿再重试一次。", "Title\n\nThe path is short: the cache takes the record and\nhands it to the shell, which runs it\nwithout a check.\n\n- one\n- two"]
