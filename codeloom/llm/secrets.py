@@ -4,11 +4,13 @@
    begins on and the evidence around it (a credential's name before it, a login call, a URL with a password, a known token form).
 2. Owners: the literals are grouped over the whole corpus; one that many repositories share is a placeholder from a template
    and is dropped, one that is rare and has evidence in at least one place is confirmed.
-3. Re-scan: confirmed secrets go back to the files that hold them, and one automaton per file finds every place, also those where
-   nothing around the literal gives it away; so does the redaction, which keeps quotes and lengths of lines' other text.
+3. Re-scan of every file: a confirmed secret is known by its anchor, a run of letters and digits with the next one.  A bitmap of the
+   anchors (of fixed size, so it only lets more through as secrets grow) tells which words of a file may hold one; these are joined
+   with the secrets by anchor, and one automaton per file finds every place, also those where nothing around the literal gives it
+   away; so does the redaction, which keeps quotes and lengths of lines' other text.
 
-The index is grouped with partial aggregation, so a literal that fills a third of the corpus costs one row per task; nothing is
-sent to the driver.  Null or blank code has no secret; rows delivered twice count once; an empty table gives an empty result.
+The index is grouped with partial aggregation, so a literal that fills a third of the corpus costs one row per task; only the
+bitmap is sent to the driver.  Null or blank code has no secret; rows delivered twice count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,6 +30,9 @@ from . import common
 
 #: A literal in more repositories than this is a placeholder.
 MAX_OWNERS = 12
+#: Bits of the bitmap of anchors, and words a worker remembers as holding none.
+ANCHOR_BITS = 1 << 24
+IDLE_WORDS = 500_000
 
 _TOKEN = re.compile(r"[^\s\"'`<>(),;\[\]{}|\\\x00-\x1f]{6,}")
 _JOIN = re.compile(r"([\"'])[ \t]*[+.&][ \t]*\1|\"[ \t]+\"")
@@ -232,7 +238,10 @@ def _redact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         out = []
         for i, code, secrets in zip(*(b.column(k).to_pylist() for k in range(3))):
-            out.append((i, *redact(code, secrets)))
+            placed = {s for _, _, s in _places(code, [s for s in secrets if not s.startswith("-----BEGIN")])}
+            secrets = [s for s in secrets if s in placed or s.startswith("-----BEGIN")]
+            if secrets:
+                out.append((i, *redact(code, secrets)))
         cols = list(zip(*out)) if out else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["file_id", "redacted_code", "redacted"])
 
@@ -278,10 +287,83 @@ def redact(code: str, secrets: list[str]) -> tuple[str, int]:
     return code, n
 
 
+# Runs of letters and digits, each with the signs that part it from the next one.
+_RUN = re.compile(r"([^\W_]+)((?:(?:[^\w\s]|_)+(?=[^\W_]))?)")
+
+
+def anchors(word: str) -> list[str]:
+    """Every run of letters and digits of a word, and every two neighbours with what stands between them."""
+    runs = _RUN.findall(word)
+    return [r for r, _ in runs] + [a + sign + b for (a, sign), (b, _) in zip(runs, runs[1:])]
+
+
+def anchor(secret: str) -> str:
+    """What stands in every word that holds the secret, as its ends part no run: its longest two neighbours, at the password of a URL; else its only run."""
+    runs = list(_RUN.finditer(secret))
+    pairs = [(a.start(), b.end(1)) for a, b in zip(runs, runs[1:])]
+    if (u := _URL.search(secret)):
+        pairs = [(a, b) for a, b in pairs if a < u.end(1) and b > u.start(1)] or pairs
+    if pairs:
+        a, b = max(pairs, key=lambda p: p[1] - p[0])
+        return secret[a:b]
+    return runs[0][1] if runs else ""
+
+
+def _bit(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % ANCHOR_BITS
+
+
+def _anchored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        literals = b.column(0).to_pylist()
+        keys = [anchor(s) for s in literals]
+        yield pa.RecordBatch.from_arrays([pa.array(literals, pa.string()), pa.array(keys, pa.string()), pa.array([_bit(k) for k in keys], pa.int32())], names=["literal", "anchor", "bit"])
+
+
+def _bitmap(known: DataFrame) -> bytes:
+    """The anchors' bits; its size is fixed, whatever the number of secrets."""
+    bits = bytearray(ANCHOR_BITS >> 3)
+    parts = known.groupBy((F.col("bit") / (1 << 15)).cast("int").alias("part")).agg(F.collect_set("bit").alias("bits"))
+    for row in parts.toLocalIterator():
+        for k in row.bits:
+            bits[k >> 3] |= 1 << (k & 7)
+    return bytes(bits)
+
+
+def _held(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(file_id, anchor) of every file and every anchor of a secret that its code may hold."""
+    shared = files.sparkSession.sparkContext.broadcast(_bitmap(known))
+
+    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, idle = shared.value, set()
+        for b in it:
+            ids, keys = [], []
+            for i, code in zip(*(b.column(k).to_pylist() for k in range(2))):
+                found = set()
+                if len(idle) > IDLE_WORDS:
+                    idle.clear()
+                for w in set(_TOKEN.findall(_JOIN.sub("", code))) - idle:
+                    hits = [k for k in anchors(w) if bits[(n := _bit(k)) >> 3] >> (n & 7) & 1]
+                    if hits:
+                        found.update(hits)
+                    else:
+                        idle.add(w)
+                ids += [i] * len(found)
+                keys += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["file_id", "anchor"])
+
+    texts = files.select("file_id", "source_code").where(F.col("file_id").isNotNull() & F.col("source_code").rlike(r"\S"))
+    return common.spread(texts).mapInArrow(words, "file_id long, anchor string")
+
+
 def _with_secrets(files: DataFrame, max_owners: int) -> DataFrame:
-    """(file_id, source_code, secrets): the files that hold confirmed secrets, each file once."""
+    """(file_id, source_code, secrets): the files that hold confirmed secrets, wherever in them, each file once."""
     places = common.kept(index(files))
-    held = places.join(confirmed(places, max_owners), "literal", "left_semi").select("file_id", "literal").distinct()
+    sure = common.kept(confirmed(places, max_owners))
+    block = F.col("literal").startswith("-----BEGIN")  # a private key has its BEGIN line in every place, so the index has them all
+    known = common.kept(sure.where(~block).mapInArrow(_anchored, "literal string, anchor string, bit int"))
+    held = _held(files, known).join(known, "anchor").select("file_id", "literal")
+    held = held.unionByName(places.where(block).join(sure, "literal", "left_semi").select("file_id", "literal")).distinct()
     per_file = held.groupBy("file_id").agg(F.collect_list("literal").alias("secrets"))  # bounded by the file's own text
     texts = files.select("file_id", "source_code").where(F.col("source_code").isNotNull())
     return texts.join(per_file, "file_id")

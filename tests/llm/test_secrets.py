@@ -47,3 +47,14 @@ def test_table(spark):
     out = {r.file_id: r.redacted_code for r in S.redacted(df).collect()}
     assert out == {1: "x = 1\napi_key = 'REDACTED'\n", 2: "f('REDACTED')\n"}
     assert S.secrets(df.limit(0)).count() == 0
+
+
+def test_every_file_is_searched_for_a_confirmed_secret(spark):
+    secret, url = "zuzuhem-59-Rakekal", "redis://svc:pUGJq1Hx9@h.example:63/0"
+    rows = [(1, "a", f"x = 1\npassword = '{secret}'\nu = '{url}'\n"), (2, "b", f"// old one was {secret} until May\n"), (3, "c", f"a: 1\nb: {secret}\n"), (4, "d", f"log login/{secret}/ok\n"), (5, "e", "zuzuhem-59 other\nzuzuhem-59-Rakekala\n"),
+            (6, "f", "k = 'zuzuhem-' + '59-Rakekal'\n"), (7, "g", f"see {url}?x=1 there\n"), (8, "h", "redis://svc:other\n")]
+    df = spark.createDataFrame(rows, "file_id long, repo string, source_code string")
+    assert sorted((r.file_id, r.line_no) for r in S.secrets(df).collect()) == [(1, 2), (1, 3), (2, 1), (3, 2), (4, 1), (6, 1), (7, 1)]
+    out = {r.file_id: r.redacted_code for r in S.redacted(df).collect()}
+    assert sorted(out) == [1, 2, 3, 4, 6, 7]
+    assert out[2] == "// old one was REDACTED until May\n" and out[4] == "log login/REDACTED/ok\n" and "Rakekal" not in out[6]
