@@ -1,7 +1,7 @@
 """Lexer-state maps and bracket summaries of code chunks, and their associative reduction.
 
 A chunk is a run of whole lines.  What it means depends on the lexer state it is entered in (code, a block comment, one of the
-strings that may span lines), so a chunk is summarised as a map *entry state -> (exit state, residue)*.  The residue is the
+strings that may span lines; literals that end at a word of their own are never cut), so a chunk is summarised as a map *entry state -> (exit state, residue)*.  The residue is the
 chunk's code in the reduced alphabet of ``grammars``: all balanced bracket groups inside the chunk have been decided by their
 local grammar and are one character each, so only unmatched brackets and the open levels around them are left.  Two
 neighbours combine by following the state and by reducing the joined residues again; this is associative, so chunks of one
@@ -187,15 +187,38 @@ def lexer(ext: str) -> Lexer:
     return _LEXERS[ext]
 
 
-def cut(text: str, size: int = CHUNK_CHARS) -> list[str]:
-    """Runs of whole lines of about size characters; a longer line is a chunk of its own. Joined, they are text."""
+#: Literals that have no lexer state, as they end at a word of their own.
+_LABELLED = {".php": "<<<", ".cpp": 'R"', ".h": 'R"'}
+
+
+def _uncut(ext: str, text: str) -> list[tuple[int, int]]:
+    """(begin, end) of the heredocs or raw strings of text that run over lines."""
+    mark = _LABELLED.get(ext)
+    if not mark or mark not in text:
+        return []
+    first = RESUME["php:outside"].search(text) if ext == ".php" else None
+    if ext == ".php" and not first:
+        return []
+    return [m.span() for m in SCAN[ext].finditer(text, first.end() if first else 0) if m.group().startswith(mark) and "\n" in m.group()]
+
+
+def cut(text: str, size: int = CHUNK_CHARS, ext: str = "") -> list[str]:
+    """Runs of whole lines of about size characters; a longer line is a chunk of its own, and no heredoc or raw string is cut. Joined, they are text."""
     if len(text) <= size:
         return [text]
-    out, pos = [], 0
+    out, pos, spans = [], 0, _uncut(ext, text)
+    k = 0
     while pos < len(text):
         end = text.rfind("\n", pos, pos + size) + 1 or text.find("\n", pos) + 1 or len(text)
-        while text[max(0, end - 3):end].endswith(("\\\n", "\\\r\n")) and end < len(text):  # a continued line is one line
-            end = text.find("\n", end) + 1 or len(text)
+        while end < len(text):
+            while k < len(spans) and spans[k][1] <= end:
+                k += 1
+            if k < len(spans) and spans[k][0] < end:
+                end = text.find("\n", spans[k][1]) + 1 or len(text)
+            elif text[max(0, end - 3):end].endswith(("\\\n", "\\\r\n")):  # a continued line is one line
+                end = text.find("\n", end) + 1 or len(text)
+            else:
+                break
         out.append(text[pos:end])
         pos = end
     return out
@@ -477,7 +500,7 @@ def parses(ext: str, text: str, chunk: int = CHUNK_CHARS) -> bool:
         # element names are the brackets; a file of this kind is one document, reduced in one sweep of its tags
         ok, ends, starts, loose, root = xml_residue(text)
         return ok and not ends and not starts and not loose and root
-    parts = cut(text, chunk)
+    parts = cut(text, chunk, ext)
     start = FIRST.get(ext, CODE)
     if len(parts) == 1:
         return whole(ext, _entered(ext, text, start))

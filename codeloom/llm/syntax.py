@@ -34,7 +34,7 @@ def _chunks(chunk: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, exts, codes = (b.column(k).to_pylist() for k in range(3))
-            rows = [(i, e, k, part) for i, e, c in zip(ids, exts, codes) for k, part in enumerate([c] if e == ".xml" else lexmap.cut(c, chunk))]
+            rows = [(i, e, k, part) for i, e, c in zip(ids, exts, codes) for k, part in enumerate([c] if e == ".xml" else lexmap.cut(c, chunk, e))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), (), ()), (pa.int64(), pa.string(), pa.int32(), pa.string()))], names=["file_id", "ext", "k", "part"])
 
     return run

@@ -91,3 +91,22 @@ def test_table(spark):
     assert syntax.unparsable(df.limit(0)).count() == 0
     rates = {(r.repo, r.language): (r.files, r.broken_files) for r in syntax.rates(df).collect()}
     assert rates[("r", "javascript")] == (2, 1) and rates[("r", "json")] == (2, 1)
+
+
+LABELLED = {
+    ".php": ["<p>it's <<<X\n</p>\n<?php\n$a = 1; // <<<EOT\n$q = <<<SQL\nselect 'a\n from b \"\nwhere (c\nSQL;\n$b = 2;\n", "<?php\nf(<<<'A'\n{ don't\n\nA, <<<\"B\"\n } x\n y\n  B);\n$b = 2;\n"],
+    ".cpp": ['int a = 1;\nconst char* q = R"sql(select \'a\nfrom "b\n)" { where\n)sql";\nint f() { return 2; }\n', '// R"(\nauto s = R"(\n  it\'s {\n\n)" R"x(\n (\n)x";\nint b = 2;\n'],
+}
+LABELLED[".h"] = LABELLED[".cpp"]
+
+
+@pytest.mark.parametrize("ext", LABELLED)
+def test_literals_with_a_label_are_never_cut(ext, spark):
+    for code in LABELLED[ext]:
+        assert lexmap.parses(ext, code), code
+        broken = code + ("function (\n" if ext == ".php" else "int f( {\n")
+        for size in (5, 12, 20, 40):
+            assert "".join(lexmap.cut(code, size, ext)) == code and len(lexmap.cut(code, size, ext)) > 1
+            assert lexmap.parses(ext, code, size) and not lexmap.parses(ext, broken, size), (size, code)
+    df = spark.createDataFrame([(k, f"/a{ext}", ext, c) for k, c in enumerate(LABELLED[ext])], "file_id long, path string, extension string, source_code string")
+    assert syntax.unparsable(df, chunk=12).count() == 0
