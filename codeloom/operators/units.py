@@ -124,6 +124,49 @@ _CLASS = re.compile(r"\b(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)[^;{}()
 _KEYWORDS = frozenset("if for foreach while switch catch return function func sizeof typeof new else do try using lock elseif array list isset empty unset echo print throw case await defer go select range super this".split())
 
 
+# Import statements by language, read where comments are blanked and strings are not.
+_IMPORT = {
+    ".js": re.compile(r"^[ \t]*import\s+(?:[^;\"'()]*?\sfrom\s*)?[\"']([^\"'\n]+)[\"']", re.M),
+    ".java": re.compile(r"^[ \t]*import\s+(?:static\s+)?([\w.*]+)\s*;", re.M),
+    ".go": re.compile(r"^import\s*\(([^)]*)\)|^import\s+(?:[\w.]+\s+)?(\"[^\"\n]+\")", re.M),
+    ".php": re.compile(r"\b(?:include|require)(?:_once)?\s*\(?\s*['\"]([^'\"\n]+)['\"]|^[ \t]*use\s+([\w\\]+)", re.M),
+    ".c": re.compile(r"^[ \t]*#include\s*[<\"]([^>\"\n]+)[>\"]", re.M),
+    ".cs": re.compile(r"^[ \t]*(?:global\s+)?using\s+([\w.]+)\s*;", re.M),
+}
+_IMPORT[".ts"], _IMPORT[".cpp"] = _IMPORT[".js"], _IMPORT[".c"]
+_COMMENT = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)|//[^\n]*|/\*[\s\S]*?\*/")
+_BEFORE = re.compile(r"([\w$]+|[^\s\w])?[ \t]*$")
+_EXPRESSION_WORDS = frozenset("new return await throw yield typeof in of case else do delete void not and or print echo".split())
+
+
+def _declared(blank: str, at: int, ext: str, in_class: bool) -> bool:
+    """Whether the name at this place outside the functions is declared, not called."""
+    before = _BEFORE.search(blank, blank.rfind("\n", 0, at) + 1, at)[1] or ""
+    if not before:
+        return in_class or ext == ".go"
+    if before[-1].isalnum() or before[-1] in "_$":
+        return before not in _EXPRESSION_WORDS
+    return before == "@" or before == "[" and ext == ".cs" or before in "*&>~]" and ext in (".c", ".cpp", ".java", ".cs")
+
+
+def _module(code: str, blank: str, ext: str, spans: list[tuple[int, int]], classes: list[tuple[int, int, str]]) -> list[str]:
+    """Imports of a file, then the calls outside its functions."""
+    visible = _COMMENT.sub(lambda m: m[1] or re.sub(r"[^\n]", " ", m.group()), code)
+    found = []
+    for m in _IMPORT[ext].finditer(visible):
+        if ext == ".php" and m[2] and any(a < m.start() < b for a, b, _ in classes):
+            continue  # traits of a class
+        said = next(filter(None, m.groups()), "")
+        found += ["import:" + x for x in (re.findall(r"\"([^\"]+)\"", said) if ext == ".go" else [said])]
+    plain = re.sub(r"^[ \t]*#(?:[^\n\\]|\\[\s\S])*", lambda m: re.sub(r"[^\n]", " ", m.group()), blank, flags=re.M) if ext in (".c", ".cpp", ".cs") else blank
+    for m in _CALL.finditer(plain):
+        if m[1] in _KEYWORDS or m[1] in ("import", "include", "include_once", "require_once") or ext == ".php" and m[1] == "require" or any(a <= m.start() < b for a, b in spans):
+            continue
+        if not _declared(plain, m.start(), ext, any(a < m.start() < b for a, b, _ in classes)):
+            found.append(re.sub(r"->|::", ".", m[1]).lstrip("$"))
+    return list(dict.fromkeys(found))
+
+
 def _body(code: str, at: int) -> int:
     """The end of the balanced block that opens at the first brace behind at; -1 if none closes."""
     start = code.find("{", at)
@@ -135,22 +178,24 @@ def _body(code: str, at: int) -> int:
     return -1
 
 
-def _scan(code: str, ext: str) -> list[tuple[str, int, int, list[str]]]:
-    """(caller, first line, last line, targets) of the functions of a brace language."""
+def _scan(code: str, ext: str, module: str) -> list[tuple[str, int, int, list[str]]]:
+    """(caller, first line, last line, targets) of the module, if it has targets, and the functions of a brace language."""
     blank = _STRING_OR_COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), code)
     classes = [(m.start(), _body(blank, m.start()), m[1]) for m in _CLASS.finditer(blank)]
-    out = []
+    out, spans = [], []
     for m in _HEAD.get(ext, _HEAD[""]).finditer(blank):
         name = next(filter(None, m.groups()))
         end = _body(blank, m.end() - 1 if ext != ".go" else m.start())
         if end < 0:
             continue
+        spans.append((m.start(), end))
         owner = [c for a, b, c in classes if a < m.start() < b]
         scope = f"{owner[-1]}.{name}" if owner and "::" not in name else name.replace("::", ".")
         begin = blank.find("{", m.end() - 1 if ext != ".go" else m.start())
         calls = [re.sub(r"->|::", ".", c[1]).lstrip("$") for c in _CALL.finditer(blank, begin, end) if c[1] not in _KEYWORDS]
         out.append((scope, blank.count("\n", 0, m.start()) + 1, blank.count("\n", 0, end) + 1, list(dict.fromkeys(calls))))
-    return out
+    targets = _module(code, blank, ext, spans, classes)
+    return [(module, 1, max(1, len(code.splitlines())), targets), *out] if targets else out
 
 
 def _dotted(node: ast.AST) -> str:
@@ -224,7 +269,7 @@ def extract(code: str, ext: str, name: str) -> list[tuple[str, str, str, int, in
         v.visit(tree)
         rows = [(scope, list(targets), *v.spans.get(scope, (1, n_lines))) for scope, targets in v.found.items()]
     else:
-        rows = [(scope, targets, a, b) for scope, a, b, targets in _scan(code, ext)]
+        rows = [(scope, targets, a, b) for scope, a, b, targets in _scan(code, ext, stem)]
     out = []
     for scope, targets, a, b in rows:
         for t in targets or [NO_DEPENDENCY]:
@@ -233,6 +278,8 @@ def extract(code: str, ext: str, name: str) -> list[tuple[str, str, str, int, in
     return out
 
 
+#: Characters of code in one frame of units.
+FRAME_CHARS = 4_000_000
 COLUMNS = "file_id long, path string, name string, source_name string, target_name string, source_desc string, start_code_line int, end_code_line int, source_code string, status string"
 
 
@@ -243,9 +290,13 @@ def extracted(files: DataFrame) -> DataFrame:
     rows = files.select("file_id", "path", "name", "source_code", text.suffix(F.col("path")).alias("ext"), F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("first"))
     rows = rows.where(F.col("ext").isin(*PARSED_EXTENSIONS) & F.col("source_code").rlike(r"\S"))
 
+    def frame(out: list) -> pd.DataFrame:
+        done = pd.DataFrame(out, columns=["file_id", "path", "name", "source_name", "target_name", "source_desc", "start_code_line", "end_code_line", "source_code", "status"])
+        return done.astype({"start_code_line": "Int32", "end_code_line": "Int32"})
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
+            out, held = [], 0
             for i, path, name, code, ext, first in zip(pdf.file_id, pdf.path, pdf["name"], pdf.source_code, pdf.ext, pdf["first"]):
                 name = name or path.rsplit("/", 1)[-1]
                 lines, found, status = code.splitlines(), extract(code, ext, name), "ok"
@@ -256,9 +307,13 @@ def extracted(files: DataFrame) -> DataFrame:
                         found += [(s, t, d, x + a - 1, y + a - 1) for s, t, d, x, y in part or ()]
                 if not found:
                     out.append((i, path, name, None, None, None, None, None, None, "failed"))
-                out += [(i, path, name, s, t, d, a + first - 1, b + first - 1, "\n".join(lines[a - 1:b]), status) for s, t, d, a, b in found]
-            frame = pd.DataFrame(out, columns=["file_id", "path", "name", "source_name", "target_name", "source_desc", "start_code_line", "end_code_line", "source_code", "status"])
-            yield frame.astype({"start_code_line": "Int32", "end_code_line": "Int32"})
+                for s, t, d, a, b in found:
+                    out.append((i, path, name, s, t, d, a + first - 1, b + first - 1, "\n".join(lines[a - 1:b]), status))
+                    held += len(out[-1][8])
+                    if held > FRAME_CHARS:  # every unit carries its caller's code
+                        yield frame(out)
+                        out, held = [], 0
+            yield frame(out)
 
     return rows.mapInPandas(run, COLUMNS)
 

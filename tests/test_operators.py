@@ -55,6 +55,16 @@ def test_extraction_of_brace_languages():
     assert [(s, t) for s, t, *_ in units.extract(ts, ".ts", "a.ts")] == [("cut", "split.at")]
 
 
+def test_brace_languages_have_a_module_scope():
+    own = lambda code, ext: [t for s, t, *_ in units.extract(code, ext, "m" + ext) if s == "m"]
+    assert own('package a\n\nimport (\n\t"fmt"\n\tx "net/http"\n)\n// import "no"\nvar p = pool.New(3)\n\nfunc Run() { f() }\n', ".go") == ["import:fmt", "import:net/http", "pool.New"]
+    assert own("import { a,\n  b } from 'x/y';\nimport './z';\nboot(1);\nfunction f() { g(); }\nclass A {\n  run() { h(); }\n}\n", ".ts") == ["import:x/y", "import:./z", "boot"]
+    assert own("import a.b.C;\nimport static d.E.*;\nclass X {\n  static P p = P.of(1);\n  @Path(1) void run() { f(); }\n  abstract int g(int a);\n}\n", ".java") == ["import:a.b.C", "import:d.E.*", "P.of"]
+    assert own("#include <a.h>\n#include \"b/c.h\"\n#define F(x) g(x)\nint f(int a);\nint h(void) { return f(1); }\n", ".c") == ["import:a.h", "import:b/c.h"]
+    assert own("using A.B;\nclass C { void F() { g(); } }\n", ".cs") == ["import:A.B"]
+    assert own("<?php\nuse A\\B;\nrequire_once('c.php');\nboot();\nfunction f() { g(); }\n", ".php") == ["import:A\\B", "import:c.php", "boot"]
+
+
 def test_extraction_table(spark):
     rows = [(1, "/a.py", None, "def f():\n    g()\n", ".py", 5), (2, "/b.py", "b.py", "def f(:\n", ".py", 1), (3, "/c.rb", "c.rb", "x", ".rb", 1), (4, "/d.py", "d", None, ".py", 1)]
     df = spark.createDataFrame(rows, FILES)
