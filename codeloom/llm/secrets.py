@@ -1,16 +1,21 @@
 """Problem 6: credentials embedded in source code.
 
 1. Index: every structured literal of every file (long enough, mixed characters, no name, path, version or host) with the lines it
-   begins on and the evidence around it (a credential's name before it, a login call, a URL with a password, a known token form).
-2. Owners: the literals are grouped over the whole corpus; one that many repositories share is a placeholder from a template
-   and is dropped, one that is rare and has evidence in at least one place is confirmed.
+   begins on, the evidence around it (a credential's name before it, a login call, a URL with a password, a known token form) and a hash
+   of its line.
+2. Owners: the literals are grouped over the whole corpus.  One that more repositories share than ``min_owners`` and than ``owner_share``
+   of all of them, on as many different lines, is a placeholder from a template and is dropped; copies of one file are one line, so
+   copying does not make a secret a placeholder, and private keys and known token forms are none however widely shared.  One with
+   evidence in at least one place is confirmed.
 3. Re-scan of every file: a confirmed secret is known by its anchor, a run of letters and digits with the next one.  A bitmap of the
-   anchors (of fixed size, so it only lets more through as secrets grow) tells which words of a file may hold one; these are joined
-   with the secrets by anchor, and one automaton per file finds every place, also those where nothing around the literal gives it
-   away; so does the redaction, which keeps quotes and lengths of lines' other text.
-
-The index is grouped with partial aggregation, so a literal that fills a third of the corpus costs one row per task; only the
-bitmap is sent to the driver.  Null or blank code has no secret; rows delivered twice count once; an empty table gives an empty result.
+   anchors (of fixed size, so it only lets more through as secrets grow) sifts the words of every file; only words that may hold a secret,
+   with their lines, are joined with the secrets by anchor, and an automaton of the joined secrets confirms the places, also those where
+   nothing around the literal gives it away.  No text is shuffled to find secrets; the redaction, which keeps quotes and lengths
+   of lines' other text, moves the files that hold some.
+
+The index is grouped with partial aggregation, so a literal that fills a third of the corpus costs one row per task; only bitmaps are
+sent to the driver.  Evidence is sought up to 400 characters before a literal on its line, and on the line before where it stands alone.
+Null or blank code has no secret; rows delivered twice count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: A literal in more repositories than this is a placeholder.
-MAX_OWNERS = 12
+#: A literal on more lines of more repositories than both is a placeholder: a number, and a share of all repositories.
+MIN_OWNERS, OWNER_SHARE = 24, 0.25
 #: Bits of the bitmap of anchors, and words a worker remembers as holding none.
 ANCHOR_BITS = 1 << 24
 IDLE_WORDS = 500_000
@@ -42,12 +49,12 @@ _PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{24,}")
 
 # Names under which credentials are kept, in several languages, and the words that make such a name harmless.
 _NAMES = (
-    r"(?:pg|db|my|usr|user|root|admin|ftp|ssh|smtp|http|redis|mongo)?pass[_-]?(?:word|wd|wort|phrase|code)?s?|pwd|passw|kennwort|mot[_-]?de[_-]?passe|clave(?:[_-]?(?:acceso|secreta))?|contrase(?:ñ|n)a|senha|has[lł]o|парол\w*|密码|密钥|口令|パスワード|"
+    r"(?:pg|db|my|usr|user|root|admin|ftp|ssh|smtp|http|redis|mongo)?pass[_-]?(?:word|wd|wort|phrase|code)?s?|pwd|passw|(?:wifi|wpa\d?|pre[_-]?shared)?[_-]?psk|kennwort|mot[_-]?de[_-]?passe|clave(?:[_-]?(?:acceso|secreta))?|contrase(?:ñ|n)a|senha|has[lł]o|парол\w*|密码|密钥|口令|パスワード|"
     r"secret(?:s|[_-]?(?:key|value|access[_-]?key))?|token|api[_-]?key|apikey|bearer|jwt|credentials?|creds|authori[sz]ation|(?:proxy[_-]?)?auth(?:[_-]?(?:header|value|key|token|code))?|dsn|conn(?:ection)?[_-]?str(?:ing)?|(?:login|access|pin|auth|security|activation|unlock)[_-]?code|"
     r"(?:presented|given|sent|provided|supplied|received|expected|stored|access|account|aes|des|hmac|consumer|deploy|storage|encryption|encrypt|decryption|signing|signature|sign|private|master|session|license|licence|service|shared|shared[_-]?access|client|host|tls|ssl|ssh|gpg|pgp|webhook|push|app|application|bot|ldap|db|database|smtp|admin|root|crypto|cipher|symmetric|developer|integration|subscription|functions?|registry|cookie|salt|vault|kms|s3|cloud|server|rsa|ec|ecdsa|pem)[_-]?key"
 )
 _HARMLESS = r"label|hint|path|file|dir|name|env|var|ttl|len|length|min|max|state|status|type|kind|policy|count|field|id|ids|ref|url|uri|expir\w*|prompt|format|regex|pattern|rule\w*|text|title|message|msg|help|error|column|header_name|algo\w*|alg|cipher|size|bits|hash|digest|fingerprint|version|placeholder|example|sample|strength|reset|page|form|input|timeout|scope|issuer|audience|rotation|required|enabled|mode|public"
-_NAME = re.compile(rf"(?i)(?<![a-zà-ÿ])(?:[\w-]*?[_\-.])??(?:{_NAMES})(?![a-zà-ÿ])|(?:(?<=[a-z0-9])|(?<![A-Za-z]))(?:Pass(?:word|wd|wort|phrase)?|Pwd|Passe|Secret|Token|ApiKey|Key|Jwt|Auth(?:orization|Header|Value)?|Bearer|Credentials?|Dsn|Acceso)(?![a-z])")
+_NAME = re.compile(rf"(?i)(?<![a-zà-ÿ])(?:[\w-]*?[_\-.])??(?:{_NAMES})(?![a-zà-ÿ])|(?:(?<=[a-z0-9])|(?<![A-Za-z]))(?:Pass(?:word|wd|wort|phrase)?|Pwd|Passe|Psk|Secret|Token|ApiKey|Key|Jwt|Auth(?:orization|Header|Value)?|Bearer|Credentials?|Dsn|Acceso)(?![a-z])")
 _LOOSE_KEY = re.compile(r"(?:^|[^A-Za-z])(?:[a-z]\w*)?Key$")
 _KEY_OWNER = re.compile(r"(?i)(?:presented|given|sent|provided|supplied|received|expected|stored|access|account|aes|hmac|consumer|deploy|storage|encrypt\w*|sign\w*|private|master|session|licen[cs]e|service|shared|client|host|tls|ssl|ssh|webhook|push|app|api|bot|ldap|db|smtp|admin|root|crypto|cipher|secret|auth)[_-]?key$")
 _TAIL = re.compile(rf"(?:[_\-. ]?(?i:{_HARMLESS}))(?![a-z])|(?:Label|Hint|Path|File|Name|Env|Ttl|Length|State|Type|Kind|Policy|Count|Field|Id|Ref|Url|Prompt|Format|Text|Hash|Mode)(?![a-z])")
@@ -59,7 +66,7 @@ _PASS_FLAG = re.compile(r"(?:--?(?:password|passwd|pass|token|secret|api-key)[ =
 _ATTACHED = re.compile(r"-p([^\s\"']{6,})$")
 _CLIENT = re.compile(r"(?i)\b(?:mysql\w*|mariadb\w*|mongo\w*|psql|sshpass|redis-cli|ldap\w*)\b")
 _URL = re.compile(r"[A-Za-z][\w+.-]*://[^\s:/@]*:([^\s@/]+)@[\w.\[-]")
-_PLACEHOLDER = re.compile(r"(?i)^(?:x{4,}|\*{3,}|\.{3,}|-{3,}|0{6,}|1234\d*|abc123\w{0,3}|(?:your|my|the|some|insert|enter|put|add|replace|change)[_\-. ]?\w*(?:[_\-. ]\w+)*|change_?me\w*|redacted\w*|placeholder\w*|example\w*|sample\w*|dummy\w*|test(?:ing)?\w{0,6}|todo\w*|fixme\w*|none|null|nil|undefined|empty|password\d{0,3}|secret\d{0,3}|token\d{0,3}|foo\w*|bar\w*)$|(?i:example|placeholder|redacted|changeme|your[_-]|-here$|_here$|dummy)|^(.)\1+$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x{4,}|\*{3,}|\.{3,}|-{3,}|0{6,}|1234\d*|abc123\w{0,3}|(?:your|my|the|some|insert|enter|put|add|replace|change)[\w\-. ]*|change_?me\w*|redacted\w*|placeholder\w*|example\w*|sample\w*|dummy\w*|test(?:ing)?\w{0,6}|todo\w*|fixme\w*|none|null|nil|undefined|empty|password\d{0,3}|secret\d{0,3}|token\d{0,3}|foo\w*|bar\w*)$|(?i:example|placeholder|redacted|changeme|your[_-]|-here$|_here$|dummy)|^(.)\1+$")
 _REFERENCE = re.compile(r"^(?:\$\{?|\{\{|%\(|%[A-Z]|<|@|#\{|env[.:(]|ENV\[|os\.|process\.|System\.|vault[:/]|secret[s]?[:/]|ref[:+]|arn:|ssm:|file:|kms:|op://|keyring:)|\$\{|\{\{|[a-z_]+\.[a-z_]+\(|://[^@]*$|\w==\w|\w&&\w")
 _PATH = re.compile(r"^(?:[~.]{0,2}/)?(?:[a-z_.\-][\w.\-]*/)+[\w.\-]*$|^[A-Za-z]:\\|^[.~]?/")
 _IDENTIFIER = re.compile(r"^(?:[A-Za-z]+[_.:-])*[A-Za-z]+[_.:-]?\d{0,5}$|^[A-Z][A-Z0-9_]+$|^[a-z]+(?:[A-Z][a-z]+)*\d{0,3}$|^[\w.]+\(\S*$|^\$?[a-z_]+(?:->|::|\.)\w+$|^[A-Za-z_$][\w$.]*[-+*/|&^]?=!?[A-Za-z_$][\w$.]*$|^[a-z_$][a-z_$.]*\d?(?:[=<>!+*/|&-]+|\+\+|--)\d{0,6}$")
@@ -73,7 +80,7 @@ _FORM = re.compile(
 
 def structured(v: str) -> bool:
     """Whether a literal looks made by a machine or by a password rule, not a name, number, path, host or placeholder."""
-    if not _DIGIT.search(v) or len(v) > 4096 or _PLACEHOLDER.search(v) or _REFERENCE.search(v) or _VERSION.match(v):
+    if not _DIGIT.search(v) or _PLACEHOLDER.search(v) or _REFERENCE.search(v) or _VERSION.match(v):
         return False
     if _HEX.match(v) or _FORM.match(v):
         return True
@@ -86,11 +93,16 @@ def structured(v: str) -> bool:
 
 def mixed(v: str) -> bool:
     """Whether a literal has small and capital letters, digits and signs, as passwords by rule do; too weak without a name before it."""
-    if not 8 <= len(v) <= 64 or _PLACEHOLDER.search(v) or _REFERENCE.search(v) or _VERSION.match(v) or _HOST.match(v) or "/" in v or "(" in v:
+    if len(v) < 8 or _PLACEHOLDER.search(v) or _REFERENCE.search(v) or _VERSION.match(v) or _HOST.match(v) or "/" in v or "(" in v:
         return False
     return any(c.islower() for c in v) and any(c.isupper() for c in v) and any(c.isdigit() for c in v) and any(not c.isalnum() for c in v)
 
 
+def signed(v: str) -> bool:
+    """Whether a literal without digits has small and capital letters and signs that no name or text has within a word."""
+    return len(v) >= 10 and bool(_SIGN.search(v)) and any(c.islower() for c in v) and any(c.isupper() for c in v) and not any(c in "/(){}<>" for c in v) and not _PLACEHOLDER.search(v) and not _REFERENCE.search(v) and not _HOST.match(v)
+
+
 def _basic(v: str) -> bool:
     try:
         raw = base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
@@ -133,7 +145,7 @@ def candidates(code: str) -> list[tuple[str, int, int]]:
         code = re.sub(r"-----BEGIN [A-Z0-9 ]+-----[\s\S]*?(?:-----END [A-Z0-9 ]+-----|\Z)", lambda m: "\n" * m.group().count("\n"), code)
     lines = code.split("\n")
     for n, line in enumerate(lines):
-        if len(line) < 8 or not (_QUICK.search(line) if _DIGIT.search(line) else False) and "://" not in line:
+        if len(line) < 8 or not (_QUICK.search(line) if _DIGIT.search(line) else False) and "://" not in line and not _SIGN.search(line):
             continue
         joined = _JOIN.sub("", line) if '" ' in line or "' " in line or '".' in line or "'." in line or '"+' in line or "'+" in line else line
         for m in _TOKEN.finditer(joined):
@@ -144,8 +156,11 @@ def candidates(code: str) -> list[tuple[str, int, int]]:
                     out.append((v, n + 1, 1))
                 continue
             if not _DIGIT.search(v):
+                before = joined[max(0, a - 400):a]
+                if before[-1:] in ("\"", "'", "`") and signed(v) and _ASSIGNED.search(before) and _named(before):
+                    out.append((v, n + 1, 1))
                 continue
-            before = joined[max(0, a - 200):a]
+            before = joined[max(0, a - 400):a]
             if (k := _ATTACHED.match(v)) and _CLIENT.search(before) and structured(k[1]):
                 out.append((k[1], n + 1, 1))
                 continue
@@ -164,39 +179,60 @@ def candidates(code: str) -> list[tuple[str, int, int]]:
             elif (k := re.match(r"[\"'：:=>-]+", v)):
                 before, cut = before + k.group(), v[k.end():]
             cut = cut.strip("：").rstrip(".:,!?") if not _HEX.match(cut) else cut
-            if not cut or not structured(cut) and not (before[-1:] in "\"'`" and before and mixed(cut) or cut is not v and mixed(cut)):
+            if not cut or not structured(cut) and not ((before and before[-1] in "\"'`" or cut is not v or _REMARK.search(before)) and mixed(cut)):
                 continue
             if _FORM.match(cut):
-                out.append((cut, n + 1, 1 if not _PUBLIC.search(before[-30:]) else 0))
+                own = _ASSIGNED.search(before)
+                out.append((cut, n + 1, int(not own or not _PUBLIC.search(own[1]))))
                 continue
             if not before.strip("\"'` \t(") and n and re.search(r"[=(:,+>|{]\s*$", lines[n - 1]):
                 before = lines[n - 1].strip()[-120:] + " " + before.strip()
             strong = _named(before) or bool(_LOGIN.search(before)) or bool(_PASS_FLAG.search(before)) or bool(re.search(r"(?i)\bbearer\s+$", before))
+            if len(cut) > 4096 and not strong:  # data
+                continue
             if strong or structured(cut) and before[-1:] in "\"'`" and before or _HEX.match(cut):
                 out.append((cut, n + 1, int(strong)))
     return out
 
 
+_SIGN = re.compile(r"[A-Za-z][!@#$%^&*~+?][A-Za-z]")
+_ASSIGNED = re.compile(r"([\w.-]+)[\"'\])]*\s*(?:=>|->|:=|[=:])\s*[\"'`(@$]*$")
+_REMARK = re.compile(r"(?:^|\s)(?:#|//|/\*|\*|--|<!--|;)(?=\s)")
 _QUICK = re.compile(r"[A-Za-z+/=_.!%$#@&~^*-]\d|\d[A-Za-z+=_.!%$#@&~^*-]|PRIVATE KEY")
 
 
 def _index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        rows = [(v, i, repo, n, e) for i, repo, code in zip(*(b.column(k).to_pylist() for k in range(3))) for v, n, e in candidates(code)]
-        cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int8()))], names=["literal", "file_id", "repo", "line_no", "evidence"])
+        rows = []
+        for i, repo, code in zip(*(b.column(k).to_pylist() for k in range(3))):
+            if found := candidates(code):
+                lines = code.split("\n")
+                rows += [(v, i, repo, n, e, zlib.crc32(lines[n - 1].strip().encode("utf-8", "surrogatepass"))) for v, n, e in found]
+        cols = list(zip(*rows)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int8(), pa.int64()))], names=["literal", "file_id", "repo", "line_no", "evidence", "line_key"])
 
 
 def index(files: DataFrame) -> DataFrame:
-    """(literal, file_id, repo, line_no, evidence): every structured literal of the corpus, one row per place."""
-    rows = files.select("file_id", F.coalesce("repo", F.lit("")).alias("repo"), "source_code").where(F.col("file_id").isNotNull() & F.col("source_code").rlike(r"\d|PRIVATE KEY"))
-    return common.spread(rows).mapInArrow(_index, "literal string, file_id long, repo string, line_no int, evidence byte")
+    """(literal, file_id, repo, line_no, evidence, line_key): every structured literal of the corpus, one row per place."""
+    rows = files.where(F.col("file_id").isNotNull() & F.col("source_code").rlike(r"\S")).select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("repo", F.lit("")).alias("repo"), "source_code")
+    return common.spread(rows).mapInArrow(_index, "literal string, file_id long, repo string, line_no int, evidence byte, line_key long")
+
+
+def confirmed(places: DataFrame, bound: int = MIN_OWNERS) -> DataFrame:
+    """(literal) that have evidence somewhere and are no placeholder: not on more than bound lines of more than bound repositories, or of a known form."""
+    per_line = places.groupBy("literal", "repo", "line_key").agg(F.max("evidence").alias("evidence"))  # partial aggregation absorbs a hot literal
+    spread = per_line.groupBy("literal").agg(F.max("evidence").alias("evidence"), F.least(F.countDistinct("repo"), F.countDistinct("line_key")).alias("owners"))
+    known_form = F.col("literal").startswith("-----BEGIN") | F.col("literal").rlike(_FORM.pattern)
+    return spread.where((F.col("evidence") > 0) & (known_form | (F.col("owners") <= bound))).select("literal")
 
 
-def confirmed(places: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(literal) that have evidence somewhere and are not shared by more than max_owners repositories."""
-    per_owner = places.groupBy("literal", "repo").agg(F.max("evidence").alias("evidence"))  # partial aggregation absorbs a hot literal
-    return per_owner.groupBy("literal").agg(F.count("*").alias("owners"), F.max("evidence").alias("evidence")).where((F.col("evidence") > 0) & (F.col("owners") <= max_owners)).select("literal")
+def _matches(a: ahocorasick.Automaton, text: str) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, secret) of the secrets in text; one that is part of a longer run of letters and digits is another literal."""
+    for last, s in a.iter(text):
+        b, e = last - len(s) + 1, last + 1
+        attached = text[max(0, b - 2):b] == "-p"  # a password behind the flag of a command
+        if (b == 0 or attached or not (text[b - 1].isalnum() and s[0].isalnum())) and (e >= len(text) or not (text[e].isalnum() and s[-1].isalnum())):
+            yield b, e, s
 
 
 def _places(code: str, secrets: list[str]) -> list[tuple[int, int, str]]:
@@ -207,31 +243,23 @@ def _places(code: str, secrets: list[str]) -> list[tuple[int, int, str]]:
     for s in secrets:
         a.add_word(s, s)
     a.make_automaton()
-    out = []
-    for n, line in enumerate(code.split("\n")):
-        if len(line) < 6:
-            continue
-        joined = _JOIN.sub("", line) if _JOIN.search(line) else line
-        for end, s in a.iter(joined):
-            b = end - len(s) + 1
-            # a secret that is part of a longer word is another literal
-            if (b == 0 or not (joined[b - 1].isalnum() and s[0].isalnum())) and (end + 1 >= len(joined) or not (joined[end + 1].isalnum() and s[-1].isalnum())):
-                out.append((b, n + 1, s))
-    return out
+    return [(b, n + 1, s) for n, line in enumerate(code.split("\n")) if len(line) >= 6 for b, _, s in _matches(a, _JOIN.sub("", line))]
 
 
-def _rescan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, line_no, literal) of the rows (file_id, line_no, word, literal) whose word holds the literal, by one automaton per batch."""
     for b in it:
-        ids, lines = [], []
-        for i, code, secrets in zip(*(b.column(k).to_pylist() for k in range(3))):
-            pems = [s for s in secrets if s.startswith("-----BEGIN")]
-            found = {n for _, n, _ in _places(code, [s for s in secrets if not s.startswith("-----BEGIN")])}
-            if pems:
-                found |= {n for s, n, e in candidates(code) if s in pems}
-            for n in sorted(found):
-                ids.append(i)
-                lines.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32())], names=["file_id", "line_no"])
+        ids, lines, words, literals = (b.column(k).to_pylist() for k in range(4))
+        known = set(literals)
+        held: dict[str, set[str]] = {}
+        if known:
+            a = ahocorasick.Automaton()
+            for s in known:
+                a.add_word(s, s)
+            a.make_automaton()
+            held = {w: {s for _, _, s in _matches(a, w)} for w in set(words)}
+        keep = [k for k, (w, s) in enumerate(zip(words, literals)) if s in held[w]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in keep], t) for x, t in ((ids, pa.int64()), (lines, pa.int32()), (literals, pa.string()))], names=["file_id", "line_no", "literal"])
 
 
 def _redact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,60 +348,72 @@ def _anchored(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(literals, pa.string()), pa.array(keys, pa.string()), pa.array([_bit(k) for k in keys], pa.int32())], names=["literal", "anchor", "bit"])
 
 
-def _bitmap(known: DataFrame) -> bytes:
-    """The anchors' bits; its size is fixed, whatever the number of secrets."""
-    bits = bytearray(ANCHOR_BITS >> 3)
-    parts = known.groupBy((F.col("bit") / (1 << 15)).cast("int").alias("part")).agg(F.collect_set("bit").alias("bits"))
-    for row in parts.toLocalIterator():
+def _bitmap(bits: DataFrame) -> bytes:
+    """The bits of the rows (bit); its size is fixed, whatever their number."""
+    out = bytearray(ANCHOR_BITS >> 3)
+    for row in bits.groupBy((F.col("bit") / (1 << 15)).cast("int").alias("part")).agg(F.collect_set("bit").alias("bits")).toLocalIterator():
         for k in row.bits:
-            bits[k >> 3] |= 1 << (k & 7)
-    return bytes(bits)
+            out[k >> 3] |= 1 << (k & 7)
+    return bytes(out)
 
 
-def _held(files: DataFrame, known: DataFrame) -> DataFrame:
-    """(file_id, anchor) of every file and every anchor of a secret that its code may hold."""
-    shared = files.sparkSession.sparkContext.broadcast(_bitmap(known))
+def _sifted(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(file_id, line_no, word, anchor) of every word of every file that may hold a secret, with the anchor of that secret."""
+    shared = files.sparkSession.sparkContext.broadcast(_bitmap(known.select("bit")))
 
     def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, idle = shared.value, set()
         for b in it:
-            ids, keys = [], []
+            rows = []
             for i, code in zip(*(b.column(k).to_pylist() for k in range(2))):
-                found = set()
                 if len(idle) > IDLE_WORDS:
                     idle.clear()
+                held = {}
                 for w in set(_TOKEN.findall(_JOIN.sub("", code))) - idle:
-                    hits = [k for k in anchors(w) if bits[(n := _bit(k)) >> 3] >> (n & 7) & 1]
+                    hits = {k for k in anchors(w) if bits[(n := _bit(k)) >> 3] >> (n & 7) & 1}
                     if hits:
-                        found.update(hits)
+                        held[w] = hits
                     else:
                         idle.add(w)
-                ids += [i] * len(found)
-                keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["file_id", "anchor"])
+                if held:
+                    rows += [(i, n, w, k) for n, line in enumerate(code.split("\n"), 1) for w in set(_TOKEN.findall(_JOIN.sub("", line))) if w in held for k in held[w]]
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["file_id", "line_no", "word", "anchor"])
 
-    texts = files.select("file_id", "source_code").where(F.col("file_id").isNotNull() & F.col("source_code").rlike(r"\S"))
-    return common.spread(texts).mapInArrow(words, "file_id long, anchor string")
+    texts = files.where(F.col("file_id").isNotNull() & F.col("source_code").rlike(r"\S")).select(F.col("file_id").cast("long").alias("file_id"), "source_code")
+    return common.spread(texts).mapInArrow(words, "file_id long, line_no int, word string, anchor string")
 
 
-def _with_secrets(files: DataFrame, max_owners: int) -> DataFrame:
-    """(file_id, source_code, secrets): the files that hold confirmed secrets, wherever in them, each file once."""
+def located(files: DataFrame, owner_share: float = OWNER_SHARE, min_owners: int = MIN_OWNERS) -> DataFrame:
+    """(file_id, line_no, literal) of every place of a confirmed secret, wherever it is; a place may come twice."""
     places = common.kept(index(files))
-    sure = common.kept(confirmed(places, max_owners))
+    repos = files.agg(F.countDistinct("repo")).first()[0]
+    sure = common.kept(confirmed(places, max(min_owners, int(owner_share * repos))))
     block = F.col("literal").startswith("-----BEGIN")  # a private key has its BEGIN line in every place, so the index has them all
     known = common.kept(sure.where(~block).mapInArrow(_anchored, "literal string, anchor string, bit int"))
-    held = _held(files, known).join(known, "anchor").select("file_id", "literal")
-    held = held.unionByName(places.where(block).join(sure, "literal", "left_semi").select("file_id", "literal")).distinct()
-    per_file = held.groupBy("file_id").agg(F.collect_list("literal").alias("secrets"))  # bounded by the file's own text
-    texts = files.select("file_id", "source_code").where(F.col("source_code").isNotNull())
-    return texts.join(per_file, "file_id")
+    found = _sifted(files, known).join(known, "anchor").select("file_id", "line_no", "word", "literal").mapInArrow(_confirm, "file_id long, line_no int, literal string")
+    return found.unionByName(places.join(sure, "literal", "left_semi").select("file_id", "line_no", "literal"))
 
 
-def secrets(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def secrets(files: DataFrame, owner_share: float = OWNER_SHARE, min_owners: int = MIN_OWNERS) -> DataFrame:
     """(file_id, line_no) of every line on which a literal secret begins."""
-    return _with_secrets(files, max_owners).mapInArrow(_rescan, "file_id long, line_no int").distinct()
+    return located(files, owner_share, min_owners).select("file_id", "line_no").distinct()
+
+
+def redacted(files: DataFrame, owner_share: float = OWNER_SHARE, min_owners: int = MIN_OWNERS) -> DataFrame:
+    """(file_id, redacted_code, redacted): files that hold secrets, with the secrets replaced and their number.
+
+    Only files whose id is in a bitmap of the ids with secrets are moved to them.
+    """
+    pairs = located(files, owner_share, min_owners).select("file_id", "literal").distinct()
+    per_file = common.kept(pairs.groupBy("file_id").agg(F.collect_list("literal").alias("secrets")))  # bounded by the file's own text
+    bit = F.pmod(F.xxhash64("file_id"), F.lit(ANCHOR_BITS)).cast("int")
+    shared = files.sparkSession.sparkContext.broadcast(_bitmap(per_file.select(bit.alias("bit"))))
 
+    @F.pandas_udf("boolean")
+    def held(bits: pd.Series) -> pd.Series:
+        k = bits.to_numpy()
+        return pd.Series(np.frombuffer(shared.value, dtype=np.uint8)[k >> 3] >> (k & 7) & 1 == 1)
 
-def redacted(files: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(file_id, redacted_code, redacted): files that hold secrets, with the secrets replaced and their number."""
-    return _with_secrets(files, max_owners).dropDuplicates(["file_id"]).mapInArrow(_redact, "file_id long, redacted_code string, redacted int")
+    texts = files.where(F.col("file_id").isNotNull() & F.col("source_code").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), "source_code").where(held(bit))
+    return texts.join(per_file, "file_id").dropDuplicates(["file_id"]).mapInArrow(_redact, "file_id long, redacted_code string, redacted int")
