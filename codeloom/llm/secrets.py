@@ -15,7 +15,7 @@
 
 The index is grouped with partial aggregation, so a literal that fills a third of the corpus costs one row per task; only bitmaps are
 sent to the driver.  Evidence is sought up to 400 characters before a literal on its line, and on the line before where it stands alone.
-Null or blank code has no secret; rows delivered twice count once; an empty table gives an empty result.
+A literal above 4,096 characters is encoded data, not a secret, but for private keys.  Null or blank code has no secret; rows delivered twice count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ _PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{24,}")
 
 # Names under which credentials are kept, in several languages, and the words that make such a name harmless.
 _NAMES = (
-    r"(?:pg|db|my|usr|user|root|admin|ftp|ssh|smtp|http|redis|mongo)?pass[_-]?(?:word|wd|wort|phrase|code)?s?|pwd|passw|(?:wifi|wpa\d?|pre[_-]?shared)?[_-]?psk|kennwort|mot[_-]?de[_-]?passe|clave(?:[_-]?(?:acceso|secreta))?|contrase(?:ñ|n)a|senha|has[lł]o|парол\w*|密码|密钥|口令|パスワード|"
+    r"(?:pg|db|my|usr|user|root|admin|ftp|ssh|smtp|http|redis|mongo)?pass[_-]?(?:word|wd|wort|phrase|code)?s?|pwd|passw|(?:wifi|wpa\d?|pre[_-]?shared)?[_-]?psk|(?:unlock|recovery|seed|mnemonic|login|backup|master|security|signing|encryption|decryption|vault|wallet|access|safe)[_-]?phrase|t?otp[_-]?(?:seed|secret)|kennwort|mot[_-]?de[_-]?passe|clave(?:[_-]?(?:acceso|secreta))?|contrase(?:ñ|n)a|senha|has[lł]o|парол\w*|密码|密钥|口令|パスワード|"
     r"secret(?:s|[_-]?(?:key|value|access[_-]?key))?|token|api[_-]?key|apikey|bearer|jwt|credentials?|creds|authori[sz]ation|(?:proxy[_-]?)?auth(?:[_-]?(?:header|value|key|token|code))?|dsn|conn(?:ection)?[_-]?str(?:ing)?|(?:login|access|pin|auth|security|activation|unlock)[_-]?code|"
     r"(?:presented|given|sent|provided|supplied|received|expected|stored|access|account|aes|des|hmac|consumer|deploy|storage|encryption|encrypt|decryption|signing|signature|sign|private|master|session|license|licence|service|shared|shared[_-]?access|client|host|tls|ssl|ssh|gpg|pgp|webhook|push|app|application|bot|ldap|db|database|smtp|admin|root|crypto|cipher|symmetric|developer|integration|subscription|functions?|registry|cookie|salt|vault|kms|s3|cloud|server|rsa|ec|ecdsa|pem)[_-]?key"
 )
@@ -80,7 +80,7 @@ _FORM = re.compile(
 
 def structured(v: str) -> bool:
     """Whether a literal looks made by a machine or by a password rule, not a name, number, path, host or placeholder."""
-    if not _DIGIT.search(v) or _PLACEHOLDER.search(v) or _REFERENCE.search(v) or _VERSION.match(v):
+    if not _DIGIT.search(v) or len(v) > 4096 or _PLACEHOLDER.search(v) or _REFERENCE.search(v) or _VERSION.match(v):
         return False
     if _HEX.match(v) or _FORM.match(v):
         return True
@@ -188,8 +188,6 @@ def candidates(code: str) -> list[tuple[str, int, int]]:
             if not before.strip("\"'` \t(") and n and re.search(r"[=(:,+>|{]\s*$", lines[n - 1]):
                 before = lines[n - 1].strip()[-120:] + " " + before.strip()
             strong = _named(before) or bool(_LOGIN.search(before)) or bool(_PASS_FLAG.search(before)) or bool(re.search(r"(?i)\bbearer\s+$", before))
-            if len(cut) > 4096 and not strong:  # data
-                continue
             if strong or structured(cut) and before[-1:] in "\"'`" and before or _HEX.match(cut):
                 out.append((cut, n + 1, int(strong)))
     return out
