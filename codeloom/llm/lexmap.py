@@ -1,7 +1,8 @@
 """Lexer-state maps and bracket summaries of code chunks, and their associative reduction.
 
-A chunk is a run of whole lines.  What it means depends on the lexer state it is entered in (code, a block comment, one of the
-strings that may span lines; literals that end at a word of their own are never cut), so a chunk is summarised as a map *entry state -> (exit state, residue)*.  The residue is the
+A chunk is a run of whole lines, in XML of whole tags and texts.  What it means depends on the lexer state it is entered in (code, a block
+comment, one of the strings that may span lines; literals that end at a word of their own and templates within templates are never
+cut), so a chunk is summarised as a map *entry state -> (exit state, residue)*.  The residue is the
 chunk's code in the reduced alphabet of ``grammars``: all balanced bracket groups inside the chunk have been decided by their
 local grammar and are one character each, so only unmatched brackets and the open levels around them are left.  Two
 neighbours combine by following the state and by reducing the joined residues again; this is associative, so chunks of one
@@ -34,7 +35,7 @@ def _tokens(*parts: str) -> re.Pattern:
 
 
 # What is taken out of the code before words are looked at, by language; the order of alternatives is the lexer's order.
-_REGEX_JS = r"(?:(?<=[=(,:!&|?;{}\[\n])|(?<=return)|(?<==>)) ?/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
+_REGEX_JS = r"(?:(?<=[=(,:!&|?\[])\s*+|(?:(?<=[;{}\n])|(?<=return)|(?<==>)) ?)/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`'\"]|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|\{[^{}]*\})*\})*`"
 SCAN = {
     ".java": _tokens(_LINE, _BLOCK, r'"""[\s\S]*?(?:"""|\Z)', _DQ, r"'(?:[^'\\\n]|\\u*[0-9a-fA-F]+|\\.)'", _CONFLICT, r"[\"'`#\\]"),
@@ -52,12 +53,12 @@ SCAN[".ts"], SCAN[".h"] = SCAN[".js"], SCAN[".cpp"]
 #: Where a chunk entered in this state goes back to code.
 RESUME = {
     COMMENT: re.compile(r"\*/"),
-    "java:string": re.compile(r'"""'), "cs:string": re.compile(r'"(?!")'), "cs:triple": re.compile(r'"""'), "js:string": re.compile(r"\A(?:[^`\\]|\\[\s\S])*?`"), "go:string": re.compile("`"),
+    "java:string": re.compile(r'"""'), "cs:string": re.compile(r'\A(?:[^"]|"")*+"'), "cs:triple": re.compile(r'"""'), "js:string": re.compile(r"\A(?:[^`\\]|\\[\s\S])*?`"), "go:string": re.compile("`"),
     "php:string": re.compile(r'\A(?:[^"\\]|\\[\s\S])*?"'), "php:triple": re.compile(r"\A(?:[^'\\]|\\[\s\S])*?'"), "php:outside": re.compile(r"<\?(?:php\b|=)"), "py:string": re.compile(r'\A(?:[^"\\]|\\[\s\S])*?"""'), "py:triple": re.compile(r"\A(?:[^'\\]|\\[\s\S])*?'''"),
 }
 STATES = {
     ".java": (CODE, COMMENT, STRING), ".cs": (CODE, COMMENT, STRING, TRIPLE), ".c": (CODE, COMMENT), ".cpp": (CODE, COMMENT), ".h": (CODE, COMMENT), ".js": (CODE, COMMENT, STRING), ".ts": (CODE, COMMENT, STRING),
-    ".go": (CODE, COMMENT, STRING), ".php": (CODE, OUTSIDE, COMMENT, STRING, TRIPLE), ".py": (CODE, STRING, TRIPLE), ".json": (CODE,),
+    ".go": (CODE, COMMENT, STRING), ".php": (CODE, OUTSIDE, COMMENT, STRING, TRIPLE), ".py": (CODE, STRING, TRIPLE), ".json": (CODE,), ".xml": (CODE, COMMENT, STRING, TRIPLE),
 }
 FIRST = {".php": OUTSIDE}
 LANGUAGE = {".ts": "js", ".h": "cpp"}
@@ -172,7 +173,7 @@ class Lexer:
         out = _SPACE.sub("", out)
         out = re.sub(r"  +", " ", out)
         if self.ext in (".c", ".cpp", ".h", ".java", ".cs", ".php", ".go", ".js", ".ts"):
-            out = re.sub(r"\bs(?: s\b)+", "s", out) if self.ext in (".c", ".cpp", ".h") else out
+            out = _STRINGS.sub("s", out) if self.ext in (".c", ".cpp", ".h") else out
         if "0,0," in out:  # tables of numbers
             out = re.sub(r"(?:-?0,){2,}", "0,", out)
         return state, out
@@ -187,25 +188,29 @@ def lexer(ext: str) -> Lexer:
     return _LEXERS[ext]
 
 
-#: Literals that have no lexer state, as they end at a word of their own.
-_LABELLED = {".php": "<<<", ".cpp": 'R"', ".h": 'R"'}
+#: Literals that have no lexer state, as they end at a word of their own or hold others of their kind.
+_LABELLED = {".php": "<<<", ".cpp": 'R"', ".h": 'R"', ".js": "`", ".ts": "`"}
+_SLASH = re.compile(r"\s*/(?![/*])")
+_STRINGS = re.compile(r"\bs(?: s\b)+")
 
 
 def _uncut(ext: str, text: str) -> list[tuple[int, int]]:
-    """(begin, end) of the heredocs or raw strings of text that run over lines."""
+    """(begin, end) of the heredocs, raw strings or nested templates of text that run over lines."""
     mark = _LABELLED.get(ext)
-    if not mark or mark not in text:
+    if not mark or mark not in text or mark == "`" and "${" not in text:
         return []
     first = RESUME["php:outside"].search(text) if ext == ".php" else None
     if ext == ".php" and not first:
         return []
-    return [m.span() for m in SCAN[ext].finditer(text, first.end() if first else 0) if m.group().startswith(mark) and "\n" in m.group()]
+    return [m.span() for m in SCAN[ext].finditer(text, first.end() if first else 0) if m.group().startswith(mark) and "\n" in m.group() and (mark != "`" or m.group().count("`") > 2)]
 
 
 def cut(text: str, size: int = CHUNK_CHARS, ext: str = "") -> list[str]:
-    """Runs of whole lines of about size characters; a longer line is a chunk of its own, and no heredoc or raw string is cut. Joined, they are text."""
+    """Runs of whole lines of about size characters; a longer line is a chunk of its own, and no heredoc, raw string or nested template is cut. Joined, they are text."""
     if len(text) <= size:
         return [text]
+    if ext == ".xml":
+        return _cut_xml(text, size)
     out, pos, spans = [], 0, _uncut(ext, text)
     k = 0
     while pos < len(text):
@@ -217,6 +222,8 @@ def cut(text: str, size: int = CHUNK_CHARS, ext: str = "") -> list[str]:
                 end = text.find("\n", spans[k][1]) + 1 or len(text)
             elif text[max(0, end - 3):end].endswith(("\\\n", "\\\r\n")):  # a continued line is one line
                 end = text.find("\n", end) + 1 or len(text)
+            elif ext in (".js", ".ts") and _SLASH.match(text, end):  # what a slash means depends on what is before it
+                end = text.find("\n", end) + 1 or len(text)
             else:
                 break
         out.append(text[pos:end])
@@ -224,6 +231,18 @@ def cut(text: str, size: int = CHUNK_CHARS, ext: str = "") -> list[str]:
     return out
 
 
+def _cut_xml(text: str, size: int) -> list[str]:
+    """Runs of about size characters that begin at a ``<``: no tag holds another one, and what comments and the like hold is for the entry state."""
+    out, pos = [], 0
+    least = m.end() if "<!DOCTYPE" in text and (m := _XML_DOCTYPE.search(text)) else 0  # its declarations stay with it
+    while pos < len(text):
+        end = text.find("<", max(pos + size, least, pos + 1))
+        end = len(text) if end < 0 else end
+        out.append(text[pos:end])
+        pos = end
+    return out
+
+
 def _marks(code: str) -> tuple[str, str]:
     """(unmatched #endif and #if of a residue, the rest of it)."""
     k = len(code) - len(code.lstrip("\x03\x04"))
@@ -236,8 +255,10 @@ def _cancel(marks: str) -> str:
     return marks
 
 
-def _entered(ext: str, text: str, state: str) -> tuple[str, str]:
-    """(exit state, residue) of a chunk entered in a state."""
+def _entered(ext: str, text: str, state: str, first: bool = True) -> tuple[str, str]:
+    """(exit state, residue) of a chunk entered in a state; first: whether it begins the file."""
+    if ext == ".xml":
+        return xml_residue(text, state, first)
     if state != CODE:
         m = RESUME[state if state == COMMENT else f"{LANGUAGE.get(ext, ext[1:])}:{state}"].search(text)
         if not m:
@@ -261,8 +282,8 @@ def _entered(ext: str, text: str, state: str) -> tuple[str, str]:
 
 
 def summary(ext: str, text: str, states: Iterable[str] | None = None) -> dict[str, tuple[str, str]]:
-    """The lexer-state map of one chunk of a brace language."""
-    return {s: _entered(ext, text, s) for s in (states or STATES[ext])}
+    """The lexer-state map of one chunk; with given states, that of the file's first chunk."""
+    return {s: _entered(ext, text, s, states is not None) for s in (states or STATES[ext])}
 
 
 def combine(ext: str, a: dict[str, tuple[str, str]], b: dict[str, tuple[str, str]]) -> dict[str, tuple[str, str]]:
@@ -275,6 +296,9 @@ def combine(ext: str, a: dict[str, tuple[str, str]], b: dict[str, tuple[str, str
         end, right = b[mid]
         if ext == ".py":
             out[s] = (end, left + right)
+        elif ext == ".xml":
+            total = xml_joined(left, right)
+            out[s] = (ERROR, "") if total is None else (end, total)
         elif ext == ".json":
             total = json_reduce(left + right)
             out[s] = total if total[0] == ERROR else (end, total[1])
@@ -282,7 +306,9 @@ def combine(ext: str, a: dict[str, tuple[str, str]], b: dict[str, tuple[str, str
             (m, left), (n, right) = _marks(left), _marks(right)
             code = left + (" " if left[-1:].isalnum() and right[:1].isalnum() else "") + right
             if ext in (".js", ".ts", ".go"):
-                code = (_GO_JOINT if ext == ".go" else _JS_JOINT).sub("", code)
+                code = (_GO_JOINT if ext == ".go" else _JS_JOINT).sub("", re.sub(r"\n[ \n]*", "\n", code))
+            elif ext in (".c", ".cpp", ".h"):
+                code = _STRINGS.sub("s", code)
             code = grammar(ext).reduce(code)
             out[s] = (ERROR, "") if code is None else (end, _cancel(m + n) + code)
     return out
@@ -295,6 +321,8 @@ def whole(ext: str, total: tuple[str, str]) -> bool:
         return state == CODE and (lines := py_lines(code)) is not None and py_whole(lines)
     if ext == ".json":
         return state == CODE and json_whole(code)
+    if ext == ".xml":
+        return state == CODE and xml_whole(code)
     if state not in (CODE, OUTSIDE) or LEFT.search(code) or "\x03" in code or "\x04" in code:
         return False
     return grammar(ext).sequence("T", code.strip(" "))
@@ -455,52 +483,89 @@ def json_whole(code: str) -> bool:
 
 _XML_NAME = r"[^\W\d][\w.:-]*"
 _XML_ATTRIBUTE = rf"\s+({_XML_NAME})\s*=\s*(?:\"[^<\"]*\"|'[^<']*')"
-_XML_TOKEN = re.compile(rf"<!--(?:(?!--)[\s\S])*-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\]\s*)?>|<(/?)({_XML_NAME})((?:{_XML_ATTRIBUTE.replace('(' + _XML_NAME + ')', _XML_NAME)})*)\s*(/?)>|[<]|[^<]+")
+_XML_TOKEN = re.compile(
+    rf"<!--(?:[^-]|-(?!-))*(?:-->|\Z)|<!\[CDATA\[[\s\S]*?(?:\]\]>|\Z)|<\?[\s\S]*?(?:\?>|\Z)|<!DOCTYPE[^>\[]*(?:\[[^\]]*\]\s*)?>|<(/?)({_XML_NAME})((?:{_XML_ATTRIBUTE.replace('(' + _XML_NAME + ')', _XML_NAME)})*)\s*(/?)>|[<]|[^<]+")
+_XML_DOCTYPE = re.compile(r"<!DOCTYPE[^>\[]*(?:\[[^\]]*\]\s*)?>")
+_XML_RESUME = {COMMENT: re.compile(r"(?:[^-]|-(?!-))*(?:-->|\Z)"), STRING: re.compile(r"[\s\S]*?(?:\]\]>|\Z)"), TRIPLE: re.compile(r"[\s\S]*?(?:\?>|\Z)")}
+_XML_ENDS = {COMMENT: "-->", STRING: "]]>", TRIPLE: "?>"}
 _XML_AMP = re.compile(r"&(?!(?:#\d+|#x[0-9a-fA-F]+|[^\W\d][\w.-]*);)")
 
 
-def xml_residue(text: str) -> tuple[bool, list[str], list[str], bool, bool]:
-    """(possible, unmatched ends, unmatched starts, text outside them, has an element): the bracket summary with element names as brackets."""
+def xml_residue(text: str, state: str = CODE, first: bool = True) -> tuple[str, str]:
+    """(exit state, residue) of a run of tags and texts, with element names as brackets: the names of unmatched ends and starts, and between
+    them the number of elements (2 stands for more) and whether there is text, which only counts if that level turns out to be the outermost."""
     ends: list[str] = []
     starts: list[str] = []
-    roots, loose = 0, False
-    for m in _XML_TOKEN.finditer(text):
+    elements, loose, pos = 0, False, 0
+    if state != CODE:
+        m = _XML_RESUME[state].match(text)
+        if not m:
+            return ERROR, ""
+        if not m.group().endswith(_XML_ENDS[state]):
+            return state, xml_packed([], 0, False, [])
+        pos, state, loose = m.end(), CODE, state == STRING
+    for m in _XML_TOKEN.finditer(text, pos):
         g = m.group()
         name = m[2]
         if name:
             attributes = m[3]
             if attributes and (_XML_AMP.search(attributes) or len(found := re.findall(_XML_ATTRIBUTE, attributes)) != len(set(found))):
-                return False, [], [], False, False
+                return ERROR, ""
             if m[1]:
                 if attributes or m[4]:
-                    return False, [], [], False, False
+                    return ERROR, ""
                 if starts:
                     if starts.pop() != name:
-                        return False, [], [], False, False
+                        return ERROR, ""
+                    elements += not starts
                 else:
                     ends.append(name)
-                roots += not starts
+                    elements, loose = 0, False
             elif m[4]:
-                roots += not starts
+                elements += not starts
             else:
                 starts.append(name)
         elif g[0] != "<":
             if _XML_AMP.search(g) or "]]>" in g:
-                return False, [], [], False, False
-            if not starts and g.strip().strip("\ufeff"):
-                loose = True
-        elif len(g) == 1 or g.startswith("<?xml ") and m.start() and text[: m.start()].strip("\ufeff"):
-            return False, [], [], False, False
-    return True, ends, starts, loose, roots == 1 and not ends
+                return ERROR, ""
+            loose |= not starts and bool(g.strip().strip("\ufeff"))
+        elif len(g) == 1 or re.match(r"<\?xml\s", g) and not (first and not text[: m.start()].strip("\ufeff")):
+            return ERROR, ""
+        else:
+            kind = COMMENT if g.startswith("<!--") else STRING if g.startswith("<![") else TRIPLE if g.startswith("<?") else ""
+            loose |= kind == STRING and not starts
+            if kind and (not g.endswith(_XML_ENDS[kind]) or len(g) < {COMMENT: 7, STRING: 12, TRIPLE: 4}[kind]):
+                state = kind
+    return state, xml_packed(ends, elements, loose, starts)
 
 
-def parses(ext: str, text: str, chunk: int = CHUNK_CHARS) -> bool:
-    """Whether text as a whole parses in the language of ext, by chunk maps reduced pairwise."""
-    if ext == ".xml":
-        # element names are the brackets; a file of this kind is one document, reduced in one sweep of its tags
-        ok, ends, starts, loose, root = xml_residue(text)
-        return ok and not ends and not starts and not loose and root
-    parts = cut(text, chunk, ext)
+def xml_packed(ends: list[str], elements: int, loose: bool, starts: list[str]) -> str:
+    return "\n".join((" ".join(ends), f"{min(2, elements)}{'t' if loose else ''}", " ".join(starts)))
+
+
+def xml_joined(a: str, b: str) -> str | None:
+    """The residue of two neighbours; None: an element ends that did not begin."""
+    (ends, level, starts), (more_ends, more_level, more_starts) = ([x.split(" ") if x and k != 1 else x for k, x in enumerate(r.split("\n"))] for r in (a, b))
+    ends, starts, more_ends, more_starts = (x or [] for x in (ends, starts, more_ends, more_starts))
+    closed = min(len(starts), len(more_ends))
+    if starts[len(starts) - closed:][::-1] != more_ends[:closed]:
+        return None
+    elements, loose = int(level[0]), "t" in level
+    if len(more_ends) > closed:  # what stood between is inside an element that ends here
+        ends, elements, loose = ends + more_ends[closed:], int(more_level[0]), "t" in more_level
+    elif closed == len(starts):
+        elements, loose = elements + (closed > 0) + int(more_level[0]), loose or "t" in more_level
+    return xml_packed(ends, elements, loose, starts[: len(starts) - closed] + more_starts)
+
+
+def xml_whole(code: str) -> bool:
+    """One element, nothing but white space and comments around it."""
+    return code == "\n1\n"
+
+
+def parses(ext: str, text: str, chunk: int | None = CHUNK_CHARS) -> bool:
+    """Whether text as a whole parses in the language of ext, by chunk maps reduced pairwise; in one piece where chunk is None."""
+    parts = cut(text, chunk or len(text), ext)
     start = FIRST.get(ext, CODE)
     if len(parts) == 1:
         return whole(ext, _entered(ext, text, start))

@@ -6,8 +6,10 @@ Four kinds of evidence, each decided per file where the file is read:
   (code that merely talks about generated or third-party things does not match the sentence rule);
 * path and name: vendored and generated directories, lockfiles, suffixes of generated and minified files;
 * the shape of the text: minified or bundled scripts, bulk data, numbered families of machine-written members;
-* the wording of known outside libraries: the catalogue's five-word shingles, hashed.  A catalogue of up to ``MAX_LIBRARIES`` files and
-  ``MAX_SHINGLES`` shingles is sent to the workers; for a larger one the files' shingles are joined with it by hash instead.
+* the wording of known outside libraries: the catalogue's five-word shingles, hashed.  A bitmap of them (of fixed size, so it only lets
+  more through as the catalogue grows) sifts the shingles of the files that nothing else gives away; what is left is joined with the
+  catalogue by shingle, under a salt, as a third of all files may be copies of one library.  A file that shares at least ``SIMILARITY``
+  of the smaller of the two shingle sets with any library is a copy.  Nothing of the catalogue but its bitmap reaches the driver.
 
 Null code, path or name is no evidence.  Rows delivered twice count once; an empty table gives an empty result.
 """
@@ -55,7 +57,9 @@ _COPYRIGHT = re.compile(r"(?:copyright\s*)?(?:\(c\)|©)\s*(?:\d{4}(?:\s*[-,]\s*\
 _COMMENT_LINE = re.compile(r"^\s*(?:$|//|#(?!include|define|if|pragma)|/\*|\*|--|;|<!--|<\?|\"\"\"|'''|[\[{]?\s*$|\"_?(?:note|comment|generated|about|warning|readme)\w*\"\s*:)", re.I)
 _IN_COMMENT = re.compile(r"^\s*(?://+|#+!?|/\*+|\*+/?|--|;+|<!--|\"\"\"|''')?\s*")
 HEADER_LINES_OF_CODE = 3
-SHINGLE, SIMILARITY, MAX_SHINGLES, MAX_LIBRARIES = 5, 0.5, 500_000, 2_000
+SHINGLE, SIMILARITY = 5, 0.5
+#: Bits of the bitmap of the catalogue's shingles, and parts a hot shingle is split into.
+SHINGLE_BITS, SALTS = 1 << 24, 16
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -184,79 +188,71 @@ def _family(code: str) -> bool:
     return best >= 5
 
 
-_WORD = re.compile(r"[^\W_]+|[^\w\s]")
+_COMMENTS = re.compile(r"/\*[\s\S]*?\*/|(?://|#)[^\n]*")
+_WORDS = re.compile(r"\w+")
 
 
-def shingles(code: str, ext: str = "") -> set[int]:
-    """Hashes of five tokens in a row, without comments and without the text of strings."""
-    words = re.findall(r"\w+", re.sub(r"/\*[\s\S]*?\*/|(?://|#)[^\n]*", " ", code))
-    return {zlib.crc32(" ".join(words[k:k + SHINGLE]).encode()) for k in range(len(words) - SHINGLE + 1)}
+def shingles(code: str) -> set[int]:
+    """Hashes of five words in a row, without comments."""
+    words = _WORDS.findall(_COMMENTS.sub(" ", code))
+    return {zlib.crc32(" ".join(words[k:k + SHINGLE]).encode("utf-8", "surrogatepass")) for k in range(len(words) - SHINGLE + 1)}
 
 
-def _kernel(known: dict[int, int], sizes: dict[int, int]):
+def _bitmap(libraries: DataFrame) -> bytes:
+    """The catalogue's shingles as bits; its size is fixed, whatever the size of the catalogue."""
+    bit = F.pmod("h", F.lit(SHINGLE_BITS)).cast("int")
+    parts = libraries.select(bit.alias("bit")).groupBy((F.col("bit") / (1 << 15)).cast("int").alias("part")).agg(F.collect_set("bit").alias("bits"))
+    out = bytearray(SHINGLE_BITS >> 3)
+    for row in parts.toLocalIterator():
+        for k in row.bits:
+            out[k >> 3] |= 1 << (k & 7)
+    return bytes(out)
+
+
+def _kernel(bitmap, smallest: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton()
+        found, bits = automaton(), bitmap.value
         for b in it:
-            out: list[tuple[int, str]] = []
+            rows: list[tuple] = []
             for i, repo, path, name, code, ext in zip(*(b.column(k).to_pylist() for k in range(6))):
                 kind = by_path(path, name)
                 if not kind and code and code.strip():
                     kind = notice(code, repo, found) or shape(code, ext)
-                    if not kind and known:
+                    if not kind and smallest:
                         own = shingles(code)
-                        hits: dict[int, int] = {}
-                        for h in own & known.keys():
-                            hits[known[h]] = hits.get(known[h], 0) + 1
-                        if any(n >= SIMILARITY * min(len(own), sizes[lib]) for lib, n in hits.items()):
-                            kind = "library"
+                        hits = [h for h in own if bits[(h % SHINGLE_BITS) >> 3] >> (h & 7) & 1]
+                        if hits and len(hits) >= SIMILARITY * min(len(own), smallest):
+                            rows += [(i, None, len(own), h) for h in hits]
                 if kind:
-                    out.append((i, kind))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.string())], names=["file_id", "kind"])
+                    rows.append((i, kind, None, None))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64()))], names=["file_id", "kind", "n_own", "h"])
 
     return run
 
 
-def _exploded(key: str):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for i, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = sorted(shingles(code))
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array([len(own)] * len(own), pa.int32()), pa.array(own, pa.int64())], names=[key, f"{key}_n", "h"])
-
-    return run
-
+def _exploded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for i, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            own = sorted(shingles(code))
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(own), pa.int64()), pa.array([len(own)] * len(own), pa.int32()), pa.array(own, pa.int64())], names=["lib_id", "n_lib", "h"])
 
-def library_copies(files: DataFrame, libraries: DataFrame) -> DataFrame:
-    """(file_id, kind) of files that share at least SIMILARITY of the smaller shingle set with a library, by a join on shingles.
 
-    Shingles of several libraries decide nothing and are left out, so each shingle has one row on the side of the catalogue.
-    """
-    lib = libraries.select(F.col("lib_id").cast("long"), "source_code").where(F.col("source_code").isNotNull() & F.col("lib_id").isNotNull()).mapInArrow(_exploded("lib_id"), "lib_id long, lib_id_n int, h long")
-    lib = lib.groupBy("h").agg(F.count("*").alias("libs"), F.first("lib_id").alias("lib_id"), F.first("lib_id_n").alias("lib_id_n")).where("libs = 1").drop("libs")
-    own = files.select("file_id", "source_code").where(F.col("source_code").isNotNull() & F.col("file_id").isNotNull()).mapInArrow(_exploded("file_id"), "file_id long, file_id_n int, h long").distinct()
-    hits = own.join(lib, "h").groupBy("file_id", "lib_id").agg(F.count("*").alias("n"), F.first("file_id_n").alias("a"), F.first("lib_id_n").alias("b"))
-    return hits.where(F.col("n") >= F.least("a", "b") * SIMILARITY).select("file_id", F.lit("library").alias("kind")).distinct()
+def library_copies(hits: DataFrame, libraries: DataFrame) -> DataFrame:
+    """(file_id, kind) of the files of hits (file_id, n_own, h) that share at least SIMILARITY of the smaller shingle set with a library (lib_id, n_lib, h)."""
+    own = hits.distinct().withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)))
+    lib = libraries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    shared = own.join(lib, ["h", "salt"]).groupBy("file_id", "lib_id").agg(F.count("*").alias("n"), F.max("n_own").alias("n_own"), F.max("n_lib").alias("n_lib"))
+    return shared.where(F.col("n") >= F.least("n_own", "n_lib") * SIMILARITY).select("file_id", F.lit("library").alias("kind")).distinct()
 
 
-def not_first_party(files: DataFrame, libraries: DataFrame, max_libraries: int = MAX_LIBRARIES) -> DataFrame:
+def not_first_party(files: DataFrame, libraries: DataFrame) -> DataFrame:
     """(file_id, kind) of files that are generated, minified, vendored or bulk data; one row per file, the first kind of evidence."""
-    rows = files.select("file_id", "repo", "path", "name", "source_code", common.extension().alias("ext")).where(F.col("file_id").isNotNull())
-    catalogue = libraries.select("lib_id", "source_code").where(F.col("source_code").isNotNull() & F.col("lib_id").isNotNull()).limit(max_libraries + 1).collect()
-    by_join = len(catalogue) > max_libraries or sum(len(r.source_code) for r in catalogue) > 8 * MAX_SHINGLES
-    catalogue = [] if by_join else catalogue
-    known: dict[int, int] = {}
-    sizes: dict[int, int] = {}
-    common_words: set[int] = set()
-    for r in catalogue:
-        own = shingles(r.source_code)
-        sizes[r.lib_id] = max(1, len(own))
-        for h in own:
-            if known.setdefault(h, r.lib_id) != r.lib_id:
-                common_words.add(h)
-    for h in common_words:
-        sizes[known[h]] = max(1, sizes[known[h]] - 1)
-        del known[h]
-    found = common.spread(rows).mapInArrow(_kernel(known, sizes), "file_id long, kind string")
-    if by_join:
-        found = found.unionByName(library_copies(files, libraries))
-    return found.groupBy("file_id").agg(F.min("kind").alias("kind"))
+    rows = files.where(F.col("file_id").isNotNull()).select(F.col("file_id").cast("long").alias("file_id"), "repo", "path", "name", "source_code", common.extension().alias("ext"))
+    lib = libraries.select(F.col("lib_id").cast("long"), "source_code").where(F.col("source_code").isNotNull() & F.col("lib_id").isNotNull())
+    lib = common.kept(lib.mapInArrow(_exploded, "lib_id long, n_lib int, h long").dropDuplicates(["lib_id", "h"]))
+    smallest = lib.agg(F.min("n_lib")).first()[0] or 0
+    shared = files.sparkSession.sparkContext.broadcast(_bitmap(lib))
+    found = common.kept(common.spread(rows).mapInArrow(_kernel(shared, smallest), "file_id long, kind string, n_own int, h long"))
+    copies = library_copies(found.where("h is not null").select("file_id", "n_own", "h"), lib)
+    return found.where("kind is not null").select("file_id", "kind").unionByName(copies).groupBy("file_id").agg(F.min("kind").alias("kind"))

@@ -26,7 +26,7 @@ EXTENSIONS = (".py", ".js", ".ts", ".java", ".go", ".php", ".c", ".h", ".cpp", "
 def _whole_files(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         ids, exts, codes = (b.column(k) for k in range(3))
-        bad = [i.as_py() for i, e, c in zip(ids, exts, codes) if not lexmap.parses(e.as_py(), c.as_py())]
+        bad = [i.as_py() for i, e, c in zip(ids, exts, codes) if not lexmap.parses(e.as_py(), c.as_py(), None)]
         yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["file_id"])
 
 
@@ -34,7 +34,7 @@ def _chunks(chunk: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, exts, codes = (b.column(k).to_pylist() for k in range(3))
-            rows = [(i, e, k, part) for i, e, c in zip(ids, exts, codes) for k, part in enumerate([c] if e == ".xml" else lexmap.cut(c, chunk, e))]
+            rows = [(i, e, k, part) for i, e, c in zip(ids, exts, codes) for k, part in enumerate(lexmap.cut(c, chunk, e))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), (), ()), (pa.int64(), pa.string(), pa.int32(), pa.string()))], names=["file_id", "ext", "k", "part"])
 
     return run
@@ -43,20 +43,13 @@ def _chunks(chunk: int):
 def _maps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         ids, exts, ks, parts = (b.column(n).to_pylist() for n in ("file_id", "ext", "k", "part"))
-        out = []
-        for e, k, part in zip(exts, ks, parts):
-            if e == ".xml":
-                out.append("" if lexmap.parses(e, part) else "!")
-            else:
-                out.append(json.dumps(lexmap.summary(e, part, [lexmap.FIRST.get(e, lexmap.CODE)] if k == 0 else None)))
+        out = [json.dumps(lexmap.summary(e, part, [lexmap.FIRST.get(e, lexmap.CODE)] if k == 0 else None)) for e, k, part in zip(exts, ks, parts)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(exts, pa.string()), pa.array(ks, pa.int32()), pa.array(out, pa.string())], names=["file_id", "ext", "k", "map"])
 
 
 def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     ext = pdf.ext.iloc[0]
     maps = pdf.sort_values("k").drop_duplicates("k")["map"].tolist()
-    if ext == ".xml":
-        return pd.DataFrame({"file_id": [key[0]] if maps[0] == "!" else []}, dtype="int64")
     maps = [{s: tuple(v) for s, v in json.loads(m).items()} for m in maps]
     while len(maps) > 1:
         maps = [lexmap.combine(ext, *maps[n:n + 2]) if n + 1 < len(maps) else maps[n] for n in range(0, len(maps), 2)]

@@ -46,6 +46,17 @@ def test_table(spark):
     df = spark.createDataFrame(rows, FILES)
     libs = spark.createDataFrame([(1, lib), (2, None), (None, "x")], "lib_id int, source_code string")
     assert {(r.file_id, r.kind) for r in P.not_first_party(df, libs).collect()} == {(1, "library"), (4, "vendored")}
-    assert {(r.file_id, r.kind) for r in P.not_first_party(df, libs, max_libraries=0).collect()} == {(1, "library"), (4, "vendored")}
     assert {r.file_id for r in P.not_first_party(df, libs.limit(0)).collect()} == {4}
     assert P.not_first_party(df.limit(0), libs).count() == 0
+
+
+def test_related_libraries_and_many_copies(spark):
+    lib = ["".join(f"def part_{c}(a, b):\n    x = a.{c}one(b)\n    for i in x:\n        yield i.{c}two\n\n" for c in letters) for letters in ("abcdefgh", "abcdefgi", "klmnopqr")]
+    # an exact copy of each library, two of them alike, and a third of all rows copies of one
+    rows = [(k, "r", f"/a/b{k}.py", None, lib[k], ".py") for k in range(3)] + [(10 + k, "r", f"/a/c{k}.py", None, lib[1], ".py") for k in range(40)] + [(100 + k, "r", f"/a/d{k}.py", None, f"def own_{k}(a):\n    return a\n", ".py") for k in range(80)]
+    df = spark.createDataFrame(rows, "file_id long, repo string, path string, name string, source_code string, extension string")
+    libs = spark.createDataFrame(list(enumerate(lib)), "lib_id int, source_code string")
+    want = {(k, "library") for k in (0, 1, 2, *range(10, 50))}
+    assert {(r.file_id, r.kind) for r in P.not_first_party(df, libs).collect()} == want
+    more = libs.unionByName(spark.createDataFrame([(10 + k, "".join(f"int f{k}_{j}(int a) {{ return b{j} + c{k}; }}\n" for j in range(9))) for k in range(300)], "lib_id int, source_code string"))
+    assert {(r.file_id, r.kind) for r in P.not_first_party(df, more).collect()} == want

@@ -44,7 +44,36 @@ def test_broken_ones_do_not(ext):
         assert not lexmap.parses(ext, code), code
 
 
-@pytest.mark.parametrize("ext", [e for e in GOOD if e != ".xml"])
+JOINTS = {
+    ".js": ["const a = `x ${b ? `\n  y ${c}\n` : d}\n ' z`;\nf(a);\n", "f(\n  /[/(]\\/`/.test(a),\n  b\n);\n/\"(/.exec(c);\n", "a = b\n  + c\n/* ` */\n  .d(`e\n ${f}\n`)\n"],
+    ".ts": ["const a: string = `x ${g(`\n  ${h}`)}\n'`;\nf(a);\n"],
+    ".c": ['const char *a =\n  "x"\n  "y"\n  "z";\nint b(void) { return c("d"\n  "e"\n  "f"); }\n'],
+    ".cpp": ['auto a = f("x"\n  "y"\n  "z", 1);\nint b = 2;\n'],
+    ".xml": ["<?xml version='1.0'?>\n<!DOCTYPE a [\n<!ENTITY b 'c'>\n]>\n<!-- <a\n <b> -->\n<a\n x='1'\n y='>'>\n <b><c/>\n</b><![CDATA[ <d\n <e> & ]]>\n<?f <g\n ?>\n</a>\n<!-- h -->\n", "<a>\n<b>\n</b>\n<b/>\n<b>t\n</b></a>"],
+    ".cs": ['class A {\n string a = @"x\n ""y\n";\n string b = """\n z "\n """;\n}\n'],
+    ".go": ["package a\n\nvar b = `x\n y(`\n\nfunc f() {\n\tg(1,\n\t\t2)\n}\n"],
+    ".py": ["a = '''x\n (\n'''\nb = (1 +\n  2)\nc = 1 + \\\n  2\nif a:\n  b = \"\"\"\n'''\n\"\"\"\nelse:\n  pass\n"],
+    ".php": ["<p>\n<?php\n$a = 'x\n y';\n$b = \"z\n'w\";\n?>\n<b>'\n<?php f($a);\n"],
+    ".java": ['class A {\n /* { */\n String a = """\n x "\n """;\n}\n'],
+    ".json": ["{\n\"a\": [\n1,\n{\"b\": null}\n],\n\"c\": -1.5e3\n}\n"],
+}
+
+
+@pytest.mark.parametrize("ext", JOINTS)
+def test_joints_anywhere_change_nothing(ext):
+    for code in JOINTS[ext]:
+        assert lexmap.parses(ext, code, None), code
+        for size in range(1, 60):
+            assert "".join(lexmap.cut(code, size, ext)) == code
+            assert lexmap.parses(ext, code, size), (size, code)
+        for at in range(1, len(code), 3):  # damaged files are damaged in pieces as well
+            broken = code[:at] + code[at + 1:]
+            want = lexmap.parses(ext, broken, None)
+            for size in (1, 9, 30):
+                assert lexmap.parses(ext, broken, size) == want, (size, broken)
+
+
+@pytest.mark.parametrize("ext", GOOD)
 def test_chunks_change_nothing(ext):
     r = random.Random(1)
     bodies = [c.rstrip("\n") + "\n" for c in GOOD[ext] if c.strip()]
