@@ -149,7 +149,8 @@ def shape(code: str, ext: str) -> str:
             if len(bare) > 0.5 * n and len(bare) / (bare.count("\n") + 1) > 90 and sum(map(bare.count, (" ", "\n", "\t"))) < 0.12 * len(bare):
                 return "minified"
     digits = len(code) - len(code.translate(_NO_DIGITS))
-    blobs = sum(len(m) for m in _BLOB.findall(_KEY.sub("", code))) if "=" in code or digits > 0.05 * n else 0
+    # a run of few different characters is a ruler or a filler, no data
+    blobs = sum(len(m) for m in _BLOB.findall(_KEY.sub("", code)) if len(set(m)) > 8) if "=" in code or digits > 0.05 * n else 0
     if blobs > 0.55 * n and n > 600:
         return "bulk data"
     if digits > 0.25 * n or code.count('"') + code.count("'") > 0.06 * n:
@@ -160,11 +161,31 @@ def shape(code: str, ext: str) -> str:
             random_text = sum(len(x) for x in texts if len(x) >= 16 and " " not in x and any(c.isdigit() for c in x))
             if digits > 0.25 * n or random_text > 0.4 * n:
                 return "bulk data"
+    if digits > 0.1 * n and _table(code):
+        return "bulk data"
     if _family(code):
         return "machine form"
     return ""
 
 
+_DUMP = re.compile(r"[0-9A-Fa-f]{4,16}:?[ \t]+(?:[0-9A-Fa-f]{2,8}[ \t]+){4,}.*")
+_CODE_SIGNS = re.compile(r"[(){}=]|//|\bif\b")
+
+
+def _table(code: str) -> bool:
+    """Whether nearly all lines are lines of a hex dump, or rows of as many cells and no signs of code."""
+    lines = [x for x in map(str.strip, code.split("\n")) if x]
+    if len(lines) < 6:
+        return False
+    if sum(bool(_DUMP.fullmatch(x)) for x in lines) > 0.9 * len(lines):
+        return True
+    for sep in ";,\t|":
+        cells = lines[0].count(sep)
+        if cells >= 2 and sum(x.count(sep) == cells and not _CODE_SIGNS.search(x) for x in lines) > 0.9 * len(lines):
+            return True
+    return False
+
+
 _NO_DIGITS = str.maketrans("", "", "0123456789")
 _MEMBER = re.compile(r"^[ \t]*(?:(?:public|private|static|export|const|function|def|func|int|String|string|auto|final|unsigned|char|short|case|exports\.|inline|std::string|self\.|var|#define)\b[ \t.]*)*(?:\(\w+ \*\w+\) )?([A-Za-z_][A-Za-z]*(?:_[A-Za-z]+)*?)_?(\d+)\b[ \t]*(?:[(=:]|\[|0x)", re.M)
 _NUMBERED = re.compile(r"[A-Za-z_](\d{1,3})(?=\(|\[| = 0x| 0x| = function)")

@@ -32,6 +32,11 @@ def test_shapes():
     assert P.shape("".join(f"def get_row_{k}(m):\n    return m.v_{k}\n" for k in range(9)), ".py") == "machine form"
     assert P.shape("".join(f"def work(a):\n    text_{k} = 'x'\n    row_{k + 1} = pool.get(a, {k})\n    return a\n\n" for k in range(9)), ".py") == ""
     assert P.shape('help = "' + "word and more, " * 60 + '"\n', ".js") == ""
+    padded = "def f(a):\n    return a\n\n" + ("# " + "x" * 70 + "\n# " + "-" * 68 + "\n") * 30 + "y = f(1)\n"
+    assert P.shape(padded, ".py") == ""
+    assert P.shape('blob = "' + "aGVsbG8gd29ybGQ0ZW5jb2RlZA9XyZ7+/Q" * 60 + '"\n', ".py") == "bulk data"
+    assert P.shape("station;day;low;high\n" + "abc;2025-10-20 02:00;-7.9;29.6\n" * 9, ".py") == P.shape("00000000: 19 da 2b 77 98 f5 5a 10 |\r\n" * 12, ".js") == "bulk data"
+    assert P.shape("".join(f"set {k}, {k + 1}, f({k})\nput 12345, 67890, g({k})\n" for k in range(9)), ".py") == ""
     assert P.shape("", ".py") == P.shape("{}", ".json") == ""
     assert P.shape('{\n' + ",\n".join(f'  "a_{k}": "stale-row"' for k in range(40)) + "\n}", ".json") == ""
 
