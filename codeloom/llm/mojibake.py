@@ -3,8 +3,10 @@
 A text is a node; *encode with one codec, decode with another* and *unescape* are edges.  A best-first search walks from the text
 as it is to the cheapest text it can reach, guided by how implausible the characters are in their places (a symbol inside a word, a
 capital after a small letter, scripts mixed in a word, rare ideographs, Cyrillic letters in the wrong proportions, control
-characters).  Texts once seen are not entered again.  If the cheapest text is clearly more plausible, the way to it is the damage and
-the text itself the restored original; a text with replacement characters is damaged, and lost.
+characters) and by how unusual the pair of codecs is: UTF-8 read as a code page of one byte a character is common, a code page read as its
+neighbour happens, anything else is rare, and rarer as a second step.  Texts once seen are not entered again.  If the cheapest text is clearly more plausible, the way to it is the damage and
+the text itself the restored original; a text with replacement characters is damaged, and lost, and so is one with two equally plausible
+readings.
 
 Only lines that hold a character beyond ASCII (or an escaped one) are looked at, by segments: the run from the first to the last such
 character of the line, and each of its words.  The same segments recur without end, so each is searched once per worker.
@@ -26,13 +28,24 @@ from pyspark.sql import functions as F
 from . import common
 
 MEMO_LIMIT = 100_000
-MAX_STEPS, MAX_NODES, MAX_SEGMENT = 3, 60, 400
+#: Bounds of one search that no damage comes near; longer texts are searched by windows of MAX_SEGMENT first.
+MAX_STEPS, MAX_NODES, MAX_SEGMENT = 8, 250, 400
 #: A reachable text must cost at most this share of the text as it is, and less by so much.
 SHARE, MARGIN, STEP_COST = 0.62, 2.6, 0.6
+#: The same where the way is UTF-8 out of a code page of single bytes, which no correct text is by chance.
+UTF8_SHARE, UTF8_MARGIN = 0.8, 0.75
+#: Readings whose costs are this close leave the original open.
+RIVAL = 0.02
+#: Codecs that are a little less likely than others of their kind.
+UNLIKELIER = {"euc_jp": 0.05, "cp932": 0.05, "big5": 0.1, "euc_kr": 0.15, "cp1250": 0.05, "iso8859-2": 0.1, "iso8859-5": 0.1, "mac-roman": 0.1, "cp437": 0.1, "cp850": 0.15, "cp866": 0.05}
 
 # Codecs that text is confused between.
 READ_AS = ("cp1252", "cp1250", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "gb18030", "cp932", "latin-1", "iso8859-2", "iso8859-15", "cp1254")
 MEANT = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "gb18030", "euc_jp", "cp932", "euc_kr", "big5", "cp437", "mac-roman", "iso8859-2", "iso8859-5", "cp850", "cp866")
+_WIDE = frozenset(("gb18030", "euc_jp", "cp932", "euc_kr", "big5"))
+_CYRILLIC_PAGES, _LATIN_PAGES = frozenset(("cp1251", "koi8-r", "cp866", "iso8859-5")), frozenset(("cp1252", "latin-1", "iso8859-15", "cp1254", "mac-roman", "cp437", "cp850", "cp1250", "iso8859-2"))
+#: What a step costs besides: common, likely and rare pairs of codecs.
+COMMON, LIKELY, RARE, RARE_LATER = 0.0, 0.5, 3.5, 3.0
 _LETTERS = frozenset("àâäáãåąæāçćčďđéèêëęěíîïìłñńňóôöòõőøœřšśßşțťúûüùůűýÿžźżğı")
 _WORD_SIGNS = frozenset("’'·")
 _RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10.97, 8.45, 8.01, 7.35, 6.70, 6.26, 5.47, 4.73, 4.54, 4.40, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.90, 1.74, 1.70, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.32, 0.26, 0.04, 0.04)))
@@ -87,6 +100,18 @@ def _ideograph(c: str) -> float:
     return _COMMON[c]
 
 
+def _kanji(c: str) -> float:
+    """The same in a text with kana: cheap for the everyday ideographs of Japanese."""
+    key = "k" + c
+    if key not in _COMMON:
+        try:
+            b = c.encode("euc_jp")
+            _COMMON[key] = 1.2 if len(b) == 2 and b[0] <= 0xCF else 2.2 if len(b) == 2 else 3.0
+        except UnicodeEncodeError:
+            _COMMON[key] = 3.4
+    return _COMMON[key]
+
+
 def _kind(c: str) -> str:
     o = ord(c)
     if o < 0x80:
@@ -130,6 +155,7 @@ def cost(s: str) -> float:
     kinds = [" ", *map(_kind, s), " "]
     chars = " " + s + " "
     total = 0.0
+    ideograph = _kanji if "k" in kinds else _ideograph
     for k in range(1, len(kinds) - 1):
         kind = kinds[k]
         if kind in "ad_ ":
@@ -162,7 +188,7 @@ def cost(s: str) -> float:
             if p in "al" and n in "al" or p in "al" and before.islower() or n in "al" and (p in "al" or chars[k + 1].islower() and c.islower()):
                 total += 4
         elif kind == "h":
-            total += _ideograph(c)
+            total += ideograph(c)
             if p == "a" and n == "a" or (p == "a" and n == "h" and kinds[min(k + 2, len(kinds) - 1)] == "a" and chars[k + 2].islower() and before.islower()):
                 total += 4
             elif (p == "a" and n not in "hk" or n == "a" and p not in "hk"):
@@ -195,35 +221,48 @@ def cost(s: str) -> float:
 
 
 _EVERY = {chr(b) for b in range(128)}
-_SEEN: dict[str, tuple[str, bool] | None] = {}
+_SEEN: dict[str, tuple[str, bool, bool] | None] = {}
 
 
 def _plain(s: str) -> str:
     return re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|%([0-9A-F]{2})", lambda m: chr(int(m[1] or m[2] or m[3], 16)), s)
 
 
-def _next(s: str) -> Iterator[str]:
+def _prior(read: str, meant: str) -> float:
+    if meant == "utf-8":
+        return COMMON if read in ("cp1252", "latin-1") else 0.2 if read in ("cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "mac-roman") else 0.4 if read not in _WIDE else LIKELY
+    if read in _LATIN_PAGES and (meant in _CYRILLIC_PAGES or meant in _WIDE or meant in _LATIN_PAGES) or read in _CYRILLIC_PAGES and meant in _CYRILLIC_PAGES or read in _WIDE and meant in _WIDE:
+        return UNLIKELIER.get(meant, 0.0) + (LIKELY if meant not in _WIDE or read in _WIDE else 0.8 if read in ("cp1252", "latin-1") else RARE)
+    return RARE
+
+
+#: The steps of the search, the common ones first: what is reached in several ways counts as reached in the first.
+STEPS = sorted(((_prior(a, b), a, b) for a in READ_AS for b in MEANT if a != b), key=lambda x: x[0])
+
+
+def _next(s: str) -> Iterator[tuple[str, float, int]]:
+    """(text, prior cost, kind of step: 2 UTF-8 out of a page of single bytes or an escape, 1 UTF-8 out of another, 0 any other) one step away."""
     if _ESCAPED.search(s):
-        yield html.unescape(s)
-        yield _plain(s)
-    done: set[bytes] = set()
-    for a in READ_AS:
-        raw = _encode(s, a)
-        if raw is None or raw in done:
+        yield html.unescape(s), COMMON, 2
+        yield _plain(s), COMMON, 2
+    raws: dict[str, bytes | None] = {}
+    done: set[tuple[bytes, str]] = set()
+    for prior, a, b in STEPS:
+        if a not in raws:
+            raws[a] = _encode(s, a)
+        raw = raws[a]
+        if raw is None or (raw, b) in done:
             continue
-        done.add(raw)
-        for b in MEANT:
-            if a == b:
-                continue
-            try:
-                out = raw.decode(b)
-            except (UnicodeDecodeError, LookupError):
-                continue
-            yield out
+        done.add((raw, b))
+        try:
+            out = raw.decode(b)
+        except (UnicodeDecodeError, LookupError):
+            continue
+        yield out, prior, (2 if a not in _WIDE else 1) if b == "utf-8" else 0
 
 
-def search(s: str) -> tuple[str, bool] | None:
-    """(the original, whether it is whole) if s is damaged text, None if it is not."""
+def search(s: str) -> tuple[str, bool, bool] | None:
+    """(the original, whether it is whole, whether the way to it leads through UTF-8 or an escape) if s is damaged text, None if it is not."""
     if s.isascii() and not _ESCAPED.search(s):
         return None
     if s in _SEEN:
@@ -234,45 +273,48 @@ def search(s: str) -> tuple[str, bool] | None:
     return out
 
 
-def _search(s: str) -> tuple[str, bool] | None:
+def _search(s: str) -> tuple[str, bool, bool] | None:
     if "�" in s:
-        return s, False
+        return s, False, True
     sample = _RUN.sub(r"\1\1", s)
     first = cost(sample) if not _ESCAPED.search(sample) else max(cost(u) for u in (html.unescape(sample), _plain(sample))) + 6
-    if first < MARGIN:
+    if first < UTF8_MARGIN + STEP_COST:
         return None
-    heap, seen, nodes = [(first, 0, s)], {s}, 0
-    best = (first, s)
-    limit = first * SHARE
+    heap, seen, nodes = [(first, 0, s, 0.0, 3)], {s}, 0
+    best, rival = (first, s, 3), first
     while heap and nodes < MAX_NODES:
-        at, steps, text = heapq.heappop(heap)
+        at, steps, text, spent, way = heapq.heappop(heap)
         nodes += 1
-        if at < best[0]:
-            best = (at, text)
         if steps >= MAX_STEPS or best[0] < 0.12 * first and steps:
             continue
         plain = set(_HIGH.sub("", text)) if not _ESCAPED.search(text) else _EVERY
-        for t in _next(text):
+        for t, prior, kind in _next(text):
             # decoding never makes ASCII characters that were not there; escapes do
             if t in seen or len(t) * 4 < len(text) or not plain >= set(_HIGH.sub("", t)):
                 continue
             seen.add(t)
-            c = cost(_RUN.sub(r"\1\1", t)) + STEP_COST * (steps + 1)
+            paid = spent + prior + STEP_COST + (RARE_LATER if steps and not kind else 0.0)
+            c = cost(_RUN.sub(r"\1\1", t)) + paid
+            w = min(way, kind)
             if c < best[0]:
-                best = (c, t)
+                best, rival = (c, t, w), best[0] if best[1] != s else rival
+            else:
+                rival = min(rival, c)
             # text that is no more plausible by now is only worth a step if it was read twice
-            if c < first * 1.05:
-                heapq.heappush(heap, (c, steps + 1, t))
-    if best[1] != s and best[0] <= limit and first - best[0] >= MARGIN:
-        return best[1], True
+            if c < first * 1.05 or kind == 2 and c < first * 1.3:
+                heapq.heappush(heap, (c, steps + 1, t, paid, w))
+    share, margin = (UTF8_SHARE, UTF8_MARGIN) if best[2] == 2 else (SHARE, MARGIN)
+    if best[1] != s and best[0] <= first * share and first - best[0] >= margin:
+        # of two readings as plausible neither is the original for sure
+        return (best[1], True, best[2] > 0) if rival - best[0] > RIVAL else (s, False, best[2] > 0)
     # controls that no text has, though no way back was found
-    return (s, False) if sum(0x80 <= ord(c) < 0xA0 for c in s) >= 2 else None
+    return (s, False, True) if sum(0x80 <= ord(c) < 0xA0 for c in s) >= 2 else None
 
 
 _RUN_OF_TEXT = re.compile(r"[^\s\"'`]*(?:\\[ux]|&|%)[^\s\"'`]*")
 
 
-def _long(s: str) -> tuple[str, bool] | None:
+def _long(s: str) -> tuple[str, bool, bool] | None:
     """search for a run of text of any length: by overlapping windows, whose edges may cut a character, then as a whole if one is damaged."""
     step = MAX_SEGMENT - 100
     for k in range(0, len(s), step):
@@ -283,7 +325,7 @@ def _long(s: str) -> tuple[str, bool] | None:
         for a in range(4):
             for b in range(4):
                 if (cut := window[a:len(window) - b]) and (not cut.isascii() or _ESCAPED.search(cut)) and search(cut):
-                    return _search(s) or (s, False)
+                    return _search(s) or (s, False, True)
                 if window.isascii():
                     break
             if window.isascii():
@@ -317,15 +359,13 @@ def field(text: str) -> tuple[str | None, bool] | None:
                 out.append(line[:a] + whole[0] + line[b:])
                 continue
 
-            swapped = len(seg) <= MAX_SEGMENT and not whole and len(_CYRILLIC.findall(seg)) > 1
+            swapped = not whole and len(_CYRILLIC.findall(seg)) > 1
 
             def word(w: re.Match) -> str:
                 nonlocal hit, lost
-                # one alphabet read as another of the same script shows in whole phrases, not in single words of one
-                if swapped and _CYRILLIC.fullmatch(w.group()):
-                    return w.group()
                 found = search(w.group()) if len(w.group()) <= MAX_SEGMENT else _long(w.group())
-                if found:
+                # one alphabet read as another of the same script shows in whole phrases, not in single words of one
+                if found and not (swapped and not found[2] and _CYRILLIC.fullmatch(w.group())):
                     hit = True
                     lost |= not found[1]
                     return found[0]

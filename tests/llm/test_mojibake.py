@@ -59,3 +59,51 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "file_id long, source_code string, path string, field_name string")
     assert {(r.file_id, r.field_name, r.original) for r in M.damaged(df).collect()} == {(1, "source_code", TEXTS[0]), (2, "path", "/" + TEXTS[0])}
     assert M.damaged(df.limit(0)).count() == 0
+
+
+WORDS = "Größe über Übersicht Schlüssel prüfen zulässig Straße für Änderung löschen müssen schließen être été déjà vérifie clé réglage français garçon où à Noël cœur está también año contraseña niño señal público acción não são coração até configuração ошибка проверка ключ это код данные привет配置 检查 用户 密码 注意 パスワード 設定 確認 łódź żółć ważny klucz_główny".split()
+
+
+def _sloppy(raw):
+    return "".join(M._SLOPPY[b] for b in raw)
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "twice"])
+def test_words_come_back_or_stay_open(read):
+    right = total = 0
+    for word in WORDS:
+        try:
+            damaged = _sloppy(_sloppy(word.encode()).encode()) if read == "twice" else _sloppy(word.encode()) if read == "cp1252" else word.encode().decode(read)
+        except UnicodeDecodeError:
+            continue
+        for text, want in ((damaged, word), (f"x = 1  # {damaged} here", f"x = 1  # {word} here")):
+            found = M.field(text)
+            assert found and found in ((want, True), (None, False)), (word, damaged, found)
+            right += found[1]
+            total += 1
+    assert right >= 0.97 * total
+
+
+def test_words_of_legacy_pages():
+    for word in ("ошибка", "проверка", "данные"):
+        assert M.field(_sloppy(word.encode("cp1251"))) == (word, True)
+    assert M.field("//  кэш и РєРѕРґ ключа") == ("//  кэш и код ключа", True)  # one damaged word in a right line of the same script
+    assert M.field("# żółć") is None and M.field("# Übersicht der Größen über alles") is None
+
+
+@pytest.mark.parametrize("n", [30, 120])
+def test_one_damaged_word_in_a_long_line(n):
+    words = "die Größe der Liste ist für alle Schlüssel zulässig und muss vor dem Löschen geprüft werden".split()
+    line = [words[k % len(words)] for k in range(n)]
+    for at in range(len(words)):
+        if line[at].isascii():
+            continue
+        broken = [*line[:at], _sloppy(line[at].encode()), *line[at + 1:]]
+        assert M.field("// " + " ".join(broken)) == ("// " + " ".join(line), True)
+
+
+def test_read_four_times():
+    text = TEXTS[0]
+    for _ in range(4):
+        text = _sloppy(text.encode())
+    assert M.field(text) == (TEXTS[0], True)
