@@ -10,8 +10,10 @@ def kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder:  # only where nothing is named, as in tests
-            import tempfile
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("name a shared folder in spark.checkpoint.dir: executors cannot read a folder of the driver's machine")
+            import tempfile  # one process, as in tests
 
             folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
         sc.setCheckpointDir(folder)

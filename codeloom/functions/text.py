@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the separators at which text falls into lines.
@@ -50,6 +50,12 @@ def text_budget(limit: Column, prompt_tokens: Column, overhead: int, reserve: in
     return F.greatest(F.lit(128), limit - prompt_tokens - F.lit(max(0, overhead)) - F.lit(max(0, reserve)))
 
 
+def chunk_tokens(prompts: DataFrame, limit: int | None, overhead: int, legacy: int | None = None, default: int = 4096) -> DataFrame:
+    """(chunk_tokens): the least text budget that the prompts (prompt) of all extensions leave, at most legacy; legacy or default without a limit."""
+    least = F.min(text_budget(F.lit(limit).cast("long"), token_estimate(F.col("prompt")), overhead)) if limit is not None else F.lit(legacy or default)
+    return prompts.agg((F.least(least, F.lit(legacy)) if legacy is not None and limit is not None else least).cast("long").alias("chunk_tokens"))
+
+
 def input_limit(configured: int | None, known: int | None, legacy: int | None = None) -> int | None:
     if configured and known:
         return min(configured, known)

@@ -82,8 +82,8 @@ def estimate(s: str) -> int:
 
 
 def pack(code: str, ext: str, budget: int, isolate: bool = False) -> list[tuple[int, int]]:
-    """First and last line (from 1) of chunks within budget tokens: whole sections while they fit, lines of a section that is too
-    large, a single line that is too large alone.  isolate keeps every section that fits on its own."""
+    """First and last line (from 1) of chunks within budget tokens: whole sections, each counted as one text, while they fit, lines of a
+    section that is too large, a single line that is too large alone.  isolate keeps every section that fits on its own."""
     lines = code.splitlines()
     if not lines:
         return []
@@ -99,7 +99,7 @@ def pack(code: str, ext: str, budget: int, isolate: bool = False) -> list[tuple[
         held = None
 
     for a, b in zip(starts, [*starts[1:], len(lines)]):
-        size = sum(costs[a:b])
+        size = estimate("\n".join(lines[a:b]))
         if size > budget:
             close()
             for k in range(a, b):

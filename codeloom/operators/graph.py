@@ -7,7 +7,7 @@ Units without path, source or target are left out; repeated rows change nothing;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hints, text
@@ -58,16 +58,16 @@ def hinted(node_table: DataFrame) -> DataFrame:
     return rows.drop("_corpus", "_ext")
 
 
-def profile(node_table: DataFrame) -> DataFrame:
-    """(id, path, counts and flags by kind, hint_score, n_lines)."""
+def profile(node_table: DataFrame, *more: Column) -> DataFrame:
+    """(id, path, counts and flags by kind, hint_score, n_lines), and more columns of the hinted nodes."""
     rows = hinted(node_table)
     counts = {k: F.size(f"{k}_hits") for k in hints.KINDS}
-    return rows.select("id", "path", "node_ord", *[counts[k].alias(f"{k}_count") for k in hints.KINDS], *[(counts[k] > 0).alias(f"has_{k}") for k in hints.KINDS], hints.score(counts).alias("hint_score"), F.greatest(F.lit(1), text.line_count(F.col("source_code"))).alias("n_lines"), (F.col("source_code") != "").alias("has_source"))
+    return rows.select("id", "path", "node_ord", *[counts[k].alias(f"{k}_count") for k in hints.KINDS], *[(counts[k] > 0).alias(f"has_{k}") for k in hints.KINDS], hints.score(counts).alias("hint_score"), F.greatest(F.lit(1), text.line_count(F.col("source_code"))).alias("n_lines"), (F.col("source_code") != "").alias("has_source"), *more)
 
 
-def prioritised(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """The profile with degrees and the node priority."""
-    rows = profile(node_table).join(degrees(node_table, edge_table), "id")
+def prioritised(node_table: DataFrame, edge_table: DataFrame, *more: Column) -> DataFrame:
+    """The profile with degrees and the node priority, and more columns of the hinted nodes."""
+    rows = profile(node_table, *more).join(degrees(node_table, edge_table), "id")
     flags = sum(F.col(f"has_{k}").cast("int") * hints.PRIORITY[k] for k in hints.KINDS)
     return rows.withColumn("priority", flags + F.col("hint_score") * 5 + F.col("in_degree") + F.col("out_degree") + F.col("n_lines"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hints, text
+from ..functions.ranks import numbered
 from ..functions.storage import kept
 
 
@@ -55,15 +56,10 @@ def fits(df: DataFrame, prompt_tokens: int, limit: int | None, column: str = "pa
     return rows if limit is None else rows.where(F.col("message_tokens") <= limit)
 
 
-def shrunk(df: DataFrame, prompt_tokens: int, limit: int) -> DataFrame:
-    """Of the sizes of one root (root, depth, node_limit, payload) the first that fits: greatest depth, then greatest node limit."""
-    return fits(df, prompt_tokens, limit).groupBy("root").agg(F.max_by(F.struct("payload", "message_tokens", "depth", "node_limit"), F.struct("depth", "node_limit")).alias("p")).select("root", "p.*")
-
-
-def with_floor(df: DataFrame, n_source: Column | None = None) -> DataFrame:
+def with_floor(df: DataFrame) -> DataFrame:
     """Candidates and, while they are fewer than min(S, max(10, S / 3)), rejected rows by descending score (then id).
 
-    df: (id, score, is_candidate).  The floor is one number; rejected rows are ranked with a limit, not by one window over all.
+    df: (id, score, is_candidate).  The floor is one number; rejected rows are numbered by a range-partitioned sort, in no single task.
     """
     df = kept(df.select("id", "score", "is_candidate"))  # read three times
     counts = df.agg(F.count("*").alias("s"), F.count_if("is_candidate").alias("kept")).first()
@@ -71,7 +67,8 @@ def with_floor(df: DataFrame, n_source: Column | None = None) -> DataFrame:
     own = df.where("is_candidate").withColumn("relaxed", F.lit(False))
     if missing <= 0:
         return own
-    return own.unionByName(df.where(~F.col("is_candidate")).orderBy(F.desc("score"), "id").limit(missing).withColumn("relaxed", F.lit(True)))
+    rest = numbered(df.where(~F.col("is_candidate")), [], [F.desc("score"), F.col("id")], "_place")
+    return own.unionByName(rest.where(F.col("_place") <= missing).drop("_place").withColumn("relaxed", F.lit(True)))
 
 
 def node_scores(prioritised: DataFrame, prescreen: DataFrame) -> DataFrame:
@@ -84,16 +81,9 @@ def hint_line(label: str, values: Column) -> Column:
     return F.when(F.size(values) == 0, F.lit(f"{label}: none")).otherwise(F.concat(F.lit(f"{label}: "), F.array_join(F.slice(values, 1, 8), " | ")))
 
 
-def node_block(index: Column) -> Column:
-    """The text block of one node (columns of ``graph.hinted``) in a context."""
-    head = F.concat(F.lit("<node_"), index.cast("string"), F.lit(">"))
-    return F.concat_ws("\n", head, F.concat(F.lit("path: "), "path"), F.concat(F.lit("caller: "), "source_name"), F.concat(F.lit("target: "), "target_name"), F.concat(F.lit("lines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")), F.concat(F.lit("code:\n"), "source_code"), F.concat(F.lit("summary: "), "descr"), *[hint_line(k, F.col(f"{k}_hits")) for k in hints.KINDS], head)
-
-
-def contexts(local: DataFrame, hinted: DataFrame) -> DataFrame:
-    """(root, payload, nodes): the blocks of each root's local nodes in their order; bounded by the node limit."""
-    rows = local.join(hinted.withColumn("_block", F.lit(1)), "id").select("root", "ord", "id", node_block(F.col("ord")).alias("block"))
-    return rows.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "block"))).alias("b")).select("root", F.array_join("b.block", "\n").alias("payload"), F.col("b.id").alias("nodes"))
+def node_body() -> Column:
+    """What a context says about one node (columns of ``graph.hinted``)."""
+    return F.concat_ws("\n", F.concat(F.lit("path: "), "path"), F.concat(F.lit("file: "), "name"), F.concat(F.lit("caller: "), "source_name"), F.concat(F.lit("target: "), "target_name"), F.concat(F.lit("lines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")), F.concat(F.lit("code:\n"), "source_code"), F.concat(F.lit("summary: "), "descr"), *[hint_line(k, F.col(f"{k}_hits")) for k in hints.KINDS])
 
 
 def ordered(df: DataFrame) -> DataFrame:

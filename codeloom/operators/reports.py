@@ -120,6 +120,12 @@ def section_order(visible: DataFrame, key: str) -> DataFrame:
     return visible.groupBy(key).agg(F.count("*").alias("n_findings"), F.coalesce(worst, F.lit(99)).alias("min_rank")).orderBy("min_rank", key)
 
 
+def finding_order(visible: DataFrame, key: str, ord: str) -> DataFrame:
+    """visible with place: the order of findings inside a section, worst first, as they came among equals."""
+    w = Window.partitionBy(key).orderBy("severity_rank", ord)
+    return visible.withColumn("place", F.row_number().over(w))
+
+
 def incomplete_report(total: Column, failed: Column, threshold: float) -> Column:
     rate = F.when(total > 0, failed / total).otherwise(0.0)
     return F.format_string("<审计报告>\n<结论>审计不完整</结论>\n<统计>\n总任务数: %d\n失败任务数: %d\n失败率: %.2f%%\n阈值: %.2f%%\n</统计>\n</审计报告>", total, failed, rate * 100, F.lit(threshold * 100.0))

@@ -29,6 +29,7 @@ class FileGraph:
     counts: dict[str, tuple[int, int, int, int]]
     succ: dict[str, list[str]] = field(default_factory=dict)
     pred: dict[str, list[str]] = field(default_factory=dict)
+    extra: dict[str, tuple] = field(default_factory=dict)
 
     def link(self, edges: list[tuple[str, str]]) -> FileGraph:
         for a, b in edges:
@@ -152,19 +153,21 @@ class FileGraph:
 ROW = "path string, kind int, id string, dst string, priority long, input_count int, sink_count int, validation_count int, safety_count int, node_ord long, has_source boolean"
 
 
-def per_file(nodes: DataFrame, edges: DataFrame, walk: Callable[[FileGraph, list[str], list[str]], list[tuple]], schema: str, columns: list[str]) -> DataFrame:
-    """walk(graph, ids, ids with source) for each file's graph; nodes are rows of ``graph.prioritised``.
+def per_file(nodes: DataFrame, edges: DataFrame, walk: Callable[[FileGraph, list[str], list[str]], list[tuple]], schema: str, columns: list[str], extra: tuple[str, ...] = (), frame_rows: int = 20_000) -> DataFrame:
+    """walk(graph, ids, ids with source) for each file's graph; nodes are rows of ``graph.prioritised``, with the columns of extra ('name type').
 
-    Nodes and edges of a path are brought together once and walked as a sorted stream: one Python call per batch, not per file.
+    Nodes and edges of a path are brought together once and walked as a sorted stream: one Python call per batch, not per file.  One
+    file's graph is in memory at a time; its size is bounded by the file's own code.
     """
-    fields = [x.split(" ")[0] for x in ROW.split(", ")]
-    left = nodes.select("path", F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("dst"), F.col("priority").cast("long").alias("priority"), *[F.col(c).cast("int").alias(c) for c in COUNTS], "node_ord", "has_source")
-    right = edges.select("path", F.lit(1).alias("kind"), F.col("src").alias("id"), "dst", F.lit(None).cast("long").alias("priority"), *[F.lit(None).cast("int").alias(c) for c in COUNTS], F.lit(None).cast("long").alias("node_ord"), F.lit(None).cast("boolean").alias("has_source"))
+    fields = [x.split(" ")[0] for x in (*ROW.split(", "), *extra)]
+    n_base = len(fields) - len(extra)
+    left = nodes.select("path", F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("dst"), F.col("priority").cast("long").alias("priority"), *[F.col(c).cast("int").alias(c) for c in COUNTS], "node_ord", "has_source", *[F.col(x.split(" ")[0]).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in extra])
+    right = edges.select("path", F.lit(1).alias("kind"), F.col("src").alias("id"), "dst", F.lit(None).cast("long").alias("priority"), *[F.lit(None).cast("int").alias(c) for c in COUNTS], F.lit(None).cast("long").alias("node_ord"), F.lit(None).cast("boolean").alias("has_source"), *[F.lit(None).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in extra])
     rows = left.unionByName(right).select(*fields).repartition("path").sortWithinPartitions("path", "kind", "node_ord", "id")
 
     def solve(held: list[tuple]) -> list[tuple]:
         own = [r for r in held if r[1] == 0]
-        g = FileGraph({r[2]: r[4] for r in own}, {r[2]: r[5:9] for r in own}).link([(r[2], r[3]) for r in held if r[1] == 1])
+        g = FileGraph({r[2]: r[4] for r in own}, {r[2]: r[5:9] for r in own}, extra={r[2]: r[n_base:] for r in own}).link([(r[2], r[3]) for r in held if r[1] == 1])
         return walk(g, [r[2] for r in own], [r[2] for r in own if r[10]])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +178,7 @@ def per_file(nodes: DataFrame, edges: DataFrame, walk: Callable[[FileGraph, list
                 if held and held[-1][0] != r[0]:
                     out += solve(held)
                     held = []
-                    if len(out) > 20_000:
+                    if len(out) > frame_rows:
                         yield from pack(out)
                         out = []
                 held.append(r)

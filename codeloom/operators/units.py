@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,9 +178,26 @@ def _body(code: str, at: int) -> int:
     return -1
 
 
-def _scan(code: str, ext: str, module: str) -> list[tuple[str, int, int, list[str]]]:
-    """(caller, first line, last line, targets) of the module, if it has targets, and the functions of a brace language."""
+_PAIRS = {"}": "{", ")": "(", "]": "["}
+
+
+def _balanced(blank: str) -> bool:
+    """Whether brackets pair in code without strings and comments."""
+    held: list[str] = []
+    for c in re.findall(r"[{}()\[\]]", blank):
+        if c in _PAIRS:
+            if not held or held.pop() != _PAIRS[c]:
+                return False
+        else:
+            held.append(c)
+    return not held
+
+
+def _scan(code: str, ext: str, module: str) -> list[tuple[str, int, int, list[str]]] | None:
+    """(caller, first line, last line, targets) of the module, if it has targets, and the functions of a brace language; None if brackets do not pair."""
     blank = _STRING_OR_COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), code)
+    if not _balanced(re.sub(r"^[ \t]*#(?:[^\n\\]|\\[\s\S])*", "", blank, flags=re.M) if ext in (".c", ".cpp", ".cs") else blank):
+        return None
     classes = [(m.start(), _body(blank, m.start()), m[1]) for m in _CLASS.finditer(blank)]
     out, spans = [], []
     for m in _HEAD.get(ext, _HEAD[""]).finditer(blank):
@@ -269,7 +286,10 @@ def extract(code: str, ext: str, name: str) -> list[tuple[str, str, str, int, in
         v.visit(tree)
         rows = [(scope, list(targets), *v.spans.get(scope, (1, n_lines))) for scope, targets in v.found.items()]
     else:
-        rows = [(scope, targets, a, b) for scope, a, b, targets in _scan(code, ext, stem)]
+        found = _scan(code, ext, stem)
+        if found is None:
+            return None
+        rows = [(scope, targets, a, b) for scope, a, b, targets in found]
     out = []
     for scope, targets, a, b in rows:
         for t in targets or [NO_DEPENDENCY]:
@@ -283,10 +303,17 @@ FRAME_CHARS = 4_000_000
 COLUMNS = "file_id long, path string, name string, source_name string, target_name string, source_desc string, start_code_line int, end_code_line int, source_code string, status string"
 
 
-def extracted(files: DataFrame) -> DataFrame:
+def fallback_tokens(max_input_tokens: int | None) -> int:
+    """Size of the sections that are tried one by one where a file as a whole does not parse."""
+    return min(12_000, max(2_000, (max_input_tokens or 24_000) // 2))
+
+
+def extracted(files: DataFrame, max_input_tokens: int | None = 8000) -> DataFrame:
     """Units of every file of a parsed extension; status 'ok', 'fallback' (only sections that parse) or 'failed' with null ends."""
     from .chunks import pack
 
+    budget = fallback_tokens(max_input_tokens)
+
     rows = files.select("file_id", "path", "name", "source_code", text.suffix(F.col("path")).alias("ext"), F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("first"))
     rows = rows.where(F.col("ext").isin(*PARSED_EXTENSIONS) & F.col("source_code").rlike(r"\S"))
 
@@ -302,7 +329,7 @@ def extracted(files: DataFrame) -> DataFrame:
                 lines, found, status = code.splitlines(), extract(code, ext, name), "ok"
                 if found is None:  # sections that parse by themselves
                     found, status = [], "fallback"
-                    for a, b in pack(code, ext, 2000, isolate=True):
+                    for a, b in pack(code, ext, budget, isolate=True):
                         part = extract("\n".join(lines[a - 1:b]), ext, name)
                         found += [(s, t, d, x + a - 1, y + a - 1) for s, t, d, x, y in part or ()]
                 if not found:
@@ -326,3 +353,13 @@ def dispatched(files: DataFrame, engine: str = "auto") -> tuple[DataFrame, DataF
     units = extracted(files)
     good = units.where("status <> 'failed'")
     return good, files.limit(0) if engine == "ast" else files.join(good.select("file_id").distinct(), "file_id", "left_anti")
+
+
+def all_units(files: DataFrame, review: Callable[[DataFrame], DataFrame], engine: str = "auto") -> DataFrame:
+    """(file_id, source_name, target_name, source_desc, start_code_line, end_code_line, origin) of both branches: read from the code ('ast'), and
+    where that gives none from a reviewer ('llm'); review takes the files left and gives (file_id, output) of extractor lines."""
+    good, left = dispatched(files, engine)
+    names = ("source_name", "target_name", "source_desc", "start_code_line", "end_code_line")
+    read = good.select("file_id", *names, F.lit("ast").alias("origin"))
+    asked = parse_lines(review(left).select("file_id", "output")).where(~F.col("parse_error"))
+    return read.unionByName(asked.select("file_id", *[F.col(a).alias(b) for a, b in zip(("caller", "callee", "summary", "first_line", "last_line"), names)], F.lit("llm").alias("origin")))

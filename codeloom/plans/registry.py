@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import NO_DEPENDENCY, Settings
 from ..functions import hints, text
 from ..functions.storage import kept
-from ..operators import chunks, graph, payloads, reports, reviewer, traversal, units
+from ..operators import chunks, contexts, graph, payloads, reports, reviewer, traversal, units
 from ..sources import files as sources
 from . import sql as S
 
@@ -196,13 +196,64 @@ def node_payload_score(s, d):
     return payloads.node_scores(p, pre).withColumn("payload_score", F.col("payload_score").cast("long"))
 
 
-@query()
+def _context_nodes(s, d):
+    n, e = _nodes(s, d), _edges(s, d)
+    return contexts.nodes_with_texts(n, e), e
+
+
+def _contexts(nodes, e, limit):
+    return contexts.local_contexts(nodes, e, DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_focus_paths, limit)
+
+
+@query(S.CONTEXTS + f"select root, cast({DEFAULTS.context_depth} as bigint) as depth, cast({DEFAULTS.max_nodes} as bigint) as node_limit, tokens as message_tokens, sha256(payload) as payload_sig, n_nodes from written where tokens <= {text.input_limit(DEFAULTS.max_input_tokens, None)}")
 def payload_contexts(s, d):
+    rows = _contexts(*_context_nodes(s, d), text.input_limit(DEFAULTS.max_input_tokens, None))
+    return rows.select("root", F.col("depth").cast("long").alias("depth"), F.col("node_limit").cast("long").alias("node_limit"), "message_tokens", payloads.signature(F.col("payload")).alias("payload_sig"), F.size("nodes").cast("long").alias("n_nodes"))
+
+
+#: Small enough that most contexts must shrink.
+TIGHT_TOKENS = 900
+
+
+@query()
+def budget_shrink(s, d):
+    rows = _contexts(*_context_nodes(s, d), TIGHT_TOKENS)
+    return rows.select("root", F.col("depth").cast("long").alias("depth"), F.col("node_limit").cast("long").alias("node_limit"), F.col("message_tokens").alias("tokens"), F.size("nodes").cast("long").alias("n_nodes"))
+
+
+def _tree_payloads(s, d, nodes, e, limit):
+    """Contexts of the best trees with their scores, copies of a payload left out."""
+    t = traversal.trees(nodes, e, DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_branches)
+    top = kept(traversal.global_trees(t, max(30, 3 * DEFAULTS.max_nodes)))
+    ctx = contexts.tree_contexts(nodes, e, top.select("root"), DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_branches, DEFAULTS.max_focus_paths, limit)
+    place = top.select("root", F.struct(-F.col("tree_priority"), -F.size("branches"), -F.size("nodes"), "root").alias("_o"))
+    rows = ctx.join(traversal.tree_scores(top, nodes), "root").join(place, "root")
+    rows = rows.select("root", F.col("tree_score").cast("long").alias("score"), F.col("message_tokens").alias("tokens"), "_o", payloads.signature(F.col("payload")).alias("payload_sig"))
+    rows = payloads.first_per_signature(rows, ["payload_sig"], ["_o"], DEFAULTS.tree_dedup_limit)
+    return rows.withColumn("ord", F.row_number().over(Window.orderBy("_o")).cast("long")).drop("_o")  # the best trees, a few dozen
+
+
+@query()
+def tree_contexts(s, d):
+    nodes, e = _context_nodes(s, d)
+    return _tree_payloads(s, d, kept(nodes), e, text.input_limit(DEFAULTS.max_input_tokens, None))
+
+
+@query()
+def payload_order(s, d):
+    """Tree and node payloads, the latter of the pre-screened candidates and those that the floor adds, merged in the order of review."""
     n, e = _nodes(s, d), _edges(s, d)
-    p = graph.prioritised(n, e)
-    local = traversal.local_nodes(p, e, DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_focus_paths)
+    nodes = kept(contexts.nodes_with_texts(n, e))
     limit = text.input_limit(DEFAULTS.max_input_tokens, None)
-    return payloads.fits(payloads.contexts(local, graph.hinted(n)), 600, limit).select("root", "message_tokens", payloads.signature(F.col("payload")).alias("payload_sig"), F.size("nodes").alias("n_nodes"))
+    local = traversal.local_nodes(nodes, e, DEFAULTS.context_depth, DEFAULTS.max_nodes, DEFAULTS.max_focus_paths)
+    pre = kept(traversal.prescreened(nodes, traversal.local_summary(local, nodes), DEFAULTS.candidate_threshold))
+    chosen = payloads.with_floor(pre.select("id", F.col("prescreen_score").alias("score"), "is_candidate")).select("id", "relaxed")
+    ctx = _contexts(nodes, e, limit).withColumnRenamed("root", "id").select("id", "message_tokens", F.size("nodes").alias("n_local"), F.array_join(F.array_sort("nodes"), ",").alias("local"), payloads.signature(F.col("payload")).alias("payload_sig"))
+    rows = chosen.join(ctx, "id").join(n.select("id", "path", F.col("node_ord").alias("ord"), payloads.signature(F.concat_ws("||", "path", "source_name", "target_name", "descr", "source_code")).alias("own_sig")), "id")
+    rows = payloads.both_signatures(rows.withColumn("context_sig", payloads.signature(F.concat_ws("||", "own_sig", "local"))), DEFAULTS.node_dedup_limit)
+    scores = payloads.node_scores(nodes, pre.drop("n_local").join(rows.select("id", "n_local"), "id"))
+    node_rows = rows.join(scores, "id").select(F.col("id").alias("root"), F.col("payload_score").cast("long").alias("score"), F.col("message_tokens").alias("tokens"), "ord", "payload_sig")
+    return contexts.merged(_tree_payloads(s, d, nodes, e, limit), node_rows, DEFAULTS.final_dedup_limit)
 
 
 @query(S.GRAPH + "select id, sig from (select id, sha256(source_code) as sig, row_number() over (partition by source_code order by length(id), id) as n from nodes where source_code <> '') t where n <= 2")
@@ -211,17 +262,6 @@ def payload_dedup_topn(s, d):
     return payloads.first_per_signature(rows, ["sig"], [F.length("id"), "id"], 2)
 
 
-@query(S.HINTS + "select id, hint_score as score, tokens, rn from (select id, hint_score, tokens, row_number() over (order by hint_score desc, tokens desc, id) as rn from (select p.id, hint_score, cast(ceil(length(source_code) / 4.0) as bigint) as tokens from profile p join nodes n on n.id = p.id where source_code <> '') a) b where rn <= 500")
-def payload_order(s, d):
-    n = _nodes(s, d)
-    p = graph.profile(n).select("id", F.col("hint_score").cast("long").alias("score"), "has_source").where("has_source").drop("has_source")
-    rows = p.join(n.select("id", text.token_estimate(F.col("source_code")).alias("tokens")), "id")
-    top = rows.orderBy(F.desc("score"), F.desc("tokens"), "id").limit(500)
-    from pyspark.sql import Window
-
-    return top.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("tokens"), "id")).cast("long"))  # 500 rows
-
-
 @query(S.HINTS + """, c as (select id, hint_score as score, hint_score >= 60 as is_candidate from profile p where has_source),
   k as (select count(*) as s, count(*) filter (where is_candidate) as kept from c),
   r as (select id, score, row_number() over (order by score desc, id) as n from c where not is_candidate)
@@ -234,10 +274,9 @@ def candidate_floor(s, d):
 
 @query()
 def payload_dedup_both(s, d):
-    p, e, local = _local(s, d)
     n = _nodes(s, d)
-    ctx = payloads.contexts(local, graph.hinted(n)).withColumnRenamed("root", "id")
-    rows = n.where("source_code <> ''").join(ctx, "id").select("path", F.col("node_ord").alias("ord"), "id", payloads.signature(F.col("payload")).alias("payload_sig"), payloads.context_signature(F.col("nodes")).alias("context_sig"))
+    ctx = _contexts(*_context_nodes(s, d), None).select(F.col("root").alias("id"), "nodes", payloads.signature(F.col("payload")).alias("payload_sig"))
+    rows = n.join(ctx, "id").select("path", F.col("node_ord").alias("ord"), "id", "payload_sig", payloads.context_signature(F.col("nodes")).alias("context_sig"))
     return payloads.both_signatures(rows, DEFAULTS.node_dedup_limit)
 
 
@@ -257,7 +296,9 @@ def md5_text(s, d):
 
 
 @query("""with f as (select distinct repo, len(string_split(path, '/')) as depth, path, sha256(coalesce(path, '') || chr(0) || coalesce(extension, '') || chr(0) || coalesce(source_code, '')) as digest from source_files)
-select repo, sha256(string_agg(digest, '' order by depth, encode(path), digest)) as project_hash from f group by repo""")
+  , p as (select *, row_number() over (partition by repo order by depth, encode(path), digest) - 1 as n from f),
+  b as (select repo, n // 4096 as block, sha256(string_agg(digest, '' order by n)) as digest from p group by 1, 2)
+select repo, sha256(string_agg(digest, '' order by block)) as project_hash from b group by repo""")
 def project_hash(s, d):
     return sources.project_hashes(table(s, d, "source_files"), "repo")
 
@@ -285,12 +326,12 @@ def semantic_sections(s, d):
     return chunks.sections(_files(s, d))
 
 
-@query()
+@query(S.packed(chunks.BOUNDARIES, 400, False))
 def chunk_pack(s, d):
     return chunks.chunks(_files(s, d), 400).drop("chunk")
 
 
-@query()
+@query(S.packed(chunks.BOUNDARIES, 40, True))
 def chunk_lines(s, d):
     return chunks.chunks(_files(s, d), 40, isolate=True).drop("chunk")
 
@@ -317,15 +358,6 @@ def budget_fit(s, d):
     return payloads.fits(rows, 20, 300).select("doc_id", "message_tokens")
 
 
-@query("""select root, depth, node_limit, tokens from (select doc_id as root, depth, lim as node_limit, cast(ceil(length('user: ' || substr(text, 1, depth * lim * 40)) / 4.0) as bigint) + 20 as tokens,
-  row_number() over (partition by doc_id order by depth desc, lim desc) as n from (select distinct doc_id, text from documents where text is not null) t, unnest(range(1, 4)) as a(depth), unnest(range(1, 9)) as b(lim)
-  where ceil(length('user: ' || substr(text, 1, depth * lim * 40)) / 4.0) + 20 <= 180) x where n = 1""")
-def budget_shrink(s, d):
-    grid = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda a: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda b: F.struct(a.alias("depth"), b.alias("node_limit"))))))
-    rows = _docs(s, d).where("text is not null").select(F.col("doc_id").alias("root"), "text", grid.alias("g")).select("root", "g.depth", "g.node_limit", F.expr("substr(text, 1, g.depth * g.node_limit * 40)").alias("payload"))
-    return payloads.shrunk(rows, 20, 180).select("root", F.col("depth").cast("long").alias("depth"), F.col("node_limit").cast("long").alias("node_limit"), F.col("message_tokens").alias("tokens"))
-
-
 @query("select distinct lower(regexp_replace(trim(coalesce(source, '')), '[^A-Za-z0-9_.-]+', '_', 'g')) as raw, case when trim(regexp_replace(trim(coalesce(source, '')), '[^A-Za-z0-9_.-]+', '_', 'g'), '._') = '' then 'project' else trim(regexp_replace(trim(coalesce(source, '')), '[^A-Za-z0-9_.-]+', '_', 'g'), '._') end as name from documents")
 def name_sanitizer(s, d):
     c = F.coalesce("source", F.lit(""))
@@ -354,11 +386,7 @@ def text_export(s, d):
 @query("""with f as (select distinct file_id, repo, path from source_files), n as (select path, len(string_split(path, '/')) as depth, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, repo, file_id from f)
 select file_id, row_number() over (partition by repo order by depth, encode(dir), encode(path), file_id) as pos from n""")
 def breadth_first_order(s, d):
-    from pyspark.sql import Window
-
-    rows = _files(s, d).select("file_id", "repo", "path", F.size(F.split("path", "/")).alias("depth"))
-    w = Window.partitionBy("repo").orderBy("depth", F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "path", "file_id")
-    return rows.select("file_id", F.row_number().over(w).cast("long").alias("pos"))
+    return sources.breadth_first(_files(s, d).select("file_id", "repo", "path"), "repo", "file_id").select("file_id", "pos")
 
 
 @query(S.IMPORTS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..config import NO_DEPENDENCY, Settings
 from ..functions import hints
+from ..operators import reviewer
 
 GRAPH = """with u as (select distinct * from code_units where path is not null and source_name is not null and target_name is not null),
   src as (select path || '|' || source_name as id, * from u), tgt as (select path || '|' || target_name as id, * from u),
@@ -72,6 +73,21 @@ def sections(boundaries: dict[str, tuple[str, ...]]) -> str:
 select file_id, cast(n as int) as start_line, cast(coalesce(lead(n) over (partition by file_id order by n) - 1, total) as int) as end_line from m"""
 
 
+def packed(boundaries: dict[str, tuple[str, ...]], budget: int, isolate: bool) -> str:
+    """Chunks as a fold: sections that fit and the lines of those that do not, one after the other."""
+    tokens = "cast(ceil(length(array_to_string(ls[{a}:{b}], chr(10))) / 4.0) as bigint)"
+    new = f"(n.split <> r.split or n.split = 1 and n.s <> r.s or r.held + n.cost > {budget}{' or n.split = 0' if isolate else ''})"
+    return sections(boundaries).replace("with f as", "with recursive f as", 1).replace("select file_id, cast(n as int)", ", sec as (select file_id, cast(n as int)").rstrip() + f"""),
+  sect as (select file_id, start_line as a, end_line as b, {tokens.format(a='start_line', b='end_line')} as cost from sec join f using (file_id)),
+  pieces as (select file_id, a, b, cost, 0 as split, a as s from sect where cost <= {budget} union all
+    select file_id, k, k, cast(ceil((length(ls[k]) + 1) / 4.0) as bigint), 1, a from (select file_id, a, cost, ls, unnest(range(a, b + 1)) as k from sect join f using (file_id) where cost > {budget}) t),
+  num as (select *, row_number() over (partition by file_id order by a) as i from pieces),
+  r as (select file_id, i, a, b, split, s, cost as held, 0 as chunk_no from num where i = 1 union all
+    select n.file_id, n.i, n.a, n.b, n.split, n.s, case when {new} then n.cost else r.held + n.cost end, r.chunk_no + {new}::int from r join num n on n.file_id = r.file_id and n.i = r.i + 1),
+  c as (select file_id, chunk_no, min(a) as a, max(b) as b from r group by 1, 2)
+select file_id, cast(chunk_no as int) as chunk_no, cast(first + a - 1 as int) as start_line, cast(b - a + 1 as int) as n_lines, {tokens.format(a='a', b='b')} as n_tokens from c join f using (file_id)"""
+
+
 def scan_filters(s: Settings) -> str:
     exts = ", ".join(f"'{e}'" for e in (*s.source_extensions, *s.config_extensions))
     parts = ", ".join(f"'{p}'" for p in s.excluded_parts)
@@ -166,3 +182,24 @@ LOCAL = RANKED + """, ranked_nodes as (select root, rank, generate_subscripts(no
   screened as (select id, n_nodes, hint_score, in_degree, out_degree, n_lines, 8 * input_count + 10 * sink_count + 3 * validation_count + 2 * safety_count + 4 * input_nodes + 5 * sink_nodes + 12 * combined_nodes + least(6, in_degree + out_degree) as score,
     input_count + sink_count + validation_count + safety_count > 0 or combined_nodes > 0 or (input_nodes > 0 and sink_nodes > 0) as signal from prio p join summary s on s.root = p.id)
 """
+
+
+def _audit_prompt(ext: str) -> str:
+    rule = f"case {ext} " + " ".join(f"when '{e}' then {_quote(r)}" for e, r in reviewer.LANGUAGE_RULES.items()) + " else '' end"
+    return f"{_quote(reviewer.AUDIT_BASE)} || chr(10) || {rule}"
+
+
+def _hint_line(kind: str) -> str:
+    return f"case when len({kind}_hits) = 0 then '{kind}: none' else '{kind}: ' || array_to_string({kind}_hits[1:8], ' | ') end"
+
+
+CONTEXTS = LOCAL + f""", says as (select n.id, coalesce(nullif(n.source_name, ''), nullif(n.target_name, ''), n.id) as label,
+    concat_ws(chr(10), 'path: ' || n.path, 'file: ' || n.name, 'caller: ' || n.source_name, 'target: ' || n.target_name, 'lines: ' || n.start_line || '-' || n.end_line, 'code:' || chr(10) || n.source_code, 'summary: ' || n.descr, {', '.join(_hint_line(k) for k in hints.KINDS)}) as body,
+    ceil(length('system: ' || {_audit_prompt("lower(regexp_extract(n.path, '[^/.][^/]*?([.][^./]*)$', 1))")}) / 4.0) as prompt_tokens from nodes n join hit_lists h on h.id = n.id),
+  chain_nodes as (select root, rank, kind, generate_subscripts(nodes, 1) as pos, unnest(nodes) as id from ranked),
+  chain_texts as (select root, rank, '<chain_' || (rank - 1) || '>' || chr(10) || 'kind: ' || kind || chr(10) || 'path: ' || string_agg(label, ' -> ' order by pos) || chr(10) || 'input_count: ' || sum(input_count) || chr(10) || 'sink_count: ' || sum(sink_count) || chr(10)
+    || 'validation_count: ' || sum(validation_count) || chr(10) || 'safety_count: ' || sum(safety_count) || chr(10) || '<chain_' || (rank - 1) || '>' as t from chain_nodes join says using (id) join profile using (id) group by root, rank, kind),
+  heads as (select root, '<context_summary>' || chr(10) || string_agg(t, chr(10) order by rank) || chr(10) || '<context_summary>' || chr(10) as head from chain_texts group by root),
+  blocks as (select root, count(*) as n_nodes, string_agg('<node_' || ord || '>' || chr(10) || body || chr(10) || '<node_' || ord || '>', chr(10) order by ord) as b from local join says using (id) group by root),
+  written as (select root, n_nodes, coalesce(head, '') || b as payload, cast(prompt_tokens + ceil(length('user: ' || coalesce(head, '') || b) / 4.0) as bigint) as tokens from blocks left join heads using (root) join says on says.id = root)
+"""

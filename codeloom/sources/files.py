@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..config import Settings
+from ..config import PARSED_EXTENSIONS, Settings
+from ..functions.ranks import numbered
 
+#: Files whose digests are hashed together.
+HASH_BLOCK = 4096
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "latin-1")
 
 
@@ -60,9 +63,27 @@ def scan(spark: SparkSession, folder: str, s: Settings = Settings()) -> DataFram
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), decoded(F.col("content")).alias("source_code"), suffix_as_written(F.col("path")).alias("extension"), F.lit(1).alias("start_line"), F.size(F.split("path", "/")).alias("depth")).where(F.col("source_code").isNotNull())
 
 
-def breadth_first(files: DataFrame) -> DataFrame:
-    """Files by depth, then folder, then name."""
-    return files.orderBy("depth", F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "path")
+def breadth_first(files: DataFrame, key: str, tie: str) -> DataFrame:
+    """files with pos: each one's place within key by depth, then folder, then path, then tie."""
+    rows = files.withColumn("_depth", F.size(F.split("path", "/"))).withColumn("_dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    return numbered(rows, [key], ["_depth", "_dir", "path", tie], "pos").drop("_depth", "_dir")
+
+
+def flattened(files: DataFrame, budget: int, engine: str = "auto") -> DataFrame:
+    """(file_id, path, start_line, source_code): files whose dependencies are read from the code stay whole, unless the reviewer reads all; the
+    others are cut into chunks within budget tokens.  Order is a column (``breadth_first``), not the order of rows."""
+    from ..operators.chunks import chunks
+
+    rows = files.where(F.length("source_code") > 0)
+    whole = F.lit(engine != "llm") & F.lower(suffix_as_written(F.col("path"))).isin(*PARSED_EXTENSIONS)
+    first = F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("start_line")
+    cut = chunks(rows.where(~whole), budget).join(rows.select("file_id", "path").dropDuplicates(["file_id"]), "file_id")
+    return rows.where(whole).select("file_id", "path", first, "source_code").unionByName(cut.select("file_id", "path", "start_line", F.col("chunk").alias("source_code")))
+
+
+def read_text(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text): whole UTF-8 files, one a row."""
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace(F.col("_metadata.file_path"), r"^file:(?://)?", "").alias("path"), F.col("value").alias("text"))
 
 
 def tree_text(paths: list[str]) -> str:
@@ -114,39 +135,61 @@ def from_zips(archives: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- GraphML
 
-_KEYS = ("source_code", "target_name", "source_name", "descr", "start_line", "end_line", "name", "path")
+#: Attribute of a node -> its column.
+ATTRIBUTES = {"source_code": "source_code", "target_name": "target_name", "source_name": "source_name", "desc": "descr", "start_code_line": "start_line", "end_code_line": "end_line", "name": "name", "path": "path"}
+_NUMBERS = ("start_line", "end_line")
+_HEAD = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *[f'<key id="d{k}" for="node" attr.name="{a}" attr.type="{"int" if c in _NUMBERS else "string"}"/>' for k, (a, c) in enumerate(ATTRIBUTES.items())], '<graph edgedefault="directed">']
+_TAIL = ["</graph>", "</graphml>"]
 
 
 def _xml(c: Column) -> Column:
     c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """Nodes and edges as GraphML text below folder, one element a line, as many parts as the tables have partitions."""
-    data = [F.concat(F.lit(f'<data key="{k}">'), F.replace(_xml(F.coalesce(F.col(k).cast("string"), F.lit(""))), F.lit("\n"), F.lit("&#10;")), F.lit("</data>")) for k in _KEYS]
-    n = nodes.select(F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), *data, F.lit("</node>")).alias("value"))
-    e = edges.select(F.concat(F.lit('<edge source="'), _xml(F.col("src")), F.lit('" target="'), _xml(F.col("dst")), F.lit('"/>')).alias("value"))
-    n.unionByName(e).write.mode("overwrite").text(folder)
+def write_graphml(nodes: DataFrame, edges: DataFrame, folder: str, parts: int | None = None) -> None:
+    """The graph as GraphML documents below folder, whole files to a part: each part is a document of its own, parts=1 makes one of all."""
+    data = [F.concat(F.lit(f'<data key="d{k}">'), _xml(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</data>")) for k, c in enumerate(ATTRIBUTES.values())]
+    n = nodes.select("path", F.lit(0).alias("kind"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), *data, F.lit("</node>")).alias("value"))
+    e = edges.select("path", F.lit(1).alias("kind"), F.concat(F.lit('<edge source="'), _xml(F.col("src")), F.lit('" target="'), _xml(F.col("dst")), F.lit('"/>')).alias("value"))
+    rows = n.unionByName(e)
+    rows = (rows.repartition(parts, "path") if parts else rows.repartition("path")).sortWithinPartitions("kind")
+
+    def document(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened = False
+        for pdf in it:
+            if len(pdf) and not opened:
+                opened = True
+                yield pd.DataFrame({"value": _HEAD})
+            yield pdf[["value"]]
+        if opened:
+            yield pd.DataFrame({"value": _TAIL})
+
+    rows.mapInPandas(document, "value string").write.mode("overwrite").text(folder)
 
 
 def read_graphml(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of GraphML whose elements stand one a line; absent attributes come back as ''."""
-    rows = spark.read.text(folder)
+    """(nodes, edges) of GraphML documents, however they are laid out; attributes that a node lacks come back as '' or 0.
 
-    def plain(c: Column) -> Column:
-        for a, b in (("&#10;", "\n"), ("&#13;", "\r"), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-            c = F.replace(c, F.lit(a), F.lit(b))
-        return c
+    The keys of the documents say which attribute a value is of; they are settings of the format, a few for each document.
+    """
+    def elements(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", False).option("ignoreNamespace", True).schema(schema).load(folder)
+
+    keys = elements("key", "`_id` string, `_attr.name` string, `_for` string").select(F.col("_id").alias("id"), F.col("`_attr.name`").alias("name")).where("id is not null and name is not null").distinct()
+    names = {r.id: ATTRIBUTES[r.name] for r in keys.collect() if r.name in ATTRIBUTES}
+    rows = elements("node", "`_id` string, data array<struct<`_VALUE`:string,`_key`:string>>").where("_id is not null")
 
-    v = F.col("value")
-    attr = lambda name: plain(F.regexp_extract(v, rf' {name}="([^"]*)"', 1))
-    data = [plain(F.regexp_extract(v, rf'<data key="{k}">([^<]*)</data>', 1)).alias(k) for k in _KEYS]
-    nodes = rows.where(v.startswith("<node ")).select(attr("id").alias("id"), *data)
-    nodes = nodes.withColumns({k: F.coalesce(F.col(k).try_cast("int"), F.lit(0)) for k in ("start_line", "end_line")})
-    return nodes, rows.where(v.startswith("<edge ")).select(attr("source").alias("src"), attr("target").alias("dst"))
+    def value(column: str) -> Column:
+        own = [k for k, c in names.items() if c == column]
+        found = F.filter("data", lambda x: x["_key"].isin(*own)) if own else F.array().cast("array<struct<_VALUE:string,_key:string>>")
+        return F.coalesce(F.get(found, F.lit(0))["_VALUE"], F.lit(""))
+
+    nodes = rows.select(F.col("_id").alias("id"), *[F.coalesce(value(c).try_cast("int"), F.lit(0)).alias(c) if c in _NUMBERS else value(c).alias(c) for c in ATTRIBUTES.values()])
+    edges = elements("edge", "`_source` string, `_target` string").where("_source is not null")
+    return nodes, edges.select(F.col("_source").alias("src"), F.col("_target").alias("dst"))
 
 
 # ---------------------------------------------------------------- reports and results
@@ -158,6 +201,16 @@ def write_report(reports: DataFrame, folder: str, column: str = "report") -> Non
     reports.select(F.concat(F.col(column), F.lit(f"\n{SEPARATOR}")).alias("value")).write.mode("overwrite").text(folder)
 
 
+def rewrite_report(batch: DataFrame, n: int, folder: str, column: str = "report") -> None:
+    """The report after batch n: what was reported so far and the batch, written as a whole next to the one before, which it then replaces.
+
+    Running a batch again gives the same report, as each batch's part is kept under its number.
+    """
+    spark = batch.sparkSession
+    batch.select(F.col(column).alias("report")).write.mode("overwrite").parquet(f"{folder}/parts/batch={n}")
+    write_report(spark.read.parquet(f"{folder}/parts").orderBy("batch"), f"{folder}/report")
+
+
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """(dir, graph_path, report_path, modified): result folders that hold a graph, newest first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime")
@@ -196,8 +249,12 @@ def graph_memo(spark: SparkSession, folder: str, build) -> tuple[DataFrame, Data
 def project_hashes(files: DataFrame, key: str) -> DataFrame:
     """(key, project_hash): SHA-256 over path, extension and code of the distinct files of each project, breadth first.
 
-    Each file is first reduced to its own digest where it is read, so what is gathered per project is one short row per file.
+    Each file is reduced to its own digest where it is read, every HASH_BLOCK files in order to one digest, and these to the project's:
+    no task holds more than a block, or one short row per block of a project.
     """
     row = files.select(key, F.size(F.split("path", "/")).alias("depth"), "path", F.sha2(F.concat_ws("\x00", F.coalesce("path", F.lit("")), F.coalesce("extension", F.lit("")), F.coalesce("source_code", F.lit(""))), 256).alias("digest")).distinct()
-    return row.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("depth", "path", "digest"))).alias("f")).select(key, F.sha2(F.array_join("f.digest", ""), 256).alias("project_hash"))
+    placed = numbered(row, [key], ["depth", "path", "digest"], "_place").withColumn("_block", F.floor((F.col("_place") - 1) / HASH_BLOCK))
+    joined = lambda at, c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, c))), lambda x: x[c]), ""), 256)
+    blocks = placed.groupBy(key, "_block").agg(joined("_place", "digest").alias("digest"))
+    return blocks.groupBy(key).agg(joined("_block", "digest").alias("project_hash"))
 

@@ -33,7 +33,7 @@ def test_packing_covers_every_line_within_budget():
         parts = chunks.pack(code, ".py", budget)
         assert [n for a, b in parts for n in range(a, b + 1)] == list(range(1, len(code.splitlines()) + 1))
         for a, b in parts:
-            assert a == b or sum(chunks.estimate(x + "\n") for x in code.splitlines()[a - 1:b]) <= budget
+            assert a == b or chunks.estimate("\n".join(code.splitlines()[a - 1:b])) <= budget + (b - a) // 4 + 1
     assert len(chunks.pack(code, ".py", 100, isolate=True)) == 60
     assert chunks.pack("", ".py", 10) == []
 
@@ -165,7 +165,34 @@ def test_graphml_and_memo(spark, tmp_path):
     u = spark.createDataFrame([(1, "/p/a.py", "a", 'x = "<&>"\ny', 1, 2, "f", "g", None)], "unit_id long, path string, name string, source_code string, start_code_line int, end_code_line int, source_name string, target_name string, source_desc string")
     sources.write_graphml(graph.nodes(u), graph.edges(u), str(tmp_path / "g"))
     nodes, edges = sources.read_graphml(spark, str(tmp_path / "g"))
-    assert {r.id: r.source_code for r in nodes.collect()} == {"/p/a.py|f": 'x = "<&>"\ny', "/p/a.py|g": ""} and edges.count() == 1
+    assert {r.id: (r.source_code, r.start_line) for r in nodes.collect()} == {"/p/a.py|f": ('x = "<&>"\ny', 1), "/p/a.py|g": ("", 0)} and edges.count() == 1
+    whole = spark.read.text(str(tmp_path / "g"), wholetext=True).first().value
+    import xml.etree.ElementTree as ET
+
+    assert ET.fromstring(whole.encode()).tag.endswith("graphml")
+    # the usual writer's layout: indented, attributes by key, in another order
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.graphml").write_text("""<?xml version='1.0' encoding='utf-8'?>
+<graphml xmlns="http://graphml.graphdrawing.org/xmlns" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://graphml.graphdrawing.org/xmlns http://graphml.graphdrawing.org/xmlns/1.0/graphml.xsd">
+  <key id="d1" for="node" attr.name="path" attr.type="string" />
+  <key id="d0" for="node" attr.name="source_code" attr.type="string" />
+  <key id="d2" for="node" attr.name="start_code_line" attr.type="long" />
+  <graph edgedefault="directed">
+    <node id="/p/a.py|f">
+      <data key="d1">/p/a.py</data>
+      <data key="d0">def f():
+    g(1) &lt; 2
+</data>
+      <data key="d2">7</data>
+    </node>
+    <node id="/p/a.py|g" />
+    <edge source="/p/a.py|f" target="/p/a.py|g" />
+  </graph>
+</graphml>
+""")
+    nodes, edges = sources.read_graphml(spark, str(tmp_path / "h"))
+    assert {r.id: (r.path, r.source_code, r.start_line) for r in nodes.collect()} == {"/p/a.py|f": ("/p/a.py", "def f():\n    g(1) < 2\n", 7), "/p/a.py|g": ("", "", 0)}
+    assert [(r.src, r.dst) for r in edges.collect()] == [("/p/a.py|f", "/p/a.py|g")]
     calls = []
     build = lambda: (calls.append(1), (graph.nodes(u), graph.edges(u)))[1]
     folder = sources.memo_path(str(tmp_path), "abc", Settings())
@@ -176,6 +203,36 @@ def test_graphml_and_memo(spark, tmp_path):
     assert [(r.dir, r.report_path) for r in found.collect()] == [("/d", "/d/x_report.log")]
 
 
+def test_damaged_files_of_brace_languages_fall_back_to_sections(spark):
+    assert units.extract("func f() {\n", ".go", "a.go") is None and units.extract("class A { void f() { g(; } }\n", ".java", "A.java") is None
+    code = "func f() {\n    g(1)\n}\n\nfunc h() {\n    k(2\n}\n"
+    got = units.extracted(spark.createDataFrame([(1, "/a.go", "a.go", code, ".go", 1), (2, "/b.go", "b.go", "func f( {\n", ".go", 1)], FILES)).collect()
+    assert {(r.file_id, r.source_name, r.target_name, r.status) for r in got} == {(1, "f", "g", "fallback"), (2, None, None, "failed")}
+    review = lambda left: left.select("file_id", F.lit("a<SEP>b<SEP>c<SEP>1-2\nbroken").alias("output"))
+    both = units.all_units(spark.createDataFrame([(1, "/a.go", "a.go", code, ".go", 1), (2, "/b.go", "b.go", "func f( {\n", ".go", 1)], FILES), review)
+    assert {(r.file_id, r.source_name, r.origin) for r in both.collect()} == {(1, "f", "ast"), (2, "a", "llm")}
+
+
+def test_texts_reports_and_chunks_of_files(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("é\nx\n")
+    assert [r.text for r in sources.read_text(spark, str(tmp_path / "t")).collect()] == ["é\nx\n"]
+    for n, r in enumerate(("one", "two", "two")):
+        sources.rewrite_report(spark.createDataFrame([(r,)], "report string"), min(n, 1), str(tmp_path / "r"))
+    assert "".join(r.value for r in spark.read.text(str(tmp_path / "r" / "report"), wholetext=True).collect()).count(reports.SEPARATOR) == 2
+    df = spark.createDataFrame([(1, "/a.py", "a", "x = 1\n" * 50, ".py", 3), (2, "/a.ini", "b", "x = 1\n" * 50, ".ini", 1)], FILES)
+    parts = sources.flattened(df, 10).collect()
+    assert [r.start_line for r in parts if r.file_id == 1] == [3] and len([r for r in parts if r.file_id == 2]) > 3
+    assert {r.file_id for r in sources.flattened(df, 10, "llm").groupBy("file_id").count().where("count > 1").collect()} == {1, 2}
+    assert units.fallback_tokens(None) == 12_000 and units.fallback_tokens(100) == 2_000 and units.fallback_tokens(8000) == 4_000
+
+
+def test_findings_are_ordered_inside_a_section(spark):
+    rows = spark.createDataFrame([(1, 1, "x（低危）"), (1, 2, "y（高危）"), (1, 3, "z（低危）"), (2, 4, "w（中危）")], "section int, ord int, type string")
+    got = reports.finding_order(reports.reviewed(rows, ["high", "medium", "low"]), "section", "ord").collect()
+    assert {r.ord: r.place for r in got} == {2: 1, 1: 2, 3: 3, 4: 1}
+
+
 def test_stream_of_units(spark, tmp_path):
     schema = "unit_id long, path string, name string, source_code string, start_code_line int, end_code_line int, source_name string, target_name string, source_desc string"
     df = spark.createDataFrame([(1, "/p/a.py", "a", "x", 1, 2, "f", "g", None), (2, "/p/a.py", "a", "x", 1, 2, "f", "h", None)], schema)
