@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that the session's spark.checkpoint.dir names and read from there; losing an executor loses none of it."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's spark.checkpoint.dir names."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         if not folder:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("name a shared folder in spark.checkpoint.dir: executors cannot read a folder of the driver's machine")
@@ -17,6 +17,12 @@ def kept(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there; losing an executor loses none of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

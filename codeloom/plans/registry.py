@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import io
 import os
+import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import NO_DEPENDENCY, Settings
 from ..functions import hints, text
-from ..functions.storage import kept
+from ..functions.storage import kept, shared_folder
 from ..operators import chunks, contexts, graph, payloads, reports, reviewer, traversal, units
 from ..sources import files as sources
 from . import sql as S
@@ -578,6 +582,94 @@ def result_discovery(s, d):
     return out.select("dir", F.regexp_replace("graph_path", r"\.graphml$", "").alias("graph_path"), F.regexp_replace("report_path", r"_report\.log$", "").alias("report_path"))
 
 
+# ---------------------------------------------------------------- sources and sinks that queries can reach
+
+def _scratch(s: SparkSession) -> str:
+    return f"{shared_folder(s).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("select path, sha256(source_code) as sha from (select distinct file_id, path, source_code from source_files where source_code is not null) t")
+def zip_ingest(s, d):
+    def zipped(it):
+        for pdf in it:
+            out = []
+            for path, code in zip(pdf.path, pdf.source_code):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w") as z:
+                    z.writestr(path.lstrip("/"), code)
+                out.append((path, raw.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    archives = _files(s, d).where("source_code is not null").select("path", "source_code").mapInPandas(zipped, "path string, content binary")
+    return sources.from_zips(archives).select(F.col("archive").alias("path"), F.sha2("content", 256).alias("sha"))
+
+
+@query(S.GRAPH + "select id, source_name, target_name, descr, start_line, end_line, name, path, md5(source_code) as code_md5 from nodes")
+def graphml_nodes(s, d):
+    folder = _scratch(s)
+    sources.write_graphml(_nodes(s, d), _edges(s, d), folder)
+    n, _ = sources.read_graphml(s, folder)
+    return n.select("id", "source_name", "target_name", "descr", "start_line", "end_line", "name", "path", F.md5("source_code").alias("code_md5"))
+
+
+@query(S.GRAPH + "select src, dst from edges")
+def graphml_edges(s, d):
+    folder = _scratch(s)
+    sources.write_graphml(_nodes(s, d), _edges(s, d), folder)
+    return sources.read_graphml(s, folder)[1]
+
+
+@query(S.GRAPH + "select src, dst, edge_ord from edges")
+def graph_memo(s, d):
+    folder = sources.memo_path(_scratch(s), "graph", DEFAULTS)
+    sources.graph_memo(s, folder, lambda: (_nodes(s, d), _edges(s, d)))
+    return sources.graph_memo(s, folder, lambda: (_ for _ in ()).throw(ValueError("built twice")))[1].select("src", "dst", "edge_ord")
+
+
+@query("""with r as (select distinct repo, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from source_files), f as (select repo, min(dir) as first_dir, max(dir) as last_dir from r group by repo)
+select first_dir as dir from f union select last_dir from f""")
+def latest_first(s, d):
+    rows = table(s, d, "source_files").select("repo", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir")).distinct().groupBy("repo").agg(F.min("dir").alias("a"), F.max("dir").alias("b"))
+    return sources.with_latest(rows.select(F.col("a").alias("dir")).distinct(), rows.select(F.col("b").alias("dir")).distinct())
+
+
+@query(S.FINDINGS + """, t as (select section, count(*) as total, count(*) filter (where fix is null) as failed from f group by section)
+select section, '<审计报告>' || chr(10) || '<结论>审计不完整</结论>' || chr(10) || '<统计>' || chr(10) || '总任务数: ' || total || chr(10) || '失败任务数: ' || failed || chr(10) || '失败率: ' || printf('%.2f', 100.0 * failed / total) || '%' || chr(10) || '阈值: 30.00%' || chr(10) || '</统计>' || chr(10) || '</审计报告>' as report from t""")
+def incomplete_reports(s, d):
+    f = table(s, d, "findings").dropDuplicates(["finding_id"]).groupBy("section").agg(F.count("*").alias("total"), F.count_if(F.col("fix").isNull()).alias("failed"))
+    return f.select("section", reports.incomplete_report(F.col("total"), F.col("failed"), 0.3).alias("report"))
+
+
+@query(S.FINDINGS + f"""select section, finding_id, row_number() over (partition by section order by case {S.SEVERITY} when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end, finding_id) as place
+  from (select *, coalesce(type, '') || '（' || {S.LEVEL} || '）' as t from f) x where {S.SEVERITY} in ('high', 'low')""")
+def review_findings_order(s, d):
+    return reports.finding_order(reports.reviewed(_leveled(s, d), ["high", "low"]), "section", "finding_id").select("section", "finding_id", F.col("place").cast("long").alias("place"))
+
+
+@query("select doc_id, md5(case when length(text) > 4000 then substr(text, 1, 4000) || chr(10) || '...' else text end) as md5 from (select distinct doc_id, text from documents where text is not null) t")
+def raw_truncation(s, d):
+    return _docs(s, d).where("text is not null").select("doc_id", F.md5(text.truncated(F.col("text"))).alias("md5"))
+
+
+@query(S.chunk_budget(reviewer, DEFAULTS))
+def chunk_budget(s, d):
+    exts = s.createDataFrame([(e,) for e in (*DEFAULTS.source_extensions, *DEFAULTS.config_extensions)], "ext string")
+    prompts = exts.select(reviewer.extraction_prompt(F.col("ext")).alias("prompt"))
+    return text.chunk_tokens(prompts, text.input_limit(DEFAULTS.max_input_tokens, None), DEFAULTS.overhead_tokens, DEFAULTS.legacy_chunk_tokens)
+
+
+@query(S.flattened(chunks.BOUNDARIES, 100))
+def flatten_chunks(s, d):
+    rows = sources.flattened(_files(s, d), 100)
+    return rows.select("file_id", "start_line", F.md5("source_code").alias("md5"))
+
+
+@query()
+def dispatch_units(s, d):
+    review = lambda left: left.select("file_id", F.concat_ws(units.SEP, F.coalesce("name", F.lit("file")), F.lit(NO_DEPENDENCY), F.lit("no unit found"), F.lit("1-1")).alias("output"))  # noqa: E731 - stands for the model
+    return units.all_units(_files(s, d).where("source_code is not null"), review)
+
+
 @query("select t.day, repo, count(*) as files from (select date_trunc('day', scanned_at) as day, repo from source_files where scanned_at is not null) t group by 1, 2")
 def arrivals_by_day(s, d):
     from ..streaming import ingest

@@ -88,6 +88,20 @@ def packed(boundaries: dict[str, tuple[str, ...]], budget: int, isolate: bool) -
 select file_id, cast(chunk_no as int) as chunk_no, cast(first + a - 1 as int) as start_line, cast(b - a + 1 as int) as n_lines, {tokens.format(a='a', b='b')} as n_tokens from c join f using (file_id)"""
 
 
+def chunk_budget(reviewer_module, s: Settings) -> str:
+    rule = "case ext " + " ".join(f"when '{e}' then {_quote(r)}" for e, r in reviewer_module.LANGUAGE_RULES.items()) + " end"
+    exts = ", ".join(f"'{e}'" for e in (*s.source_extensions, *s.config_extensions))
+    return f"select cast(min(greatest(128, {s.max_input_tokens} - cast(ceil(length(concat_ws(chr(10), {_quote(reviewer_module.EXTRACT_BASE)}, {rule})) / 4.0) as bigint) - {s.overhead_tokens})) as bigint) as chunk_tokens from (select unnest([{exts}]) as ext) t"
+
+
+def flattened(boundaries: dict[str, tuple[str, ...]], budget: int) -> str:
+    """Files of parsed extensions whole, the others as the chunks of ``packed``."""
+    whole = f"lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]*)$', 1)) in ({', '.join(repr(e) for e in boundaries)})"
+    cut = packed(boundaries, budget, False).rsplit("select file_id, cast(chunk_no as int)", 1)[0]
+    return cut + f"""select file_id, cast(first + a - 1 as int) as start_line, md5(array_to_string(ls[a:b], chr(10))) as md5 from c join f using (file_id) where not {whole}
+union all select file_id, cast(greatest(coalesce(start_line, 1), 1) as int), md5(source_code) from (select distinct file_id, path, start_line, source_code from source_files where length(source_code) > 0) t where {whole}"""
+
+
 def scan_filters(s: Settings) -> str:
     exts = ", ".join(f"'{e}'" for e in (*s.source_extensions, *s.config_extensions))
     parts = ", ".join(f"'{p}'" for p in s.excluded_parts)
