@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running  # noqa: F401 - used by the operators
 from ..functions.storage import kept, spread  # noqa: F401 - used by the operators
 
 LANGUAGE_NAMES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cs": "csharp", ".json": "json", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini"}
@@ -30,41 +29,3 @@ def language(ext: Column) -> Column:
     """The name of an extension's language; the extension itself where it has none here, null where there is no extension."""
     names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
     return F.coalesce(names[ext], F.nullif(ext, F.lit("")))
-
-
-def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """df with the running sum of value (itself included) within keys, in the given order; for groups of any size.
-
-    Rows are range-partitioned and sorted by keys and order, summed within each partition, and every partition's rows are lifted by
-    what the partitions before it hold of the same key.  No group is ever in one task; the offsets are one row per key and partition.
-    """
-    spark = df.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cols = df.columns
-    ordered = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", _within double"
-
-    def sums(it: Iterator) -> Iterator:
-        carry_key, carry = None, 0.0
-        for pdf in it:
-            if not len(pdf):
-                continue
-            key = pdf[keys].astype(object).where(pdf[keys].notna(), None).apply(tuple, axis=1) if keys else None
-            v = pdf[value].astype("float64").fillna(0.0)
-            group = (key != key.shift()).cumsum() if keys else v * 0
-            within = v.groupby(group.to_numpy()).cumsum()
-            if carry_key is not None and (not keys or key.iloc[0] == carry_key):
-                within = within + (group == group.iloc[0]).to_numpy() * carry
-            carry_key, carry = (key.iloc[-1] if keys else ()), float(within.iloc[-1])
-            yield pdf.assign(_within=within)
-
-    summed = kept(ordered.mapInPandas(sums, schema))
-    totals = summed.groupBy("_part", *keys).agg(F.max("_within").alias("_sum"))
-    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0.0)))
-    offsets = offsets.select(F.col("_part").alias("_at"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_before")
-    same = F.col("_part") == F.col("_at")
-    for n, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
-    joined = summed.join(F.broadcast(offsets), same)  # at most partitions x keys rows
-    return joined.select(*cols, (F.col("_within") + F.col("_before")).alias(out))

@@ -7,7 +7,7 @@ taken in order of their keys while their running token sum stays within the budg
 sort with partition offsets, so a source that holds a third of all rows is in no single task.
 
 Null and blank texts are not selected.  A target without texts is reported with share 0; a source without target is left out.
-Texts are not cut, so a share may fall short of its target by less than the shortest text that no longer fits.
+Texts are not cut, so a source falls short of its budget by less than the shortest of its texts that was not taken.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 SEED = 17
-#: Runs through the order of keys; each spends what the one before it had to leave.
-PASSES = 3
 
 
 def plan(available: DataFrame, targets: DataFrame) -> DataFrame:
@@ -52,11 +50,15 @@ def mixture(documents: DataFrame, targets: DataFrame, weights: DataFrame, vocabu
     budgets = F.broadcast(planned.select("source", "epochs", "remainder"))
     ordered = common.running(rows, ["source"], ["key", "doc_id"], "n_tokens", "sum_tokens").join(budgets, "source")
     taken = ordered.withColumn("extra", (F.col("sum_tokens") <= F.col("remainder")).cast("int"))
-    for _ in range(PASSES - 1):
-        # a long text ends the run before its budget is spent: go on behind it with the texts that still fit
-        gap = taken.groupBy("source").agg((F.first("remainder") - F.sum(F.col("extra") * F.col("n_tokens"))).alias("gap"))
-        open_texts = taken.join(F.broadcast(gap), "source")
-        fits = open_texts.where((F.col("extra") == 0) & (F.col("n_tokens") <= F.col("gap"))).select("doc_id", "source", "n_tokens", "key", "gap")
+    taken = common.kept(taken)
+    while True:
+        # a long text ends a run before its budget is spent: go on behind it with the texts that still fit, until none does; what is left
+        # shrinks by a factor with every run, and each takes at least the first of them
+        gap = taken.groupBy("source").agg((F.max("remainder") - F.sum(F.col("extra") * F.col("n_tokens"))).alias("gap"), F.min(F.when(F.col("extra") == 0, F.col("n_tokens"))).alias("least")).where(F.col("least") <= F.col("gap"))
+        gap = common.kept(gap.select("source", "gap"))  # one row per source that is not done
+        if gap.isEmpty():
+            break
+        fits = taken.where(F.col("extra") == 0).join(F.broadcast(gap), "source").where(F.col("n_tokens") <= F.col("gap")).select("doc_id", "source", "n_tokens", "key", "gap")
         more = common.running(fits, ["source"], ["key", "doc_id"], "n_tokens", "sum_more").where(F.col("sum_more") <= F.col("gap")).select("doc_id", F.lit(1).alias("more"))
         taken = common.kept(taken.join(more, "doc_id", "left").withColumn("extra", F.greatest("extra", F.coalesce("more", F.lit(0)))).drop("more"))
     chosen = taken.withColumn("uses", F.col("epochs") + F.col("extra")).where("uses > 0").select("doc_id", "source", "n_tokens", "uses")

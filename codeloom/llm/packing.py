@@ -3,8 +3,8 @@
 Bounded-space online best fit: at most ``OPEN_BINS`` containers are open; an item goes into the open container with the least room
 that still takes it, found in a bitset keyed by free space; if none takes it a new one opens, and when too many are open
 the fullest closes.  Only ids and sizes are packed, never texts.  Items are dealt over shards by a hash, so that every shard closes
-about ``BINS_A_SHARD`` containers: what its last open containers leave unused is then a small share, at any scale, and the number of
-items in one task stays bounded.  An item above the capacity is split into full containers and a rest that is packed like any item.
+about ``BINS_A_SHARD`` containers, or holds about ``ITEMS_A_SHARD`` items if these are tiny or empty: what its last open containers leave
+unused is then a small share, at any scale, and the number of items in one task stays bounded.  An item above the capacity is split into full containers and a rest that is packed like any item.
 
 A null text is in no container; an empty text is an item of size 0.  Rows delivered twice are packed once; the result depends on ids
 and sizes only, not on the order of rows.
@@ -20,6 +20,7 @@ from . import common
 
 OPEN_BINS = 64
 BINS_A_SHARD = 4_000
+ITEMS_A_SHARD = 1_000_000
 #: Profiles are a small table of settings; each item is packed once per profile.
 MAX_PROFILES = 1_000
 
@@ -63,11 +64,11 @@ def containers(sizes: DataFrame, profiles: DataFrame, key: str = "doc_id", open_
     """
     items = sizes.where(F.col("n_tokens").isNotNull()).groupBy(key).agg(F.max("n_tokens").alias("n_tokens"))
     items = common.kept(items)  # ids and sizes; counted once for the shards, read once for the packing
-    total = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")).first().total
+    whole_size = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"), F.count("*").alias("n")).first()
     caps = profiles.where(F.col("capacity_tokens") > 0).groupBy("profile").agg(F.max("capacity_tokens").cast("long").alias("capacity")).orderBy("profile").limit(MAX_PROFILES + 1).collect()
     if len(caps) > MAX_PROFILES:
         raise ValueError(f"more than {MAX_PROFILES} container profiles")
-    shards = {c.profile: max(1, min(1 << 20, total // (c.capacity * BINS_A_SHARD))) for c in caps}
+    shards = {c.profile: max(1, whole_size.total // (c.capacity * BINS_A_SHARD), whole_size.n // ITEMS_A_SHARD) for c in caps}
     each = [F.struct(F.lit(c.profile).alias("profile"), F.lit(c.capacity).cast("long").alias("capacity"), F.lit(shards[c.profile]).cast("long").alias("shards")) for c in caps]
     rows = items.select(key, "n_tokens", F.explode(F.array(*each) if each else F.array().cast("array<struct<profile:string,capacity:bigint,shards:bigint>>")).alias("c")).select(key, "n_tokens", "c.*")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(key), F.col("shards")))

@@ -96,8 +96,8 @@ def cuts(code: str, ext: str, limit: int, overlap: int) -> list[tuple[int, int,
 
 
 def _kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["file_id", "piece_no", "pieces", "start_line", "n_chars", "overlap_chars", "piece"]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    names = ["file_id", "piece_no", "pieces", "start_line", "n_chars", "overlap_chars", "overlap_short", "piece"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
     for b in it:
         rows = []
         for i, ext, code, first, limit, overlap in zip(*(c.to_pylist() for c in b.columns)):
@@ -106,13 +106,18 @@ def _kernel(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (a, begin, end) in enumerate(found):
                 line += code.count("\n", seen, a) if a >= seen else -code.count("\n", a, seen)
                 seen = a
-                rows.append((i, k, len(found), line, end - a, begin - a, code[a:end]))
-        cols = list(zip(*rows)) if rows else [()] * 7
+                # a cut within a line counts that line's beginning as one of the overlap
+                held = code.count("\n", a, begin) + (begin > a and code[begin - 1] != "\n")
+                rows.append((i, k, len(found), line, end - a, begin - a, a > 0 and held < overlap and code.count("\n", 0, begin) > held, code[a:end]))
+        cols = list(zip(*rows)) if rows else [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
 def pieces(files: DataFrame, limits: DataFrame) -> DataFrame:
-    """(file_id, piece_no, pieces, start_line, n_chars, overlap_chars, piece) of every file longer than its limit."""
+    """(file_id, piece_no, pieces, start_line, n_chars, overlap_chars, overlap_short, piece) of every file longer than its limit.
+
+    overlap_short: the lines of the overlap would take more than half of the limit, so the piece shares fewer with the one before.
+    """
     own = limits.where(F.col("extension").isNotNull()).groupBy("extension").agg(F.min("max_chars").alias("max_chars"), F.min_by("overlap_lines", "max_chars").alias("overlap_lines"))
     star = own.where(F.col("extension") == "*").first()  # one row of a table of settings
     other_chars, other_lines = F.lit(star.max_chars if star else None).cast("int"), F.lit(star.overlap_lines if star else None).cast("int")
@@ -121,4 +126,4 @@ def pieces(files: DataFrame, limits: DataFrame) -> DataFrame:
     limit, overlap = F.coalesce(F.col("max_chars"), other_chars), F.coalesce(F.col("overlap_lines"), other_lines, F.lit(0))
     large = joined.where(F.length("source_code") > limit).select("file_id", "ext", "source_code", F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("first"), limit.alias("max_chars"), F.greatest(overlap, F.lit(0)).alias("overlap"))
     large = large.dropDuplicates(["file_id"])  # only oversized files move
-    return large.mapInArrow(_kernel, "file_id long, piece_no int, pieces int, start_line int, n_chars int, overlap_chars int, piece string")
+    return large.mapInArrow(_kernel, "file_id long, piece_no int, pieces int, start_line int, n_chars int, overlap_chars int, overlap_short boolean, piece string")

@@ -1,7 +1,8 @@
 """Problem 4: token budget per source and language, and the token counts the packing and mixing operators use.
 
 Texts above ``CHUNK_CHARS`` are cut only where the tokenizer's own splitting rule cannot join two sides: right before white space that
-follows a character that is none.  Every piece the rule makes is white space, or at most one blank followed by other characters,
+follows a character that is none, between letters and digits, and between either and a sign, unless an apostrophe stands before.  Every
+piece the rule makes is white space, or at most one blank followed by characters of one class, or an apostrophe with a few letters,
 so no piece crosses such a place, and the counts of the parts add up to the count of the whole.  Parts are spread over the
 cluster by (id, part), counted, and summed per text; short texts are counted where they are read and never move.
 
@@ -12,10 +13,10 @@ delivered twice count once.  The vocabulary's path is a parameter.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,12 @@ def encoding(vocabulary: str = VOCABULARY):
     return _ENCODINGS[vocabulary]
 
 
-#: A run without white space is never cut, whatever its length.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Where two sides are independent; a run of characters of one class is one piece of the rule, so there is no such place within it.
+_SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def parts(text: str, size: int = CHUNK_CHARS) -> list[str]:
-    """text in parts of about size characters, cut only before white space that follows another character."""
+    """text in parts of about size characters, cut only at independent places."""
     out, pos = [], 0
     while len(text) - pos > size:
         m = _SAFE.search(text, pos + size)
@@ -118,7 +119,7 @@ def budget(files: DataFrame, documents: DataFrame, repos: DataFrame, vocabulary:
 
     pieces = large.mapInArrow(cut, f"{fields}, part int, piece string").dropDuplicates(["kind", "id", "part"]).repartition("kind", "id", "part")
     summed = pieces.mapInArrow(_counter(vocabulary), f"{fields}, part int, n_tokens long").groupBy("kind", "id", "slice", "language").agg(F.sum("n_tokens").alias("n_tokens"))
-    once = short.unionByName(summed).groupBy("kind", "id").agg(F.first("slice").alias("slice"), F.first("language").alias("language"), F.max("n_tokens").alias("n_tokens"))
+    once = short.unionByName(summed).groupBy("kind", "id").agg(F.min(F.struct("slice", "language")).alias("s"), F.max("n_tokens").alias("n_tokens")).select("kind", "id", "s.*", "n_tokens")
     totals = once.groupBy("kind", "slice", "language").agg(F.count("*").alias("records"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
     domains = repos.groupBy("repo").agg(F.max("repo_domain").alias("domain"))
     return totals.join(domains, (totals["slice"] == domains["repo"]) & (totals["kind"] == "code"), "left").select("kind", "slice", "domain", "language", "records", "tokens")

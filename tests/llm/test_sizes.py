@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from codeloom.llm import mixing, packing, prose, splitting, tokens
 
-LETTERS = st.text(st.sampled_from("ab c\n\t 1é中'\u00a0\u2003.-_s"), max_size=300)
+LETTERS = st.text(st.sampled_from("ab c\n\t 1é中'\u00a0\u2003.-_s²Ⅷ٣tl'"), max_size=300)
 
 
 @settings(max_examples=150, deadline=None)
@@ -16,6 +16,13 @@ def test_parts_add_up(text, size):
     assert "".join(cut) == text and sum(len(enc.encode_ordinary(p)) for p in cut) == len(enc.encode_ordinary(text))
 
 
+def test_text_without_blanks_is_cut():
+    enc = tokens.encoding()
+    for text in ("a1" * 50_000, "QUJDREVGR0g5+/x0" * 8_000, "f(a,b);" * 20_000):
+        cut = tokens.parts(text, 10_000)
+        assert len(cut) > 5 and max(map(len, cut)) < 10_100 and sum(len(enc.encode_ordinary(p)) for p in cut) == len(enc.encode_ordinary(text))
+
+
 def test_counts(spark):
     long_text = "word and more\n" * 9000
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, ""), (3, None), (4, long_text), (4, long_text), (None, "x")], "id long, text string")
@@ -71,7 +78,9 @@ def test_overlap_and_lines(spark):
     for r in one:
         first = int(r.piece.split("\n")[0].split()[1])
         assert r.start_line == first + 5 and (r.piece_no == 0 or r.overlap_chars == len("".join(f"line {k}\n" for k in (first, first + 1))))
-    assert "".join(r.piece[r.overlap_chars:] for r in one) == code
+    assert "".join(r.piece[r.overlap_chars:] for r in one) == code and not any(r.overlap_short for r in one)
+    wide = splitting.pieces(spark.createDataFrame([(7, ("x" * 40 + "\n") * 9, ".py", "/a.py", 1, None)], files.schema), limits).collect()
+    assert len(wide) > 1 and all(r.overlap_short == (r.piece_no > 0) for r in wide)
     assert splitting.pieces(files.limit(0), limits).count() == 0 and splitting.pieces(files, limits.limit(0)).count() == 0
 
 
@@ -133,6 +142,20 @@ def test_containers(spark):
 
 # ---------------------------------------------------------------- mixing
 
+def test_budgets_are_spent_while_a_text_fits(spark):
+    r = random.Random(4)
+    rows = [(k, " ".join(["word"] * r.choice((3, 50, 400)) + [f"n{k}"]), "a" if k % 2 else "b") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    chosen, plan = mixing.mixture(docs, targets, spark.createDataFrame([], "doc_id long, weight double"))
+    got = chosen.collect()
+    sizes = {x.doc_id: x.n_tokens for x in tokens.counts(docs, "doc_id", "text").collect()}
+    for p in plan.collect():
+        used = sum(x.n_tokens * x.uses for x in got if x.source == p.source)
+        left = [n for k, n in sizes.items() if ("a" if k % 2 else "b") == p.source and k not in {x.doc_id for x in got}]
+        assert used <= p.budget and (not left or min(left) > p.budget - used)
+
+
 def test_mixture(spark):
     rows = [(k, f"text number {k} with some words", "Big") for k in range(600)] + [(1000 + k, f"small text {k} here", "small") for k in range(20)]
     rows += [(5000, "small text 3 here", "small"), (5001, None, "small"), (5002, "  ", "small"), (5003, "other text", None), (5004, "x y z", "untargeted")]
