@@ -41,7 +41,10 @@ MIN_OWNERS, OWNER_SHARE = 24, 0.25
 ANCHOR_BITS = 1 << 24
 IDLE_WORDS = 500_000
 
-_TOKEN = re.compile(r"[^\s\"'`<>(),;\[\]{}|\\\x00-\x1f]{6,}")
+# Words between blanks, quotes and brackets; plain names (small letters and joints, or letters, and a number) and words without digits and signs are passed over, not captured.
+_BREAK = r"\s\"'`<>(),;\[\]{}|\\\x00-\x1f"
+_SIGNS = "!@#$%^&*~+?"
+_WORD = re.compile(rf"(?=[A-Za-z])(?:[a-z]++[_.])*+[A-Za-z]*+\d{{0,5}}+(?![^{_BREAK}])|([^{_BREAK}\d]*+\d[^{_BREAK}]*+)|([^{_BREAK}{_SIGNS}]*+[{_SIGNS}][^{_BREAK}]*+)|[^{_BREAK}]++")
 _JOIN = re.compile(r"([\"'])[ \t]*[+.&][ \t]*\1|\"[ \t]+\"")
 _DIGIT = re.compile(r"\d")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----((?:[^-]|-(?!----))*)")
@@ -143,60 +146,67 @@ def candidates(code: str) -> list[tuple[str, int, int]]:
                 out.append((m.group()[:64] + _PEM_BODY.search(body)[0][:64], code.count("\n", 0, m.start()) + 1, 1))
     if "-----BEGIN" in code:
         code = re.sub(r"-----BEGIN [A-Z0-9 ]+-----[\s\S]*?(?:-----END [A-Z0-9 ]+-----|\Z)", lambda m: "\n" * m.group().count("\n"), code)
-    lines = code.split("\n")
-    for n, line in enumerate(lines):
-        if len(line) < 8 or not (_QUICK.search(line) if _DIGIT.search(line) else False) and "://" not in line and not _SIGN.search(line):
+    joined = _JOIN.sub("", code)  # joints of strings hold no line end
+    n = counted = begin = 0
+    for m in _WORD.finditer(joined):
+        k = m.lastindex
+        if k is None:
             continue
-        joined = _JOIN.sub("", line) if '" ' in line or "' " in line or '".' in line or "'." in line or '"+' in line or "'+" in line else line
-        for m in _TOKEN.finditer(joined):
-            v = m.group()
-            a = m.start()
-            if "://" in v and (u := _URL.search(v)):
-                if not _PLACEHOLDER.search(u[1]) and not _REFERENCE.search(u[1]) and not re.match(r"[A-Z_]+$", u[1]):
-                    out.append((v, n + 1, 1))
-                continue
-            if not _DIGIT.search(v):
-                before = joined[max(0, a - 400):a]
-                if before[-1:] in ("\"", "'", "`") and signed(v) and _ASSIGNED.search(before) and _named(before):
-                    out.append((v, n + 1, 1))
-                continue
-            before = joined[max(0, a - 400):a]
-            if (k := _ATTACHED.match(v)) and _CLIENT.search(before) and structured(k[1]):
-                out.append((k[1], n + 1, 1))
-                continue
-            if before.endswith("//") and not before.strip("/ "):
-                continue
-            if before.endswith(("Basic ", "basic ")) and _basic(v):
+        v = m[k]
+        if len(v) < 6:
+            continue
+        a = m.start()
+        if (last := joined.rfind("\n", counted, a)) >= 0:
+            n += joined.count("\n", counted, a)
+            begin = last + 1
+        counted = a
+        if "://" in v and (u := _URL.search(v)):
+            if not _PLACEHOLDER.search(u[1]) and not _REFERENCE.search(u[1]) and not re.match(r"[A-Z_]+$", u[1]):
                 out.append((v, n + 1, 1))
-                continue
-            if _USER.search(before) and ":" in v and structured(v.split(":", 1)[1]):
+            continue
+        if not _DIGIT.search(v):
+            before = joined[max(begin, a - 400):a]
+            if before[-1:] in ("\"", "'", "`") and signed(v) and _ASSIGNED.search(before) and _named(before):
                 out.append((v, n + 1, 1))
-                continue
-            cut = v
-            # name=value and name:value without quotes
-            if (k := re.match(r"([\w.-]*[A-Za-z][\w.-]*)(?:=|:|：|->|=>)+(?=\S{6,})", v)) and not _URL.search(v) and _NAME.search(k[1]):
-                before, cut = before + k.group(), v[k.end():]
-            elif (k := re.match(r"[\"'：:=>-]+", v)):
-                before, cut = before + k.group(), v[k.end():]
-            cut = cut.strip("：").rstrip(".:,!?") if not _HEX.match(cut) else cut
-            if not cut or not structured(cut) and not ((before and before[-1] in "\"'`" or cut is not v or _REMARK.search(before)) and mixed(cut)):
-                continue
-            if _FORM.match(cut):
-                own = _ASSIGNED.search(before)
-                out.append((cut, n + 1, int(not own or not _PUBLIC.search(own[1]))))
-                continue
-            if not before.strip("\"'` \t(") and n and re.search(r"[=(:,+>|{]\s*$", lines[n - 1]):
-                before = lines[n - 1].strip()[-120:] + " " + before.strip()
-            strong = _named(before) or bool(_LOGIN.search(before)) or bool(_PASS_FLAG.search(before)) or bool(re.search(r"(?i)\bbearer\s+$", before))
-            if strong or structured(cut) and before[-1:] in "\"'`" and before or _HEX.match(cut):
-                out.append((cut, n + 1, int(strong)))
+            continue
+        before = joined[max(begin, a - 400):a]
+        if (k := _ATTACHED.match(v)) and _CLIENT.search(before) and structured(k[1]):
+            out.append((k[1], n + 1, 1))
+            continue
+        if before.endswith("//") and not before.strip("/ "):
+            continue
+        if before.endswith(("Basic ", "basic ")) and _basic(v):
+            out.append((v, n + 1, 1))
+            continue
+        if _USER.search(before) and ":" in v and structured(v.split(":", 1)[1]):
+            out.append((v, n + 1, 1))
+            continue
+        cut = v
+        # name=value and name:value without quotes
+        if (k := re.match(r"([\w.-]*[A-Za-z][\w.-]*)(?:=|:|：|->|=>)+(?=\S{6,})", v)) and not _URL.search(v) and _NAME.search(k[1]):
+            before, cut = before + k.group(), v[k.end():]
+        elif (k := re.match(r"[\"'：:=>-]+", v)):
+            before, cut = before + k.group(), v[k.end():]
+        cut = cut.strip("：").rstrip(".:,!?") if not _HEX.match(cut) else cut
+        if not cut or not structured(cut) and not ((before and before[-1] in "\"'`" or cut is not v or _REMARK.search(before)) and mixed(cut)):
+            continue
+        if _FORM.match(cut):
+            own = _ASSIGNED.search(before)
+            out.append((cut, n + 1, int(not own or not _PUBLIC.search(own[1]))))
+            continue
+        if begin and not before.strip("\"'` \t("):
+            above = joined[joined.rfind("\n", 0, begin - 1) + 1:begin - 1]
+            if re.search(r"[=(:,+>|{]\s*$", above):
+                before = above.strip()[-120:] + " " + before.strip()
+        strong = _named(before) or bool(_LOGIN.search(before)) or bool(_PASS_FLAG.search(before)) or bool(re.search(r"(?i)\bbearer\s+$", before))
+        if strong or structured(cut) and before[-1:] in "\"'`" and before or _HEX.match(cut):
+            out.append((cut, n + 1, int(strong)))
     return out
 
 
 _SIGN = re.compile(r"[A-Za-z][!@#$%^&*~+?][A-Za-z]")
 _ASSIGNED = re.compile(r"([\w.-]+)[\"'\])]*\s*(?:=>|->|:=|[=:])\s*[\"'`(@$]*$")
 _REMARK = re.compile(r"(?:^|\s)(?:#|//|/\*|\*|--|<!--|;)(?=\s)")
-_QUICK = re.compile(r"[A-Za-z+/=_.!%$#@&~^*-]\d|\d[A-Za-z+=_.!%$#@&~^*-]|PRIVATE KEY")
 
 
 def _index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +365,11 @@ def _bitmap(bits: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _words(text: str) -> set[str]:
+    """The words of text that may hold a secret: every secret has a digit or a sign and is no plain name."""
+    return {a or b for a, b in _WORD.findall(text)} - {""}
+
+
 def _sifted(files: DataFrame, known: DataFrame) -> DataFrame:
     """(file_id, line_no, word, anchor) of every word of every file that may hold a secret, with the anchor of that secret."""
     shared = files.sparkSession.sparkContext.broadcast(_bitmap(known.select("bit")))
@@ -367,14 +382,15 @@ def _sifted(files: DataFrame, known: DataFrame) -> DataFrame:
                 if len(idle) > IDLE_WORDS:
                     idle.clear()
                 held = {}
-                for w in set(_TOKEN.findall(_JOIN.sub("", code))) - idle:
+                joined = _JOIN.sub("", code)
+                for w in _words(joined) - idle:
                     hits = {k for k in anchors(w) if bits[(n := _bit(k)) >> 3] >> (n & 7) & 1}
                     if hits:
                         held[w] = hits
                     else:
                         idle.add(w)
                 if held:
-                    rows += [(i, n, w, k) for n, line in enumerate(code.split("\n"), 1) for w in set(_TOKEN.findall(_JOIN.sub("", line))) if w in held for k in held[w]]
+                    rows += [(i, n, w, k) for n, line in enumerate(joined.split("\n"), 1) for w in _words(line) if w in held for k in held[w]]
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["file_id", "line_no", "word", "anchor"])
 
