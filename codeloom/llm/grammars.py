@@ -48,7 +48,7 @@ class Rules(dict):
 class Grammar:
     """kinds: bracket -> {kind: list-of-items expression or None}; statement kinds are matched one after the other."""
 
-    def __init__(self, rules: Rules, keywords: str, blocks: dict[str, str], groups: dict[str, dict[str, str]], newlines: bool = False):
+    def __init__(self, rules: Rules, keywords: str, blocks: dict[str, str], groups: dict[str, dict[str, str]], newlines: bool = False, no_object: str = ";", no_members: str = ""):
         self.keywords, self.newlines = keywords.split(), newlines
         #: kind -> (expression of one item, expression of what may stand before the closing bracket without terminator)
         head = "(?(DEFINE)" + "".join(f"(?<{k}>{rx(v)})" for k, v in (_RULES | rules).items()) + ")"
@@ -57,6 +57,8 @@ class Grammar:
         self.groups = {b: {k: build(x) for k, x in kinds.items()} for b, kinds in groups.items()}
         #: statements that end where they seem to end are looked up by their form; others are matched in place
         self.piece = [re.compile(x) for x in ([r"[^;\n]*(?:[;\n]|\Z)"] if newlines else [r"[^;\ue400-\ue7ff]*(?:;|[\ue400-\ue7ff](?=(?!catch|finally|while)[\w@~]|\Z))", r"[^;]*;"])]
+        #: what tells at a glance that a block is no object or initializer, and no list of members (where keywords are no names)
+        self.no_object, self.no_members = no_object and re.compile(no_object), no_members and re.compile(no_members)
         self.pieces: dict[str, dict[str, bool]] = {k: {} for k in blocks}
         self.memo: dict[str, str] = {}
 
@@ -86,8 +88,12 @@ class Grammar:
             return ""
         if opening != "{" or not self.newlines:
             body = body.replace("\n", "")
-        mask = 0
+        mask, never = 0, ""
+        if opening == "{":
+            never = ("O" if self.no_object and self.no_object.search(body) else "") + ("KUX" if self.no_members and self.no_members.search(body) else "")
         for kind, bit in KINDS[opening].items():
+            if kind in never:
+                continue
             flat = self.groups[opening].get(kind)
             if flat and flat.fullmatch(body.replace("\n", "") if kind in "ON" else body) or opening == "{" and kind in self.blocks and self.sequence(kind, body):
                 mask |= bit
@@ -125,6 +131,10 @@ _ASSIGN = r"(?:[-+*/%&|^.]|\*\*|<<|>>>?|&&|\|\||\?\?)?="
 _BINARY = r"(?:===?|!==?|<=>|<=|>=|&&|\|\||\?\?|<<|>>>?|[-+*/%&|^<>])"
 
 
+#: A call of a member as a statement, which no list of members holds.
+_CALL = r"(?:^|[;\ue400-\ue7ff])i(?:(?:\.|->)i)+[\ue000-\ue03f];"
+
+
 def _java() -> Grammar:
     rule = Rules()
     gen = rule("gen", r"(?:<[i,.?<>&\[\] ]*(?:(?:extends|super) [i,.?<>&]*)*>)?")
@@ -150,7 +160,7 @@ def _java() -> Grammar:
         r"public private protected static final abstract synchronized native transient volatile default strictfp sealed(?=\s+\w) non-sealed class interface enum record(?=\s+\w+\s*[(<]) extends implements permits(?=\s+\w) new return if else while for do switch case break continue try catch finally throw throws import package instanceof assert super",
         {"B": stmt, "K": member, "S": rf"(?:{case}|{stmt}|{ex};)", "U": rx(rf"(?:{ann}i«A»?«K»?(?:,|;|\Z)|{member})"), "T": top},
         {"(": {"A": rf"(?:{ex}(?:,{ex})*)?|(?:(?:final )?{typ}{_GAP}i={ex};?)+", "E": rf"{ex}|{typ}(?:&{typ})*", "P": rf"(?:{param}(?:,{param})*)?", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex})?;(?:{ex}(?:,{ex})*)?|(?:final )?{typ}{_GAP}i:{ex}"},
-         "{": {"O": rx(rf"(?:(?:«O»|{ex})(?:,(?:«O»|{ex}))*,?)?")}, "[": {"I": ex, "D": ""}})
+         "{": {"O": rx(rf"(?:(?:«O»|{ex})(?:,(?:«O»|{ex}))*,?)?")}, "[": {"I": ex, "D": ""}}, no_members=_CALL + r"|\b(?:return|if|else|for|while|do|break|continue)\b")
 
 
 def _cs() -> Grammar:
@@ -180,7 +190,7 @@ def _cs() -> Grammar:
         {"B": stmt, "K": member, "X": top, "S": rf"(?:(?:case {ex}(?:when {ex})?|default):|{stmt})", "T": prog},
         {"(": {"A": rf"(?:(?:i:)?(?:(?:ref|out|in) )?(?:{typ}{_GAP}i(?:={ex})?|{ex})(?:,(?:i:)?(?:(?:ref|out|in) )?(?:{typ}{_GAP}i|{ex}))*)?", "E": rf"{ex}|{typ}", "P": rf"(?:{param}(?:,{param})*)?|i(?:,i)*", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex})?;(?:{ex}(?:,{ex})*)?|(?:{typ}|var){_GAP}(?:i|{_SETS['«A»']}) ?in ?{ex}", "T": rf"{typ}(?:{_GAP}i)?(?:,{typ}(?:{_GAP}i)?)+"},
          "{": {"O": rx(rf"(?:(?:«O»|(?:i|«I»)=«O»|{ex}(?:=>{ex})?)(?:,(?:«O»|(?:i|«I»)=«O»|{ex}(?:=>{ex})?))*,?)?"), "U": rx(rf"(?:{att}i(?:={ex})?(?:,{att}i(?:={ex})?)*,?)?")},
-         "[": {"I": rf"(?:{ex}(?:\.\.(?:{ex})?)?|\.\.(?:{ex})?)(?:,{ex})*,?", "D": r",*", "Z": rf"(?:i:)?.*|{param}"}})
+         "[": {"I": rf"(?:{ex}(?:\.\.(?:{ex})?)?|\.\.(?:{ex})?)(?:,{ex})*,?", "D": r",*", "Z": rf"(?:i:)?.*|{param}"}}, no_members=_CALL + r"|\b(?:return|if|else|for|while|do|break|continue|foreach|goto)\b")
 
 
 def _c(cpp: bool) -> Grammar:
@@ -226,7 +236,10 @@ def _c(cpp: bool) -> Grammar:
         key, {"B": stmt, "K": items, "X": items, "T": items},
         {"(": {"A": rf"(?:(?:{ex}|{typ}{ptr})(?:,(?:{ex}|{typ}{ptr}))*)?", "E": rf"{ex}(?:,{ex})*|{decl}|{typ}{ptr}|\*+(?:const )?i?|[*&]i(?:{_SETS['«I»']})*" + (r"|\.\.\." if cpp else ""), "P": rf"(?:{param}(?:,{param})*)?|void", "F": rf"(?:{decl}|{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?" + (rf"|{typ}{ptr} ?(?:i|{_SETS['«I»']}|{_SETS['«Z»']}):{ex}|{decl};{ex}" if cpp else "")},
          "{": {"O": rf"(?:{field}(?:,{field})*,?)?", "U": rf"(?:i(?:={ex})?(?:,i(?:={ex})?)*,?)?"},
-         "[": {"I": rf"(?:static )?{ex}", "D": "", **({"Z": r"(?:[=&*i,.]|this|\ue800)*" + chr(0) + "?"} if cpp else {})}})
+         "[": {"I": rf"(?:static )?{ex}", "D": "", **({"Z": r"(?:[=&*i,.]|this|\ue800)*" + chr(0) + "?"} if cpp else {})}}, no_members=_CALL + r"|\b(?:return|if|else|for|while|do|break|continue|goto)\b")
+
+
+_SCRIPT = r"\breturn [^=]|\b(?:var|let|const) i|(?:^|[;\n])i\.i"
 
 
 def _js(ts: bool) -> Grammar:
@@ -278,7 +291,7 @@ def _js(ts: bool) -> Grammar:
         {"B": stmt, "K": member, "S": rf"\n*(?:(?:case ?{comma}|default):|{stmt})", "T": stmt},
         {"(": {"A": rf"(?:{ex}(?:,{ex})*,?)?", "E": comma, "P": rf"(?:{param}(?:,{param})*,?)?", "F": rf"(?:{var}|{comma})?;(?:{comma})?;(?:{comma})?|(?:(?:const|let|var) ?)?{pat}{ann} ?(?:of|in|i) ?{ex}", **({"Q": typ} if ts else {})},
          "{": {"O": rf"(?:{prop}(?:,{prop})*,?)?" + (f"|{tobj}" if ts else ""), "N": rf"(?:(?:type )?(?:i|default|s)(?: as (?:i|default)| i (?:i|default))?(?:[:]{pat}|={ex})?(?:,(?:type )?(?:i|default|\.\.\.i)(?: as (?:i|default)| i (?:i|default))?(?::{pat})?(?:={ex})?)*,?)?", **({"U": rf"(?:(?:i|s)(?:={ex})?(?:,(?:i|s)(?:={ex})?)*,?)?"} if ts else {})},
-         "[": {"I": rf",*(?:{ex}(?:,+{ex})*,*)?" + (f"|{typ}(?:,{typ})*" if ts else ""), "D": "", **({"Z": rf"i(?::| in ?){typ}"} if ts else {})}}, newlines=True)
+         "[": {"I": rf",*(?:{ex}(?:,+{ex})*,*)?" + (f"|{typ}(?:,{typ})*" if ts else ""), "D": "", **({"Z": rf"i(?::| in ?){typ}"} if ts else {})}}, newlines=True, no_object=_SCRIPT if ts else ";", no_members=_SCRIPT)
 
 
 def _php() -> Grammar:
@@ -305,7 +318,7 @@ def _php() -> Grammar:
         {"B": stmt, "K": member, "S": rf"(?:(?:case ?{ex}|default)[:;]|{stmt})", "T": stmt},
         {"(": {"A": args + rf"|{kv}(?:,{kv})*,?|(?:,*&?v)+", "E": rf"{ex}|i", "P": rf"(?:{param}(?:,{param})*,?)?|{name}(?:\|{name})*(?: ?v)?", "F": rf"(?:{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?;(?:{ex}(?:,{ex})*)?|{ex} as (?:&?{ex}=>)?&?{ex}|{ex} ?as ?(?:&?{ex}=>)?&?{ex}"},
          "{": {"O": rf"(?:(?:default|{ex}(?:,{ex})*)=>{ex}(?:,(?:default|{ex}(?:,{ex})*)=>{ex})*,?)?|{ex}", "N": rf"{name}(?: as i)?(?:,{name}(?: as i)?)*"},
-         "[": {"I": rf"(?:,*(?:{kv}|\.\.\.{ex}))*,?"}})
+         "[": {"I": rf"(?:,*(?:{kv}|\.\.\.{ex}))*,?"}}, no_members=r"(?:^|[;\ue400-\ue7ff])(?:v[-=\[]|return[ ;]|echo |i[-];|(?:if|foreach|for|while|switch)[-])")
 
 
 def _go() -> Grammar:
@@ -339,7 +352,7 @@ def _go() -> Grammar:
         {"B": stmt, "K": rx(rf"\n*(?:\n+|;|i(?:,i)* ?{typ}(?: ?s)?{end}|\*?i(?:\.i)?(?: ?s)?{end}|i«P»{res}{end}|~?{typ}(?:\|~?{typ})*{end})"), "S": rf"\n*(?:(?:case ?(?:{simple}|{lst}|{typ}(?:,{typ})*)|default):|{stmt})", "T": top},
         {"(": {"A": rf"(?:(?:{lst}|{typ}(?:,{lst})?)(?:\.\.\.)?,?)?", "E": rf"{ex}|type|{typ}", "P": rf"(?:{param}(?:,{param})*,?)?", "Q": rf"(?:;?(?:(?:i |\.)?s|{spec}|{tspec}|i))*;?"},
          "{": {"O": rf"(?:{item}(?:,{item})*,?)?"},
-         "[": {"I": rf"(?:{ex})?(?::(?:{ex})?){{0,2}}|{typ}(?:,{typ})*|\.\.\.", "D": "", "Z": r"i(?:,i)* ?[i|~.,* ]*"}}, newlines=True)
+         "[": {"I": rf"(?:{ex})?(?::(?:{ex})?){{0,2}}|{typ}(?:,{typ})*|\.\.\.", "D": "", "Z": r"i(?:,i)* ?[i|~.,* ]*"}}, newlines=True, no_object=r":=|\b(?:return|if|for|go|defer|var|const|break|continue|goto|switch|select)\b", no_members=r":=|\b(?:return|if|for|go|defer|break|continue|goto|switch)\b")
 
 
 _BUILT: dict[str, Grammar] = {}
