@@ -25,6 +25,7 @@ SEP = "<SEP>"
 
 # ---------------------------------------------------------------- imports
 
+# The patterns below say what counts as an import in each language.
 def import_targets(ext: Column, raw: Column) -> Column:
     """'import:x' of every import in a line of code, by language; null for other languages."""
     flat = F.btrim(F.regexp_replace(raw, r"\s+", " "))
@@ -51,6 +52,13 @@ IMPORT_LINES = {
 }
 
 
+#: Import statements that may run over lines.
+LONG_IMPORTS = {".py": r"(?m)^[ \t]*from\s+[\w.]+\s+import\s*\([^)]*\)", ".js": r"(?m)^[ \t]*import\s+[^'\";()]*?\s+from\s+['\"][^'\"]+['\"]"}
+
+#: The first line of such a statement, which alone says nothing.
+OPEN_IMPORT = r"^from\s[^(]*\([^)]*$"
+
+
 def imports(files: DataFrame) -> DataFrame:
     """(file_id, target): every import of every file."""
     ext = text.suffix(F.col("path"))
@@ -58,7 +66,11 @@ def imports(files: DataFrame) -> DataFrame:
     for e, p in IMPORT_LINES.items():
         is_import = F.when(F.col("ext") == e, F.col("line").rlike(p)).otherwise(is_import)
     rows = files.select("file_id", ext.alias("ext"), "source_code").where(F.col("ext").isin(*PARSED_EXTENSIONS) & F.col("source_code").isNotNull())
-    rows = rows.select("file_id", "ext", F.explode(F.filter(F.transform(text.lines(F.col("source_code")), lambda c: F.btrim(c)), lambda c: c != "")).alias("line")).where(is_import)
+    rows = rows.select("file_id", "ext", text.lines(F.col("source_code")).alias("ls"))
+    whole = F.array_join("ls", "\n")
+    over_lines = F.when(F.col("ext") == ".py", F.regexp_extract_all(whole, F.lit(LONG_IMPORTS[".py"]), F.lit(0))).when(F.col("ext").isin(".js", ".ts"), F.regexp_extract_all(whole, F.lit(LONG_IMPORTS[".js"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    over_lines = F.transform(F.filter(over_lines, lambda c: c.contains("\n")), lambda c: F.regexp_replace(c, "#[^\n]*", ""))
+    rows = rows.select("file_id", "ext", F.explode(F.filter(F.transform(F.concat("ls", over_lines), lambda c: F.btrim(c)), lambda c: c != "")).alias("line")).where(is_import & ~((F.col("ext") == ".py") & F.col("line").rlike(OPEN_IMPORT)))
     return rows.select("file_id", F.explode(import_targets(F.col("ext"), F.col("line"))).alias("target")).distinct()
 
 

@@ -134,10 +134,10 @@ def path_summary(s, d):
     return rows.select("root", "target", *[F.col(c).cast("long").alias(c) for c in traversal.COUNTS])
 
 
-@query()
+@query(S.INBOUND)
 def inbound_paths_depth3(s, d):
     p, e = _prioritised(s, d)
-    return traversal.directed_paths(p, e, 3, reverse=True)
+    return traversal.directed_paths(p, e, 3, reverse=True).select("root", "target", F.col("n_nodes").cast("long").alias("n_nodes"), "chain", *[F.col(c).cast("long").alias(c) for c in traversal.COUNTS], "priority")
 
 
 @query(S.RANKED + "select root, rank, kind, array_to_string(nodes, ' -> ') as chain, value as priority from ranked")
@@ -276,7 +276,7 @@ def candidate_floor(s, d):
     return payloads.with_floor(rows).select("id", "score", "relaxed")
 
 
-@query()
+@query(S.DEDUP_BOTH)
 def payload_dedup_both(s, d):
     n = _nodes(s, d)
     ctx = _contexts(*_context_nodes(s, d), None).select(F.col("root").alias("id"), "nodes", payloads.signature(F.col("payload")).alias("payload_sig"))
@@ -513,7 +513,7 @@ def run_summary(s, d):
 @query()
 def reviewer_stub(s, d):
     rows = _units(s, d).dropDuplicates(["unit_id"]).select("unit_id", F.col("source_code").alias("payload"))
-    return reviewer.reviewed(rows, "unit_id", limit_tokens=2000)
+    return reviewer.reviewed(rows, "unit_id", concurrency=4 * s.sparkContext.defaultParallelism, limit_tokens=2000)  # the stub asks nobody
 
 
 # ---------------------------------------------------------------- prompts and views

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..config import NO_DEPENDENCY, Settings
 from ..functions import hints
 from ..operators import reviewer
+from ..operators.units import LONG_IMPORTS, OPEN_IMPORT
 
 GRAPH = """with u as (select distinct * from code_units where path is not null and source_name is not null and target_name is not null),
   src as (select path || '|' || source_name as id, * from u), tgt as (select path || '|' || target_name as id, * from u),
@@ -63,6 +64,22 @@ PATHS = HINTS + """, one as (select src as root, dst as target, [src, dst] as no
 """
 
 
+# Level by level against the edges, each node at its distance; ties go to the first neighbour by priority and name, then to the second.
+INBOUND = HINTS + """, e as (select distinct src, dst from edges where src <> dst),
+  lv1 as (select dst as root, src as t from e),
+  lv2 as (select distinct a.root, e.src as t from lv1 a join e on e.dst = a.t where e.src <> a.root and not exists (select 1 from lv1 x where x.root = a.root and x.t = e.src)),
+  lv3 as (select distinct a.root, e.src as t from lv2 a join e on e.dst = a.t where e.src <> a.root and not exists (select 1 from lv1 x where x.root = a.root and x.t = e.src) and not exists (select 1 from lv2 x where x.root = a.root and x.t = e.src)),
+  cand as (select root, t as target, [t, root] as nodes, cast(null as varchar) as v1, cast(null as varchar) as v2 from lv1
+    union all select b.root, b.t, [b.t, a.t, b.root], a.t, null from lv2 b join e on e.src = b.t join lv1 a on a.root = b.root and a.t = e.dst
+    union all select c.root, c.t, [c.t, b.t, a.t, c.root], a.t, b.t from lv3 c join e on e.src = c.t join lv2 b on b.root = c.root and b.t = e.dst join e f on f.src = b.t join lv1 a on a.root = c.root and a.t = f.dst),
+  steps as (select *, unnest(nodes) as id from cand),
+  sums as (select root, target, nodes, v1, v2, sum(input_count) as ic, sum(sink_count) as sc, sum(validation_count) as vc, sum(safety_count) as fc, sum(priority) as pr from steps join prio using (id) group by 1, 2, 3, 4, 5),
+  valued as (select *, 80 * (ic > 0)::int + 100 * (sc > 0)::int + 180 * (ic > 0 and sc > 0)::int + 140 * (ic > 0 and sc > 0 and vc = 0 and fc = 0)::int + 40 * sc + 25 * ic + 8 * vc + 5 * fc + 10 * len(nodes) + pr as value from sums),
+  placed as (select v.*, row_number() over (partition by v.root, v.target order by value desc, p.priority desc nulls last, encode(v1) nulls last, q.priority desc nulls last, encode(v2) nulls last) as rn from valued v left join prio p on p.id = v1 left join prio q on q.id = v2)
+select root, target, cast(len(nodes) as bigint) as n_nodes, array_to_string(nodes, ' -> ') as chain, cast(ic as bigint) as input_count, cast(sc as bigint) as sink_count, cast(vc as bigint) as validation_count, cast(fc as bigint) as safety_count, cast(value as bigint) as priority from placed where rn = 1
+"""
+
+
 def sections(boundaries: dict[str, tuple[str, ...]]) -> str:
     def hit(rules: tuple[str, ...]) -> str:
         return " or ".join(f"regexp_matches(line, {_quote(r.replace('[^;]', '[^;]'))})" for r in rules)
@@ -109,9 +126,16 @@ def scan_filters(s: Settings) -> str:
 where regexp_extract(path, '[^/.][^/]*?(\\.[^./]*)$', 1) in ({exts}) and octet_length(encode(code)) <= 4096 and not list_has_any(string_split(path, '/'), [{parts}])"""
 
 
+def _long_imports() -> str:
+    def found(e: str) -> str:
+        return f"regexp_extract_all(array_to_string(ls, chr(10)), {_quote(LONG_IMPORTS[e])})"
+
+    return f"list_transform(list_filter(case when ext = '.py' then {found('.py')} when ext in ('.js', '.ts') then {found('.js')} else [] end, lambda x : contains(x, chr(10))), lambda x : regexp_replace(x, '#[^\n]*', '', 'g'))"
+
+
 _STRIP = "trim(regexp_replace(trim(raw, ' '), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
-IMPORTS = LINES + f""", l as (select file_id, lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]*)$', 1)) as ext, unnest(list_filter(list_transform(ls, lambda x : trim(x)), lambda x : x <> '')) as raw from f),
-  k as (select file_id, ext, {_STRIP} as flat, raw from l where case ext when '.py' then regexp_matches(raw, '^(?:import|from)\\s') when '.js' then regexp_matches(raw, '^import\\s|require\\s*\\(') when '.ts' then regexp_matches(raw, '^import\\s|require\\s*\\(')
+IMPORTS = LINES + f""", l as (select file_id, lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]*)$', 1)) as ext, unnest(list_filter(list_transform(ls || {_long_imports()}, lambda x : trim(x, ' ')), lambda x : x <> '')) as raw from f),
+  k as (select file_id, ext, {_STRIP} as flat, raw from l where case ext when '.py' then regexp_matches(raw, '^(?:import|from)\\s') and not regexp_matches(raw, {_quote(OPEN_IMPORT)}) when '.js' then regexp_matches(raw, '^import\\s|require\\s*\\(') when '.ts' then regexp_matches(raw, '^import\\s|require\\s*\\(')
     when '.java' then regexp_matches(raw, '^import\\s') when '.go' then regexp_matches(raw, '^(?:package\\s|import\\s|"[^"]+"$)') when '.php' then regexp_matches(raw, '^(?:include|require|use\\s)')
     when '.c' then regexp_matches(raw, '^#include') when '.cpp' then regexp_matches(raw, '^#include') when '.cs' then regexp_matches(raw, '^using\\s') else false end),
   t as (select file_id, unnest(case ext
@@ -217,3 +241,13 @@ CONTEXTS = LOCAL + f""", says as (select n.id, coalesce(nullif(n.source_name, ''
   blocks as (select root, count(*) as n_nodes, string_agg('<node_' || ord || '>' || chr(10) || body || chr(10) || '<node_' || ord || '>', chr(10) order by ord) as b from local join says using (id) group by root),
   written as (select root, n_nodes, coalesce(head, '') || b as payload, cast(prompt_tokens + ceil(length('user: ' || coalesce(head, '') || b) / 4.0) as bigint) as tokens from blocks left join heads using (root) join says on says.id = root)
 """
+
+# The two limits bind one another, so rows are walked in order with what was kept so far.
+DEDUP_BOTH = CONTEXTS.replace("with u as", "with recursive u as", 1) + """, own as (select root, string_agg(id, ',' order by encode(id)) as ids from local group by root),
+  sig as (select n.path, n.node_ord as ord, n.id, sha256(w.payload) as payload_sig, sha256(concat_ws('||', n.path, n.source_name, n.target_name, n.descr, n.source_code, ids)) as context_sig from nodes n join written w on w.root = n.id join own on own.root = n.id),
+  num as (select *, row_number() over (partition by path order by ord) as i from sig),
+  r as (select path, ord, id, payload_sig, context_sig, i, true as keep, [payload_sig] as a, [context_sig] as b from num where i = 1 union all
+    select n.path, n.ord, n.id, n.payload_sig, n.context_sig, n.i, k, case when k then list_append(a, n.payload_sig) else a end, case when k then list_append(b, n.context_sig) else b end
+    from (select r.path, r.i, a, b, n as n, not list_contains(a, n.payload_sig) and not list_contains(b, n.context_sig) as k from r join num n on n.path = r.path and n.i = r.i + 1) x)
+select path, ord, id, payload_sig, context_sig from r where keep
+"""

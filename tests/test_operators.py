@@ -95,6 +95,12 @@ def test_imports(spark):
         assert one(spark.range(1).select(units.import_targets(F.lit(ext), F.lit(line)))) == want
 
 
+def test_imports_over_lines(spark):
+    rows = [(1, "/a.py", "a", "from x.y import (  # z\n    b as c,\n    d,\n)\nimport e\n", ".py", 1), (2, "/b.ts", "b", "import {\n  a,\n  b,\n} from './c';\nimport './d';\n", ".ts", 1)]
+    got = {(r.file_id, r.target) for r in units.imports(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {(1, "import:x.y.b"), (1, "import:x.y.d"), (1, "import:e"), (2, "import:./c"), (2, "import:./d")}
+
+
 REPORT = "<审计报告>\n<文件>\n路径: /a\n结论: 发现漏洞\n<漏洞>\n类型: t\n判定: v\n等级: 高危\n位置:\n<代码特征>\n x \n</代码特征>\n</漏洞>\n</文件>\n</审计报告>"
 
 
