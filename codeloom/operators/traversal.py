@@ -119,20 +119,22 @@ class FileGraph:
     def branches(self, root: str, depth: int, max_nodes: int, width: int, up: bool) -> tuple[list[str], list[tuple[str, str]], list[list[str]]]:
         """(nodes in order, edges, branches best first) of one side of a dependency tree; the budget counts the root."""
         side, turn = (self.pred, lambda p: p[::-1]) if up else (self.succ, lambda p: p)
-        found, edges, ends, queue, at = {root: None}, [], [], [[root]], 0
-        while at < len(queue) and len(found) < max_nodes:
-            path = queue[at]
-            at += 1
-            chosen = side.get(path[-1], ())[:width] if len(path) <= depth else ()
-            if not chosen:
-                ends.append(turn(path))
-            for n in chosen:
-                edges.append((n, path[-1]) if up else (path[-1], n))
-                if n in found or len(found) >= max_nodes:
-                    ends.append(turn([*path, n]))
-                else:
-                    found[n] = None
-                    queue.append([*path, n])
+        found, edges, ends, level = {root: None}, [], [], [[root]]
+        for reach in range(depth + 1):  # all paths of a level before those of the next
+            longer: list[list[str]] = []
+            for path in level:
+                if len(found) >= max_nodes:
+                    break
+                steps = side.get(path[-1], ())[:width] if reach < depth else ()
+                if not steps:
+                    ends.append(turn(path))
+                for n in steps:
+                    edges.append((n, path[-1]) if up else (path[-1], n))
+                    new = n not in found and len(found) < max_nodes
+                    (longer if new else ends).append([*path, n] if new else turn([*path, n]))
+                    if new:
+                        found[n] = None
+            level = longer
         unique = [list(p) for p in dict.fromkeys(map(tuple, ends or [[root]]))]
         unique.sort(key=lambda p: (-self.path_priority(p), -len(p), str(p)))
         return list(found)[1:], edges, unique
