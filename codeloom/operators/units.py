@@ -10,9 +10,10 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -171,14 +172,21 @@ def _module(code: str, blank: str, ext: str, spans: list[tuple[int, int]], class
         said = next(filter(None, m.groups()), "")
         found += ["import:" + x for x in (re.findall(r"\"([^\"]+)\"", said) if ext == ".go" else [said])]
     plain = re.sub(r"^[ \t]*#(?:[^\n\\]|\\[\s\S])*", lambda m: re.sub(r"[^\n]", " ", m.group()), blank, flags=re.M) if ext in (".c", ".cpp", ".cs") else blank
-    for m in _CALL.finditer(plain):
-        if m[1] in _KEYWORDS or m[1] in ("import", "include", "include_once", "require_once") or ext == ".php" and m[1] == "require" or any(a <= m.start() < b for a, b in spans):
-            continue
-        if not _declared(plain, m.start(), ext, any(a < m.start() < b for a, b, _ in classes)):
-            found.append(re.sub(r"->|::", ".", m[1]).lstrip("$"))
+    at = 0
+    for a, b in [*sorted(spans), (len(plain), len(plain))]:  # what is left between the functions
+        for m in _CALL.finditer(plain, at, a) if a > at else ():
+            if m[1] in _KEYWORDS or m[1] in ("import", "include", "include_once", "require_once") or ext == ".php" and m[1] == "require":
+                continue
+            if not _declared(plain, m.start(), ext, any(x < m.start() < y for x, y, _ in classes)):
+                found.append(_called(m[1]))
+        at = max(at, b)
     return list(dict.fromkeys(found))
 
 
+def _called(name: str) -> str:
+    return name.replace("->", ".").replace("::", ".").lstrip("$")
+
+
 def _body(code: str, at: int) -> int:
     """The end of the balanced block that opens at the first brace behind at; -1 if none closes."""
     start = code.find("{", at)
@@ -211,6 +219,7 @@ def _scan(code: str, ext: str, module: str) -> list[tuple[str, int, int, list[st
     if not _balanced(re.sub(r"^[ \t]*#(?:[^\n\\]|\\[\s\S])*", "", blank, flags=re.M) if ext in (".c", ".cpp", ".cs") else blank):
         return None
     classes = [(m.start(), _body(blank, m.start()), m[1]) for m in _CLASS.finditer(blank)]
+    ends = [m.end() for m in re.finditer("\n", blank)]
     out, spans = [], []
     for m in _HEAD.get(ext, _HEAD[""]).finditer(blank):
         name = next(filter(None, m.groups()))
@@ -221,8 +230,8 @@ def _scan(code: str, ext: str, module: str) -> list[tuple[str, int, int, list[st
         owner = [c for a, b, c in classes if a < m.start() < b]
         scope = f"{owner[-1]}.{name}" if owner and "::" not in name else name.replace("::", ".")
         begin = blank.find("{", m.end() - 1 if ext != ".go" else m.start())
-        calls = [re.sub(r"->|::", ".", c[1]).lstrip("$") for c in _CALL.finditer(blank, begin, end) if c[1] not in _KEYWORDS]
-        out.append((scope, blank.count("\n", 0, m.start()) + 1, blank.count("\n", 0, end) + 1, list(dict.fromkeys(calls))))
+        calls = [_called(c) for c in _CALL.findall(blank, begin, end) if c not in _KEYWORDS]
+        out.append((scope, bisect_right(ends, m.start()) + 1, bisect_right(ends, end) + 1, list(dict.fromkeys(calls))))
     targets = _module(code, blank, ext, spans, classes)
     return [(module, 1, max(1, len(code.splitlines())), targets), *out] if targets else out
 
@@ -329,14 +338,17 @@ def extracted(files: DataFrame, max_input_tokens: int | None = 8000) -> DataFram
     rows = files.select("file_id", "path", "name", "source_code", text.suffix(F.col("path")).alias("ext"), F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1)).alias("first"))
     rows = rows.where(F.col("ext").isin(*PARSED_EXTENSIONS) & F.col("source_code").rlike(r"\S"))
 
-    def frame(out: list) -> pd.DataFrame:
-        done = pd.DataFrame(out, columns=["file_id", "path", "name", "source_name", "target_name", "source_desc", "start_code_line", "end_code_line", "source_code", "status"])
-        return done.astype({"start_code_line": "Int32", "end_code_line": "Int32"})
+    names = [x.split(" ")[0] for x in COLUMNS.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[x.split(" ")[1]] for x in COLUMNS.split(", ")]
+
+    def frame(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
             out, held = [], 0
-            for i, path, name, code, ext, first in zip(pdf.file_id, pdf.path, pdf["name"], pdf.source_code, pdf.ext, pdf["first"]):
+            for i, path, name, code, ext, first in zip(*(c.to_pylist() for c in batch.columns)):
                 name = name or path.rsplit("/", 1)[-1]
                 lines, found, status = code.splitlines(), extract(code, ext, name), "ok"
                 if found is None:  # sections that parse by themselves
@@ -346,15 +358,18 @@ def extracted(files: DataFrame, max_input_tokens: int | None = 8000) -> DataFram
                         found += [(s, t, d, x + a - 1, y + a - 1) for s, t, d, x, y in part or ()]
                 if not found:
                     out.append((i, path, name, None, None, None, None, None, None, "failed"))
+                span, body = None, ""
                 for s, t, d, a, b in found:
-                    out.append((i, path, name, s, t, d, a + first - 1, b + first - 1, "\n".join(lines[a - 1:b]), status))
-                    held += len(out[-1][8])
+                    if span != (a, b):
+                        span, body = (a, b), "\n".join(lines[a - 1:b])
+                    out.append((i, path, name, s, t, d, a + first - 1, b + first - 1, body, status))
+                    held += len(body)
                     if held > FRAME_CHARS:  # every unit carries its caller's code
                         yield frame(out)
                         out, held = [], 0
             yield frame(out)
 
-    return rows.mapInPandas(run, COLUMNS)
+    return rows.mapInArrow(run, COLUMNS)
 
 
 def dispatched(files: DataFrame, engine: str = "auto") -> tuple[DataFrame, DataFrame]:
