@@ -191,26 +191,23 @@ def _body(code: str, at: int) -> int:
     """The end of the balanced block that opens at the first brace behind at; -1 if none closes."""
     start = code.find("{", at)
     depth = 0
-    for m in re.finditer(r"[{}]", code[start:] if start >= 0 else ""):
+    for m in _BRACES.finditer(code, start) if start >= 0 else ():
         depth += 1 if m.group() == "{" else -1
         if not depth:
-            return start + m.end()
+            return m.end()
     return -1
 
 
-_PAIRS = {"}": "{", ")": "(", "]": "["}
+_BRACES, _BRACKETS = re.compile(r"[{}]"), re.compile(r"[{}()\[\]]+")
 
 
 def _balanced(blank: str) -> bool:
     """Whether brackets pair in code without strings and comments."""
-    held: list[str] = []
-    for c in re.findall(r"[{}()\[\]]", blank):
-        if c in _PAIRS:
-            if not held or held.pop() != _PAIRS[c]:
-                return False
-        else:
-            held.append(c)
-    return not held
+    left, size = "".join(_BRACKETS.findall(blank)), -1
+    while len(left) != size:  # as often as brackets are nested
+        size = len(left)
+        left = left.replace("()", "").replace("[]", "").replace("{}", "")
+    return not left
 
 
 def _scan(code: str, ext: str, module: str) -> list[tuple[str, int, int, list[str]]] | None:
